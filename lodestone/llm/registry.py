@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import language_id, ogg, quality, shard_tree, toxicity
+from lodestone.llm import language_id, ogg, packing, quality, shard_tree, simhash, toxicity
 from lodestone.llm.common import table
 
 
@@ -35,12 +35,26 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.hexed(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    settings = packing.Settings(public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack(table(spark, sf_dir, "documents"), settings)
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_ogg": op2_ogg,
     "op3_toxicity": op3_toxicity,
     "op4_hash_tree": op4_hash_tree,
     "op5_quality": op5_quality,
+    "op7_simhash": op7_simhash,
+    "op8_packing": op8_packing,
 }
 
 #: Models, media digests and checksums are beyond SQL; see tests/llm for the brute-force versions.
