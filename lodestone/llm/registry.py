@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import language_id, ogg, packing, quality, shard_tree, simhash, toxicity
+from lodestone.llm import language_id, mixing, ogg, packing, quality, search, shard_tree, simhash, toxicity, warc
 from lodestone.llm.common import table
 
 
@@ -47,15 +47,46 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), settings)
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages")).drop("payload")
+
+
+def op9_pfair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source"))
+
+
+def op10_bm25_wand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    queries = docs.where(F.col("doc_id") % 50 == 0).select(F.col("doc_id").alias("query_id"), "text")
+    return search.search(queries, docs)
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_ogg": op2_ogg,
     "op3_toxicity": op3_toxicity,
     "op4_hash_tree": op4_hash_tree,
     "op5_quality": op5_quality,
+    "op6_warc": op6_warc,
     "op7_simhash": op7_simhash,
     "op8_packing": op8_packing,
+    "op9_pfair": op9_pfair,
+    "op10_bm25_wand": op10_bm25_wand,
 }
 
-#: Models, media digests and checksums are beyond SQL; see tests/llm for the brute-force versions.
-SQL: dict[str, str] = {}
+#: Models, media digests, checksums and schedules are beyond SQL; see tests/llm for the brute-force versions.
+SQL: dict[str, str] = {
+    "op10_bm25_wand": r"""
+with d as (select doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') w from documents),
+dt as (select doc_id, len(w) dl, unnest(w) term from d),
+tf as (select doc_id, dl, term, count(*) tf from dt group by all),
+s as (select count(*) n, sum(coalesce(len(w), 0)) / count(*) mean from d),
+idf as (select term, ln(1 + (n - count(*) + 0.5) / (count(*) + 0.5)) idf from tf, s group by term, n),
+q as (select doc_id query_id, term, tf qtf from tf where doc_id % 50 = 0),
+sc as (
+  select query_id, doc_id, round(sum(qtf * idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / mean))), 6) score
+  from q join idf using (term) join tf using (term), s group by 1, 2)
+select query_id, rank, doc_id, score from (
+  select *, row_number() over (partition by query_id order by score desc, doc_id) rank from sc) where rank <= 10
+""",
+}
