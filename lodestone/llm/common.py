@@ -6,10 +6,12 @@ import atexit
 import shutil
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from lodestone.session import ship_package
 
@@ -97,3 +99,34 @@ def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: st
         .withColumn(name, F.col("_before") + F.row_number().over(within) - F.lit(1))
         .drop("_part", "_before")
     )
+
+
+def fresh(name: str, taken: Sequence[str]) -> str:
+    """The name, with underscores before it while a column is called so."""
+    while name.lower() in {t.lower() for t in taken}:
+        name = f"_{name}"
+    return name
+
+
+def map_column(df: DataFrame, column: str, keep: Sequence[str], made: str, start: Callable[[], Callable]) -> DataFrame:
+    """Add columns computed from one column; the kept ones pass through untouched.
+
+    made: the new columns as DDL. start() runs once in each task and gives a
+    function from a list of values to a list of lists, one for each new column.
+    """
+    schema = StructType(df.select(*keep).schema.fields + StructType.fromDDL(made).fields)
+    names = schema.fieldNames()
+    inputs = df.select(*keep, F.col(column).alias("\u0000in"))
+    n = len(keep)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_type
+
+        work = start()
+        kinds = [to_arrow_type(f.dataType) for f in schema.fields[n:]]
+        for batch in batches:
+            found = work(batch.column(n).to_pylist())
+            arrays = [pa.array(x, k) for x, k in zip(found, kinds)]
+            yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(n)] + arrays, names)
+
+    return inputs.mapInArrow(rows, schema)

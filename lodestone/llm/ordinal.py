@@ -30,6 +30,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm.common import fresh, map_column
+
 _WORD = re.compile(r"[^\W\d_]+")
 _RUNS = re.compile(r"(.)\1+", re.S)
 
@@ -41,7 +43,6 @@ class Settings:
     buckets: int = 1 << 18
     sample_rows: int = 9000
     prefixes: tuple[int, ...] = (3, 4, 5, 6)
-    words: bool = True
     shapes: bool = True
     least_rows: int = 8
     least_z: float = 6.0
@@ -58,53 +59,86 @@ class Model:
     settings: Settings
 
 
-@lru_cache(maxsize=200_000)
+@lru_cache(maxsize=100_000)
 def _shape(token: str) -> str:
     signs = ("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in token)
     return _RUNS.sub(r"\1", "".join(signs))[:8]
 
 
-@lru_cache(maxsize=200_000)
-def _keys(token: str, settings: Settings) -> tuple[int, ...]:
+def _keys(token: str, settings: Settings) -> list[int]:
     """The buckets of one blank-separated token."""
+    if len(token) > 64:
+        token = token[:32] + token[-32:]
     found = []
     for word in _WORD.findall(token.lower()):
-        if settings.words:
-            found.append("w" + word)
+        found.append("w" + word)
         found += [f"{n}{word[:n]}" for n in settings.prefixes if len(word) >= n]
     if settings.shapes:
         found.append("s" + _shape(token))
-    return tuple(zlib.crc32(k.encode("utf-8", "replace")) % settings.buckets for k in found)
+    return [zlib.crc32(k.encode("utf-8", "replace")) % settings.buckets for k in found]
+
+
+class Features:
+    """Counts of buckets in whole texts; with `kept`, of those buckets only.
+
+    What a token gives is kept in two generations of bounded size.
+    """
+
+    def __init__(self, settings: Settings, kept: np.ndarray | None = None, bound: int = 200_000) -> None:
+        self.settings, self.bound, self.known, self.old = settings, bound, {}, {}
+        self.kept = None if kept is None else {int(k): i for i, k in enumerate(kept)}
+        self.again = self._chosen([zlib.crc32(b"again") % settings.buckets]) if settings.shapes else ()
+
+    def _chosen(self, keys: list[int]) -> tuple[int, ...]:
+        return tuple(keys) if self.kept is None else tuple(self.kept[k] for k in keys if k in self.kept)
+
+    def counts(self, text: str | None) -> dict[int, int]:
+        tokens = (text or "").split()
+        out: dict[int, int] = {}
+        if self.again and (again := sum(map(eq, tokens, tokens[1:]))):
+            out[self.again[0]] = again
+        known = self.known
+        for token, n in Counter(tokens).items():
+            keys = known.get(token)
+            if keys is None:
+                keys = self.old.get(token)
+                known[token] = keys = self._chosen(_keys(token, self.settings)) if keys is None else keys
+            for k in keys:
+                out[k] = out.get(k, 0) + n
+        if len(known) > self.bound:
+            self.old, self.known = known, {}
+        return out
 
 
-def _counts(text: str | None, settings: Settings) -> Counter:
-    out: Counter = Counter()
-    tokens = (text or "").split()
-    if settings.shapes and (again := sum(map(eq, tokens, tokens[1:]))):
-        out[zlib.crc32(b"again") % settings.buckets] = again
-    for token, n in Counter(tokens).items():
-        for k in _keys(token if len(token) <= 64 else token[:32] + token[-32:], settings):
-            out[k] += n
-    return out
+@dataclass(frozen=True)
+class Sample:
+    """Sparse counts of labelled rows, and how many rows of each grade there are in all."""
+
+    grade: np.ndarray
+    at: list
+    n: list
+    sizes: dict[int, int]
 
 
-def fit(labelled: DataFrame, settings: Settings) -> Model | None:
-    """Fit on rows of (text, grade); a null grade is no label. None without two grades.
+def sample(docs: DataFrame, marks: DataFrame, settings: Settings) -> Sample:
+    """Counts of about sample_rows labelled documents at most, each grade an equal share.
 
-    At most about sample_rows rows are used, the rarest grades first: each grade
-    gives an equal share, rows drawn by a hash of the text.
+    marks: doc_id and grade, an id once. Rows are drawn by a hash of the id,
+    before the texts are read; the draw is what is broadcast, so its size is
+    bounded by sample_rows.
     """
-    labelled = labelled.where(F.col("grade").isNotNull()).select("text", F.col("grade").cast("int").alias("grade"))
-    sizes = {r["grade"]: r["n"] for r in labelled.groupBy("grade").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if len(sizes) < 2:
-        return None
+    sizes = {r["grade"]: r["n"] for r in marks.groupBy("grade").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not sizes:
+        return Sample(np.zeros(0, int), [], [], {})
     each = settings.sample_rows / len(sizes)
     share = F.create_map(*[F.lit(x) for k, n in sorted(sizes.items()) for x in (k, min(1.0, each / n))])
-    draw = F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    drawn = marks.where(draw < F.element_at(share, F.col("grade")))
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        count = Features(settings).counts
         for batch in batches:
-            made = [_counts(t, settings) for t in batch["text"]]
+            made = [count(t) for t in batch["text"]]
             yield pd.DataFrame(
                 {
                     "grade": batch["grade"].to_numpy(),
@@ -113,10 +147,14 @@ def fit(labelled: DataFrame, settings: Settings) -> Model | None:
                 }
             )
 
-    rows = labelled.where(draw < F.element_at(share, F.col("grade"))).mapInPandas(
-        features, "grade int, at array<int>, n array<int>"
-    ).toPandas()
-    return fit_rows(rows["grade"].to_numpy(), rows["at"].to_list(), rows["n"].to_list(), sizes, settings)
+    rows = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("text", "grade")
+    rows = rows.mapInPandas(features, "grade int, at array<int>, n array<int>").toArrow().to_pandas()
+    return Sample(rows["grade"].to_numpy(int), rows["at"].to_list(), rows["n"].to_list(), sizes)
+
+
+def fit(rows: Sample, settings: Settings) -> Model | None:
+    """Fit on sparse counts. None without two grades."""
+    return fit_rows(rows.grade, rows.at, rows.n, rows.sizes, settings)
 
 
 def fit_rows(grade: np.ndarray, at: list, n: list, sizes: dict[int, int], settings: Settings) -> Model | None:
@@ -174,38 +212,39 @@ def fit_rows(grade: np.ndarray, at: list, n: list, sizes: dict[int, int], settin
     return Model(grades, buckets, w, t, settings)
 
 
-def tails(model: Model, text: str | None) -> np.ndarray:
-    """P(grade > j) for each threshold j."""
-    c = _counts(text, model.settings)
+def tails(model: Model, count: Features, text: str | None) -> np.ndarray:
+    """P(grade > j) for each threshold j. count: features of the model's buckets."""
+    c = count.counts(text)
     at = np.fromiter(c.keys(), np.int64, len(c))
-    n = np.fromiter(c.values(), np.float64, len(c))
-    pos = np.searchsorted(model.buckets, at)
-    pos[pos == len(model.buckets)] = 0
-    known = model.buckets[pos] == at if len(model.buckets) else np.zeros(len(at), bool)
-    score = float(np.log1p(n[known]) @ model.weights[pos[known]])
+    score = float(np.log1p(np.fromiter(c.values(), np.float64, len(c))) @ model.weights[at])
     return 1 / (1 + np.exp(-np.clip(score - model.thresholds, -35, 35)))
 
 
 def predict(docs: DataFrame, model: Model | None, empty: float, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The kept columns with grade (most probable), expected (mean grade) and tails (P above each threshold).
+    """The kept columns with _grade (most probable), _expected (mean grade) and _tails (P above each threshold).
 
     empty: what every tail is without a model.
     """
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+    def start():
+        count = Features(model.settings, model.buckets) if model else None
+
+        def work(texts: list[str | None]) -> list[list]:
             out = []
-            for text in batch["text"]:
+            for text in texts:
                 if model is None:
                     out.append((int(empty), float(empty), [float(empty)]))
                     continue
-                up = tails(model, text)
+                up = tails(model, count, text)
                 p = -np.diff(np.concatenate([[1.0], up, [0.0]]))
                 out.append((model.grades[int(p.argmax())], float(p @ np.array(model.grades, float)), up.tolist()))
-            made = batch[list(keep)].copy()
-            made["grade"], made["expected"], made["tails"] = zip(*out) if out else ((), (), ())
-            yield made
+            return [list(c) for c in zip(*out)] or [[], [], []]
+
+        return work
+
+    names = [fresh(n, keep) for n in RESULTS]
+    made = ", ".join(f"`{n}` {kind}" for n, kind in zip(names, ("int", "double", "array<double>")))
+    return map_column(docs, "text", keep, made, start)
+
 
-    fields = [f for f in docs.select(*keep).schema.simpleString()[7:-1].split(",")]
-    schema = ", ".join(f.replace(":", " ", 1) for f in fields) + ", grade int, expected double, tails array<double>"
-    return docs.select(*dict.fromkeys([*keep, "text"])).mapInPandas(rows, schema)
+RESULTS = ("_grade", "_expected", "_tails")

@@ -15,10 +15,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm import ordinal
+from lodestone.llm.common import fresh
 
 
 @dataclass(frozen=True)
@@ -37,17 +38,28 @@ def ratings(labels: DataFrame) -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> ordinal.Model | None:
-    return ordinal.fit(docs.select("doc_id", "text").join(ratings(labels), "doc_id"), settings.model)
+    return ordinal.fit(ordinal.sample(docs, ratings(labels), settings.model), settings.model)
 
 
-def score(docs: DataFrame, model: ordinal.Model | None, settings: Settings = Settings(), keep=("doc_id",)) -> DataFrame:
-    """The kept columns, quality_grade, expected_grade, p_selected and selected."""
-    found = ordinal.predict(docs, model, 1.0, keep)
+def _tail(model: ordinal.Model | None, settings: Settings, column: str = "_tails") -> Column:
     at = max(0, sum(g < settings.select_grade for g in model.grades) - 1) if model else 0
-    return found.select(
-        *keep,
-        F.col("grade").alias("quality_grade"),
-        F.col("expected").alias("expected_grade"),
-        F.get("tails", F.lit(at)).alias("p_selected"),
-        (F.get("tails", F.lit(at)) >= settings.keep_from).alias("selected"),
+    return F.get(column, F.lit(at))
+
+
+def score(docs: DataFrame, model: ordinal.Model | None, settings: Settings = Settings()) -> DataFrame:
+    """doc_id, quality_grade, expected_grade, p_selected and selected of every row."""
+    tail = _tail(model, settings)
+    return ordinal.predict(docs, model, 1.0).select(
+        "doc_id",
+        F.col("_grade").alias("quality_grade"),
+        F.col("_expected").alias("expected_grade"),
+        tail.alias("p_selected"),
+        (tail >= settings.keep_from).alias("selected"),
     )
+
+
+def selected(docs: DataFrame, model: ordinal.Model | None, settings: Settings = Settings()) -> DataFrame:
+    """The rows of docs, with all their columns, that are selected."""
+    found = ordinal.predict(docs, model, 1.0, tuple(docs.columns))
+    tail = _tail(model, settings, fresh("_tails", docs.columns))
+    return found.where(tail >= settings.keep_from).select(*docs.columns)
