@@ -23,11 +23,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm.common import map_column
+
 _LETTER = re.compile(r"[^\W\d_]")
 #: Everything but lower-case ASCII letters and bytes of longer characters counts as a gap between words.
 _GAPS = bytes(c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 _PIECE = 1 << 20
-SCHEMA = "doc_id long, lang_pred string, score double, margin double, ambiguous boolean"
+SCHEMA = "lang_pred string, score double, margin double, ambiguous boolean"
 
 
 @dataclass(frozen=True)
@@ -128,7 +130,7 @@ def fit(docs: DataFrame, settings: Settings = Settings()) -> Model | None:
                 columns=["lang", "at", "x"],
             )
 
-    rows = _sample(docs, settings).mapInPandas(features, "lang string, at array<int>, x array<float>").toPandas()
+    rows = _sample(docs, settings).mapInPandas(features, "lang string, at array<int>, x array<float>").toArrow().to_pandas()
     if rows.empty:
         return None
     languages = tuple(sorted(rows["lang"].unique()))
@@ -178,23 +180,22 @@ def decode(model: Model, bits: np.ndarray) -> tuple[str, float, float, bool]:
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     """doc_id, lang_pred, score, margin and ambiguous for every row of docs."""
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+    def start():
+        def work(texts: list[str | None]) -> list[list]:
             out = []
-            for text in batch["text"]:
+            for text in texts:
                 if model is None or text is None or not _LETTER.search(text):
                     out.append(("und", 0.0, 0.0, False))
                     continue
-                f, n = np.zeros(len(model.bias)), 0
-                counts = np.zeros(model.settings.buckets, np.int64)
+                n, counts = 0, np.zeros(model.settings.buckets, np.int64)
                 for h in _hashes(text, model.settings):
                     n += len(h)
                     counts += np.bincount(h, minlength=model.settings.buckets)
                 at = np.flatnonzero(counts)
-                f = np.sqrt(counts[at] / max(n, 1)).astype(np.float32) @ model.weights[at] + model.bias
-                out.append(decode(model, f))
-            made = pd.DataFrame(out, columns=["lang_pred", "score", "margin", "ambiguous"])
-            made.insert(0, "doc_id", batch["doc_id"].to_numpy())
-            yield made
+                bits = np.sqrt(counts[at] / max(n, 1)).astype(np.float32) @ model.weights[at] + model.bias
+                out.append(decode(model, bits))
+            return [list(c) for c in zip(*out)] or [[]] * 4
+
+        return work
 
-    return docs.select("doc_id", "text").mapInPandas(rows, SCHEMA)
+    return map_column(docs, "text", ["doc_id"], SCHEMA, start)

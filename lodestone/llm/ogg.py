@@ -24,6 +24,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from lodestone.llm.common import map_column
+
 BLOCK = 192
 RATE = 8000
 PACKET = 48_000  # samples: six seconds; a long payload's packets lie over page borders
@@ -205,56 +207,44 @@ def payload_of(text: str | None) -> tuple[int, bytes]:
 def media(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes and the Ogg file of every text."""
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for at in range(0, len(batch), 256):  # few files at a time in memory
-                part = batch.iloc[at : at + 256]
-                made = [payload_of(t) for t in part["text"]]
-                yield pd.DataFrame(
-                    {
-                        "doc_id": part["doc_id"].to_numpy(),
-                        "n_bytes": [n for n, _ in made],
-                        "media": [encode(p, f"n_bytes={n}".encode()) for n, p in made],
-                    }
-                )
+    def start():
+        def work(texts: list[str | None]) -> list[list]:
+            made = [payload_of(t) for t in texts]
+            return [[n for n, _ in made], [encode(p, f"n_bytes={n}".encode()) for n, p in made]]
 
-    return docs.select("doc_id", "text").mapInPandas(rows, "doc_id long, n_bytes long, media binary")
+        return work
+
+    return map_column(docs, "text", ["doc_id"], "n_bytes long, media binary", start)
 
 
 DIGEST = (
-    "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, "
-    "media_bytes long, media_sha256 string, feature string, seconds double, bad_pages int"
+    "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, "
+    "feature string, seconds double, bad_pages int"
 )
 
 
 def digests(files: DataFrame) -> DataFrame:
     """Read Ogg files back: digests of the samples, features and the end time of each row's media."""
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for doc_id, n, stored in zip(batch["doc_id"], batch["n_bytes"], batch["media"]):
-                found = demux(stored)
-                payload = samples(found)
-                seconds = found.streams[DATA_SERIAL].granule / RATE if DATA_SERIAL in found.streams else 0.0
-                out.append(
-                    (
-                        n,
-                        len(payload),
-                        hashlib.sha256(payload).hexdigest(),
-                        zlib.crc32(payload[-16:]),
-                        len(stored),
-                        hashlib.sha256(stored).hexdigest(),
-                        describe(found),
-                        seconds,
-                        found.bad_pages,
-                    )
-                )
-            made = pd.DataFrame(out, columns=[c.split()[0] for c in DIGEST.split(", ")][1:])
-            made.insert(0, "doc_id", batch["doc_id"].to_numpy())
-            yield made
-
-    return files.mapInPandas(rows, DIGEST)
+    def start():
+        def one(stored: bytes) -> tuple:
+            found = demux(stored)
+            payload = samples(found)
+            seconds = found.streams[DATA_SERIAL].granule / RATE if DATA_SERIAL in found.streams else 0.0
+            return (
+                len(payload),
+                hashlib.sha256(payload).hexdigest(),
+                zlib.crc32(payload[-16:]),
+                len(stored),
+                hashlib.sha256(stored).hexdigest(),
+                describe(found),
+                seconds,
+                found.bad_pages,
+            )
+
+        return lambda files: [list(c) for c in zip(*map(one, files))] or [[]] * 8
+
+    return map_column(files, "media", ["doc_id", "n_bytes"], DIGEST, start)
 
 
 def packets(files: DataFrame) -> DataFrame:

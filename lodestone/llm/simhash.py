@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import drop_stash, stash
+from lodestone.llm.common import drop_stash, fresh, map_column, stash
 
 BITS = 64
 _BLOCK = 1 << 16
@@ -38,10 +38,17 @@ _BLOCK = 1 << 16
 
 @dataclass(frozen=True)
 class Settings:
-    """shingle: words; radius: differing bits; hot_pairs: candidate pairs from which a bucket is split."""
+    """shingle: words; radius: differing bits; hot_pairs: candidate pairs from which a bucket is split.
+
+    With a similarity, a pair that differs in more than `sure` bits is linked
+    only if the texts' sets of verify_shingle words have that Jaccard index.
+    """
 
     shingle: int = 3
     radius: int = 2
+    sure: int = 2
+    similarity: float | None = None
+    verify_shingle: int = 5
     hot_pairs: int = 40_000
     depth: int = 3
 
@@ -72,14 +79,10 @@ def _signed(x: int) -> int:
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """doc_id and fp (the fingerprint as a signed long) of every row."""
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame(
-                {"doc_id": batch["doc_id"], "fp": [_signed(fingerprint(t, shingle)) for t in batch["text"]]}
-            )
+    def start():
+        return lambda texts: [[_signed(fingerprint(t, shingle)) for t in texts]]
 
-    key = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(rows, f"doc_id {key}, fp long")
+    return map_column(docs, "text", ["doc_id"], "fp long", start)
 
 
 def hexed(fp: Column) -> Column:
@@ -190,9 +193,10 @@ def _flips(mask: int, threshold: int) -> list[int]:
 
 
 def links(fps: DataFrame, parts: list[Partition], settings: Settings) -> DataFrame:
-    """Pairs a < b of distinct fingerprints that differ in at most radius bits."""
+    """Pairs a < b of distinct fingerprints that differ in at most radius bits, and in how many; some come twice."""
     lit = lambda x: F.lit(_signed(x))
-    near = F.bit_count(F.col("p.fp").bitwiseXOR(F.col("b.fp"))) <= settings.radius
+    bits = F.bit_count(F.col("p.fp").bitwiseXOR(F.col("b.fp")))
+    near = bits <= settings.radius
     exact = all(p.threshold == 0 for p in parts)
     fp = F.col("fp")
 
@@ -223,7 +227,7 @@ def links(fps: DataFrame, parts: list[Partition], settings: Settings) -> DataFra
                 cold(build).alias("b"),
                 (F.col("p.mask") == F.col("b.mask")) & (F.col("p.key") == F.col("b.key")) & (F.col("p.fp") < F.col("b.fp")) & near,
             )
-            .select(F.col("p.fp").alias("a"), F.col("b.fp").alias("b"))
+            .select(F.col("p.fp").alias("a"), F.col("b.fp").alias("b"), bits.alias("bits"))
         )
         if hot is None:
             break
@@ -252,7 +256,7 @@ def links(fps: DataFrame, parts: list[Partition], settings: Settings) -> DataFra
 
 def components(edges: DataFrame) -> DataFrame:
     """node and root for every node of the edges (a, b), by rounds of hooking, jumping and contraction."""
-    edges = stash(edges.where("a <> b").distinct(), "edges")
+    edges = stash(edges.select("a", "b").where("a <> b").distinct(), "edges")
     mapping: DataFrame | None = None
     while not edges.isEmpty():
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(
@@ -285,6 +289,48 @@ def components(edges: DataFrame) -> DataFrame:
     return mapping
 
 
+def shingle_sets(rows: DataFrame, words: int, check: int) -> DataFrame:
+    """fp and the sorted distinct hashes of a text's word shingles, for rows (fp, text) whose text has that fp."""
+
+    def start():
+        def work(pairs: list[dict]) -> list[list]:
+            out = []
+            for pair in pairs:
+                if _signed(fingerprint(pair["text"], check)) != pair["fp"]:
+                    out.append(None)
+                    continue
+                w = (pair["text"] or "").encode("utf-8", "surrogatepass").lower().split()
+                flat = {xxhash.xxh64_intdigest(b" ".join(w[i : i + words])) for i in range(max(1, len(w) - words + 1))}
+                out.append(sorted(map(_signed, flat)))
+            return [out]
+
+        return work
+
+    packed = rows.select("fp", F.struct("fp", "text").alias("row"))
+    return map_column(packed, "row", ["fp"], "sets array<long>", start).where("sets is not null").dropDuplicates(["fp"])
+
+
+def verified(pairs: DataFrame, docs: DataFrame, fps: DataFrame, settings: Settings) -> DataFrame:
+    """Pairs that are sure by their bits, or whose texts are similar enough.
+
+    A pair that sure links already connect needs no look at its texts.
+    """
+    pairs = stash(pairs.distinct(), "pairs")
+    sure, rest = pairs.where(F.col("bits") <= settings.sure), pairs.where(F.col("bits") > settings.sure)
+    roots = components(sure)
+    of = lambda side: roots.select(F.col("node").alias(side), F.col("root").alias(f"r{side}"))
+    apart = rest.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    apart = stash(apart.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b"), "apart")
+    ends = apart.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+    texts = docs.select(F.col("doc_id").alias("first"), "text").join(ends.join(fps, "fp"), "first")
+    sets = stash(shingle_sets(texts.select("fp", "text"), settings.verify_shingle, settings.shingle), "shingle-sets")
+    side = lambda name: sets.select(F.col("fp").alias(name), F.col("sets").alias(f"s{name}"))
+    both = apart.join(side("a"), "a").join(side("b"), "b")
+    common = F.size(F.array_intersect("sa", "sb"))
+    alike = common >= settings.similarity * (F.size("sa") + F.size("sb") - common)
+    return sure.select("a", "b").unionByName(both.where(alike).select("a", "b"))
+
+
 def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """doc_id, fp and component_id (the smallest doc_id reachable over links) of every row."""
     marked = stash(fingerprints(docs, settings.shingle), "fingerprints")
@@ -292,9 +338,34 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFra
     n, together = bit_statistics(fps)
     if n < 2:
         return marked.join(fps, "fp").select("doc_id", "fp", F.col("first").alias("component_id"))
-    roots = components(links(fps, allot(n, together, settings.radius), settings))
+    pairs = links(fps, allot(n, together, settings.radius), settings)
+    if settings.similarity is not None:
+        pairs = verified(pairs, docs, fps, settings)
+    roots = components(pairs)
     members = roots.join(fps, roots["node"] == fps["fp"]).select("node", "root", "first")
     least = members.groupBy("root").agg(F.min("first").alias("component_id"))
     linked = members.join(least, "root").select(F.col("node").alias("fp"), "component_id")
     ids = fps.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
     return marked.join(ids, "fp").select("doc_id", "fp", "component_id")
+
+
+def deduplicated(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """One row of each component, with all its columns: that of the smallest doc_id.
+
+    If that id repeats in its component, one of its rows stays. Rows without an
+    id stay only for a component that has no id at all, one each.
+    """
+    found = near_duplicates(docs.select("doc_id", "text"), settings)
+    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "fp")
+    names = {c: fresh(c, docs.columns) for c in ("kept_id", "kept_n")}
+    ids = kept.groupBy(F.col("doc_id").alias(names["kept_id"])).agg(F.count(F.lit(1)).alias(names["kept_n"]))
+    out = docs.join(ids, docs["doc_id"].eqNullSafe(ids[names["kept_id"]]))
+    once = out.where(F.col(names["kept_n"]) == 1).select(*docs.columns)
+    if ids.where(F.col(names["kept_n"]) > 1).isEmpty():
+        return once
+    repeated = out.where(F.col(names["kept_n"]) > 1).select(*docs.columns)
+    mark = fresh("kept_fp", docs.columns)
+    keyed = map_column(repeated, "text", docs.columns, f"`{mark}` long", lambda: lambda texts: [[_signed(fingerprint(t, settings.shingle)) for t in texts]])
+    rows = kept.select(F.col("doc_id").alias(names["kept_id"]), F.col("fp").alias(names["kept_n"])).distinct()
+    exact = keyed.join(rows, keyed["doc_id"].eqNullSafe(rows[names["kept_id"]]) & (keyed[mark] == rows[names["kept_n"]]), "left_semi")
+    return once.unionByName(exact.dropDuplicates(["doc_id", mark]).select(*docs.columns))
