@@ -587,3 +587,359 @@ def abstention_decision(spark, sf_dir):
 )
 def final_answers(spark, sf_dir):
     return verify.verify(_answers(spark, sf_dir)).select("query_id", "final_answer")
+
+
+# ---------------------------------------------------------------- evaluation
+
+#: Judgments: the documents that hold a passage, graded by their quality label (2 without one or for good ones).
+QRELS = """ql as (select item_id query_id, doc_id, 1 + coalesce(quality, 1) score from benchmark b
+  join documents d on contains(d."text", b."text") left join (select doc_id, max(quality) quality from labels group by 1) l using (doc_id))"""
+EXPECTED = "ex as (select query_id, list(distinct doc_id) e from ql group by 1)"
+
+
+def _qrels(spark, sf_dir) -> DataFrame:
+    """Documents that hold a passage: candidates share the passage's rarest word, then the text is compared."""
+    asked = _questions(spark, sf_dir).select("query_id", F.col("text").alias("passage"))
+    docs = _chunks(spark, sf_dir).select(F.col("chunk_id").alias("doc_id"), "text")
+    words = docs.select("doc_id", F.explode(F.array_distinct(T.tokens("text"))).alias("term"))
+    inner = F.expr("slice(_t, 2, greatest(size(_t) - 2, 0))")  # words at the ends may be parts of longer ones
+    terms = asked.withColumn("_t", T.tokens("passage")).select("query_id", F.explode(F.array_distinct(inner)).alias("term"))
+    counted = words.join(terms.select("term").distinct(), "term", "left_semi")
+    df = counted.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    rarest = Window.partitionBy("query_id").orderBy("df", "term")
+    key = terms.join(df, "term").withColumn("_n", F.row_number().over(rarest)).where("_n = 1")
+    pairs = key.join(counted, "term").select("query_id", "doc_id")
+    found = pairs.join(asked, "query_id").join(docs, "doc_id").where(F.contains("text", "passage"))
+    grades = _read(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    return found.join(grades, "doc_id", "left").select("query_id", "doc_id", (F.coalesce("quality", F.lit(1)) + 1).alias("score"))
+
+
+def _expected(spark, sf_dir) -> DataFrame:
+    return _qrels(spark, sf_dir).groupBy("query_id").agg(F.collect_set("doc_id").alias("expected"))
+
+
+@query(f"with {QRELS} select query_id, doc_id, score from ql")
+def derived_qrels(spark, sf_dir):
+    return _qrels(spark, sf_dir)
+
+
+def _set_metrics(ranking: str, k: int) -> str:
+    return f"""select query_id, case when len(list_intersect(f, e)) > 0 then 1.0 else 0.0 end hit,
+round(len(list_intersect(f, e)) / len(e)::double, 6) recall, coalesce(round(len(list_intersect(f, e)) / nullif(len(f), 0)::double, 6), 0) as precision,
+coalesce(round(1.0::double / (select min(rank) from {ranking} r where r.query_id = ex.query_id and list_contains(e, r.chunk_id)), 6), 0) mrr
+from ex left join (select query_id, list(chunk_id) f from {ranking} where rank <= {k} group by 1) using (query_id)"""
+
+
+@query(f"with {BM25}, {QRELS}, {EXPECTED} {_set_metrics('lex', 5)}")
+def hit_recall_precision_mrr(spark, sf_dir):
+    rows = evaluate.evaluate_retrieval(_lexical(spark, sf_dir), _expected(spark, sf_dir), 5)
+    return _rounded(rows, "hit", "recall", "precision", "mrr")
+
+
+@query(
+    f"""with {BM25}, {QRELS}, {EXPECTED}, m as ({_set_metrics('lex', 5)})
+select round(avg(hit), 5) hit, round(avg(recall), 5) recall, round(avg(precision), 5) as precision, round(avg(mrr), 5) mrr from m"""
+)
+def retrieval_means(spark, sf_dir):
+    rows = evaluate.evaluate_retrieval(_lexical(spark, sf_dir), _expected(spark, sf_dir), 5)
+    return _rounded(evaluate.means(rows), "hit", "recall", "precision", "mrr", places=5)
+
+
+def _judged(ranking: str, name: str) -> str:
+    return f"""{name}r as (select r.query_id, rank, coalesce(q.score, 0) s from {ranking} r left join ql q on q.query_id = r.query_id and doc_id = chunk_id),
+{name}h as (select *, sum((s > 0)::int) over (partition by query_id order by rank) hits from {name}r),
+{name}g as (select query_id, sum((pow(2, s) - 1) / log2(rank + 1)) filter (rank <= 10 and s > 0) dcg, sum(hits / rank::double) filter (rank <= 10 and s > 0) ap,
+  count(*) filter (rank <= 10 and s > 0) n10, count(*) filter (s > 0) n20, max(1.0::double / rank) filter (rank <= 10 and s > 0) rr from {name}h group by 1),
+{name} as (select id.query_id, coalesce(dcg / ideal, 0) ndcg, coalesce(ap / least(relevant, 10), 0) map, coalesce(n10 / relevant::double, 0) recall,
+  coalesce(n10 / 10.0::double, 0) as precision, coalesce(rr, 0) mrr, coalesce(n20 / relevant::double, 0) recall_wide from id left join {name}g using (query_id))"""
+
+
+IDEAL = """id as (select query_id, sum((pow(2, score) - 1) / log2(n + 1)) filter (n <= 10) ideal, count(*) relevant
+from (select *, row_number() over (partition by query_id order by score desc, doc_id) n from ql) group by 1)"""
+JUDGED = "round(ndcg, 6) ndcg, round(map, 6) map, round(recall, 6) recall, round(precision, 6) as precision, round(mrr, 6) mrr, round(recall_wide, 6) recall_wide"
+
+
+@query(f"with {BM25}, {QRELS}, {IDEAL}, {_judged('lex', 'jl')} select query_id, {JUDGED} from jl")
+def judged_metrics(spark, sf_dir):
+    return _rounded(evaluate.judged_metrics(_lexical(spark, sf_dir), _qrels(spark, sf_dir)), *evaluate.JUDGED)
+
+
+def _fused_ids(spark, sf_dir) -> DataFrame:
+    return _hybrid(spark, sf_dir).select("query_id", "chunk_id", "score", "rank")
+
+
+BOTH = f"{FUSED}, {QRELS}, {IDEAL}, {_judged('lex', 'jl')}, {_judged('hy', 'jh')}, {_judged('den', 'jd')}"
+MEANS = ", ".join(f"round(avg({c}), 5) as {c}" for c in evaluate.JUDGED)
+
+
+@query(
+    f"with {BOTH} "
+    + " union all ".join(f"select '{n}' architecture, count(*) queries, {MEANS} from {t}" for n, t in (("bm25", "jl"), ("dense", "jd"), ("hybrid", "jh")))
+)
+def architecture_comparison(spark, sf_dir):
+    qrels = _qrels(spark, sf_dir)
+    rankings = {"bm25": _lexical(spark, sf_dir), "dense": _dense(spark, sf_dir), "hybrid": _fused_ids(spark, sf_dir)}
+    rows = evaluate.compare({n: evaluate.judged_metrics(evaluate.deduplicated(r), qrels) for n, r in rankings.items()})
+    return _rounded(rows, *evaluate.JUDGED, places=5)
+
+
+DELTA = "round(jh.ndcg - jl.ndcg, 12)"
+
+
+@query(
+    f"""with {BOTH} select query_id, round(jl.ndcg, 6) "before", round(jh.ndcg, 6) "after", round({DELTA}, 6) delta,
+case when {DELTA} > 0 then 'improved' when {DELTA} < 0 then 'regressed' else 'unchanged' end change from jl join jh using (query_id)"""
+)
+def query_deltas(spark, sf_dir):
+    qrels = _qrels(spark, sf_dir)
+    rows = evaluate.query_deltas(
+        evaluate.judged_metrics(_lexical(spark, sf_dir), qrels), evaluate.judged_metrics(_fused_ids(spark, sf_dir), qrels)
+    )
+    return _rounded(rows, "before", "after", "delta")
+
+
+@query(
+    f"""with {BOTH}, {EXPECTED}, dl2 as (select query_id, {DELTA} delta from jl join jh using (query_id))
+select query_id, round(delta, 6) delta from (select * from dl2 where delta > 0 order by delta desc, query_id limit 10)
+union all select query_id, round(delta, 6) delta from (select * from dl2 where delta < 0 order by delta, query_id limit 10)"""
+)
+def largest_deltas(spark, sf_dir):
+    qrels = _qrels(spark, sf_dir)
+    rows = evaluate.query_deltas(
+        evaluate.judged_metrics(_lexical(spark, sf_dir), qrels), evaluate.judged_metrics(_fused_ids(spark, sf_dir), qrels)
+    )
+    return _rounded(evaluate.largest_deltas(rows).select("query_id", "delta"), "delta")
+
+
+RERANKED_ALL = "ra as (select query_id, chunk_id, final_rank rank from fr)"
+
+
+@query(
+    f"""with {RERANKED}, {QRELS}, {EXPECTED}, {RERANKED_ALL}, b as ({_set_metrics('hy', 5)}), a as ({_set_metrics('ra', 5)})
+select query_id, case when b.hit = 0 and a.hit = 1 then 'improved' when b.hit = 1 and a.hit = 0 then 'hurt' when b.hit = 1 then 'unchanged_hit'
+else 'unchanged_miss' end change from b join a using (query_id)"""
+)
+def hit_changes(spark, sf_dir):
+    expected = _expected(spark, sf_dir)
+    before = evaluate.evaluate_retrieval(_fused_ids(spark, sf_dir), expected, 5)
+    return evaluate.hit_changes(before, evaluate.evaluate_retrieval(_final_ids(spark, sf_dir), expected, 5))
+
+
+def _final_ids(spark, sf_dir) -> DataFrame:
+    return _reranked(spark, sf_dir, CANDIDATES).select("query_id", "chunk_id", F.col("final_score").alias("score"), F.col("final_rank").alias("rank"))
+
+
+@query(
+    f"""with {RERANKED}, {QRELS}, {EXPECTED}, {RERANKED_ALL},
+fb as (select h.query_id, min(rank) r from hy h join ql q on q.query_id = h.query_id and doc_id = chunk_id group by 1),
+fa2 as (select h.query_id, min(rank) r from ra h join ql q on q.query_id = h.query_id and doc_id = chunk_id group by 1)
+select query_id, fb.r "before", fa2.r "after", fb.r - fa2.r movement, case when fb.r is null then 'candidate_miss' when fa2.r is null then 'regression'
+when fa2.r < fb.r then 'improvement' when fa2.r > fb.r then 'regression' else 'unchanged' end kind,
+coalesce(fb.r > 5 and fa2.r <= 5, false) rescued, coalesce(fb.r <= 5 and coalesce(fa2.r > 5, true), false) pushed_out
+from ex left join fb using (query_id) left join fa2 using (query_id)"""
+)
+def rank_movements(spark, sf_dir):
+    return evaluate.rank_movements(_fused_ids(spark, sf_dir), _final_ids(spark, sf_dir), _expected(spark, sf_dir))
+
+
+@query(
+    f"""with {QRELS} select 'query' kind, item_id::varchar id from benchmark where item_id not in (select query_id from ql)
+union all select 'document', doc_id::varchar from documents where doc_id not in (select doc_id from ql)"""
+)
+def qrels_integrity(spark, sf_dir):
+    """Ids that a judgment set names and another lacks: here all questions and documents against the judged ones."""
+    asked = _questions(spark, sf_dir).select(F.col("query_id").cast("string").alias("query_id"))
+    docs = _chunks(spark, sf_dir).select(F.col("chunk_id").cast("string").alias("doc_id"))
+    judged = _qrels(spark, sf_dir)
+    some = judged.select(F.col("query_id").cast("string").alias("query_id"), F.col("doc_id").cast("string").alias("doc_id"))
+    named = asked.withColumn("doc_id", F.lit(None).cast("string")).unionByName(docs.withColumn("query_id", F.lit(None).cast("string")))
+    missing = tables.missing_references(named, some.select("query_id"), some.select("doc_id"))
+    return missing.where("id is not null")
+
+
+#: Cases for evidence: a question with judged documents expects their sources and its passage in them.
+@query(
+    f"""with {FUSED}, {QRELS}, {EXPECTED}, hit as (select h.query_id, min(rank) r, count(*) n from hy h join ql q on q.query_id = h.query_id and doc_id = chunk_id group by 1)
+select ex.query_id id, round(coalesce(n, 0) / len(e)::double, 6) source_recall, round(coalesce(n, 0) / len(e)::double, 6) evidence_recall,
+r is not null hit, r first_relevant_rank, round(coalesce(1.0::double / r, 0), 6) mrr from ex left join hit using (query_id)"""
+)
+def evidence_recall(spark, sf_dir):
+    docs = _chunks(spark, sf_dir)
+    path = F.concat(F.lit("Data/"), "source", F.lit("/"), F.col("chunk_id").cast("string"), F.lit(".TXT"))
+    named = _qrels(spark, sf_dir).join(docs.select(F.col("chunk_id").alias("doc_id"), "source"), "doc_id").join(_questions(spark, sf_dir), "query_id")
+    want = F.concat(F.lit("./"), "source", F.lit("\\"), F.col("doc_id").cast("string"), F.lit(".txt"))
+    none = F.lit(None).cast("string")
+    cases = named.groupBy(F.col("query_id").alias("id")).agg(
+        F.collect_list(F.struct(want.alias("document"), none.alias("section"))).alias("expected_sources"),
+        F.collect_list(F.struct(want.alias("document"), none.alias("section"), F.replace("text", F.lit(" "), F.lit("\n ")).alias("text"))).alias("evidence_spans"),
+    )
+    found = _fused_ids(spark, sf_dir).join(docs, "chunk_id").select(
+        F.col("query_id").alias("id"), "rank", "text", path.alias("source"), F.lit("").alias("section")
+    )
+    return _rounded(evaluate.evidence(cases, found), "source_recall", "evidence_recall", "mrr")
+
+
+FACT_WORDS = "list_filter(string_split(fact, ' '), lambda w: length(w) > 3)"
+
+
+def _flat(text: str) -> str:
+    return (
+        rf"lower(regexp_replace(regexp_replace(replace(regexp_replace({text}, '\[\d+\]', '', 'g'), '`', ''), {STRIP}), '{W}+', ' ', 'g'))"
+    )
+
+
+
+@query(
+    f"""with t as (select conv_id, turn, "text", lead("text") over (partition by conv_id order by turn) answer from conversations),
+f as (select *, {_flat('"text"')} fact, {_flat('answer')} flat from t where answer is not null),
+s as (select conv_id * 100 + turn case_id, case when len({FACT_WORDS}) > 0 then len(list_filter({FACT_WORDS}, lambda w: contains(flat, w))) / len({FACT_WORDS})::double else 0 end lexical_score from f)
+select case_id, round(lexical_score, 6) lexical_score, lexical_score >= 0.6 matched, case when lexical_score >= 0.6 then 'lexical' end matched_by from s"""
+)
+def fact_completeness(spark, sf_dir):
+    rows = _read(spark, sf_dir, "conversations")
+    after = F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn"))
+    turns = rows.withColumn("answer", after).where("answer is not null").withColumn("case_id", F.col("conv_id") * 100 + F.col("turn"))
+    facts = turns.select("case_id", F.lit(0).alias("fact_idx"), F.col("text").alias("description"), F.lit(True).alias("required"))
+    answers = turns.select("case_id", "answer", F.array().cast("array<string>").alias("claims"))
+    found = evaluate.completeness(facts, answers)
+    return _rounded(found.select("case_id", "lexical_score", "matched", "matched_by"), "lexical_score")
+
+
+@query(
+    """with j as (select doc_id % 97 case_id, case when quality = 1 and toxic = 0 then 'CORRECT' when quality = 1 then 'PARTIALLY_CORRECT' else 'INCORRECT' end v from labels),
+g as (select case_id, count(*) n, count(*) filter (v = 'CORRECT') c, count(*) filter (v = 'PARTIALLY_CORRECT') p, count(*) filter (v = 'INCORRECT') i from j group by 1)
+select case_id, round((c + 0.5 * p) / n::double, 6) correctness_score, c correct_claims, p partially_correct_claims, i incorrect_claims from g"""
+)
+def correctness_scores(spark, sf_dir):
+    verdict = F.expr("case when quality = 1 and toxic = 0 then 'CORRECT' when quality = 1 then 'PARTIALLY_CORRECT' else 'INCORRECT' end")
+    rows = _read(spark, sf_dir, "labels").select((F.col("doc_id") % 97).alias("case_id"), F.lit("claim").alias("text"), verdict.alias("verdict"))
+    cases = rows.select("case_id").distinct().withColumn("answerable", F.lit(True))
+    return _rounded(evaluate.correctness(cases, rows), "correctness_score")
+
+
+# ---------------------------------------------------------------- case results
+
+#: A case result for each labelled document, its values rules of the document's columns.
+CASES = """cs as (select doc_id::varchar case_id, lang primary_category, case when n_chars < 1000 then 'easy' when n_chars < 4000 then 'medium' else 'hard' end difficulty,
+quality = 1 expected_answerable, case when toxic = 1 then 'ABSTAIN' when n_chars % 5 = 0 then 'ACCEPT_WITH_WARNING' else 'ACCEPT' end decision,
+toxic = 1 should_abstain, (n_chars % 4) / 3.0::double candidate_source_recall, (n_chars % 3) / 2.0::double candidate_evidence_recall,
+n_chars % 4 > 0 candidate_hit, case when n_chars % 4 > 0 then 1.0::double / (n_chars % 4) else 0 end candidate_mrr, (n_chars % 5) / 4.0::double final_source_recall,
+(n_chars % 2)::double final_evidence_recall, n_chars % 5 > 1 final_hit, (n_chars % 3) / 3.0::double final_mrr,
+case when n_chars % 7 > 0 then (n_chars % 4) / 3.0::double end completeness_score, (n_chars % 4)::int covered_facts, 3 total_required_facts,
+case when n_chars % 6 > 0 then (n_chars % 3) / 2.0::double end correctness_score, (n_chars % 3)::int correct_claims, (n_chars % 2)::int partially_correct_claims,
+(n_chars % 5)::int incorrect_claims, case when n_chars % 9 > 0 then (n_chars % 11) / 10.0::double end faithfulness_score,
+case when n_chars % 8 > 0 then (n_chars % 13) / 12.0::double end citation_precision, case when n_chars % 10 > 0 then (n_chars % 6) / 5.0::double end citation_coverage,
+n_chars::double total_latency_ms, n_chars / 3.0::double verification_latency_ms from documents join labels using (doc_id))"""
+
+
+def _cases(spark, sf_dir) -> DataFrame:
+    c = F.col
+    n = c("n_chars")
+    part = lambda m, d: (n % m) / F.lit(float(d))
+    rows = _read(spark, sf_dir, "documents").join(_read(spark, sf_dir, "labels"), "doc_id")
+    return rows.select(
+        c("doc_id").cast("string").alias("case_id"), c("lang").alias("primary_category"),
+        F.when(n < 1000, "easy").when(n < 4000, "medium").otherwise("hard").alias("difficulty"),
+        (c("quality") == 1).alias("expected_answerable"),
+        F.when(c("toxic") == 1, "ABSTAIN").when(n % 5 == 0, "ACCEPT_WITH_WARNING").otherwise("ACCEPT").alias("decision"),
+        (c("toxic") == 1).alias("should_abstain"), part(4, 3).alias("candidate_source_recall"), part(3, 2).alias("candidate_evidence_recall"),
+        (n % 4 > 0).alias("candidate_hit"), F.coalesce(F.try_divide(F.lit(1.0), n % 4), F.lit(0.0)).alias("candidate_mrr"),
+        part(5, 4).alias("final_source_recall"), part(2, 1).alias("final_evidence_recall"), (n % 5 > 1).alias("final_hit"),
+        part(3, 3).alias("final_mrr"), F.when(n % 7 > 0, part(4, 3)).alias("completeness_score"), (n % 4).cast("int").alias("covered_facts"),
+        F.lit(3).alias("total_required_facts"), F.when(n % 6 > 0, part(3, 2)).alias("correctness_score"),
+        (n % 3).cast("int").alias("correct_claims"), (n % 2).cast("int").alias("partially_correct_claims"),
+        (n % 5).cast("int").alias("incorrect_claims"), F.when(n % 9 > 0, part(11, 10)).alias("faithfulness_score"),
+        F.when(n % 8 > 0, part(13, 12)).alias("citation_precision"), F.when(n % 10 > 0, part(6, 5)).alias("citation_coverage"),
+        n.cast("double").alias("total_latency_ms"), (n / F.lit(3.0)).alias("verification_latency_ms"),
+    )
+
+
+FAILURES = [
+    ("CANDIDATE_RETRIEVAL_FAILURE", "expected_answerable and not candidate_hit"),
+    ("FINAL_CONTEXT_SELECTION_FAILURE", "expected_answerable and candidate_hit and not final_hit"),
+    ("FALSE_ABSTENTION", "expected_answerable and should_abstain"),
+    ("FALSE_ANSWER", "not expected_answerable and not should_abstain"),
+    ("INCOMPLETE_GENERATION", "expected_answerable and completeness_score < 1"),
+    ("CITATION_COVERAGE_FAILURE", "expected_answerable and citation_coverage < 0.5 and faithfulness_score >= 0.8"),
+]
+
+
+@query(f"with {CASES} select case_id, concat_ws(',', " + ", ".join(f"case when {t} then '{n}' end" for n, t in FAILURES) + ") failures from cs")
+def failure_types(spark, sf_dir):
+    return evaluate.failure_types(_cases(spark, sf_dir)).select("case_id", F.array_join("failure_types", ",").alias("failures"))
+
+
+@query(
+    f"with {CASES} select case_id, (expected_answerable and should_abstain) or (not expected_answerable and not should_abstain) or coalesce(faithfulness_score < 0.7, false) is_failure from cs"
+)
+def failure_cases(spark, sf_dir):
+    return evaluate.is_failure(_cases(spark, sf_dir))
+
+
+A, S = "expected_answerable", "should_abstain"
+SUMMARY = {
+    "total_cases": "count(*)", "answerable_cases": f"count(*) filter ({A})", "unanswerable_cases": f"count(*) filter (not {A})",
+    "answerable_answered": f"count(*) filter ({A} and not {S})", "answerable_abstained": f"count(*) filter ({A} and {S})",
+    "unanswerable_answered": f"count(*) filter (not {A} and not {S})", "unanswerable_abstained": f"count(*) filter (not {A} and {S})",
+    "behavior_accuracy": f"count(*) filter ({A} <> {S}) / count(*)::double",
+    "false_abstention_rate": f"count(*) filter ({A} and {S}) / nullif(count(*) filter ({A}), 0)::double",
+    "false_answer_rate": f"count(*) filter (not {A} and not {S}) / nullif(count(*) filter (not {A}), 0)::double",
+    **{f"{s}_hit_rate": f"avg({s}_hit::int) filter ({A})" for s in ("candidate", "final")},
+    **{f"{s}_{m}": f"avg({s}_{m}) filter ({A})" for s in ("candidate", "final") for m in ("source_recall", "evidence_recall", "mrr")},
+    "average_completeness": f"avg(completeness_score) filter ({A})",
+    "required_fact_coverage": f"sum(covered_facts) filter ({A}) / nullif(sum(total_required_facts) filter ({A}), 0)::double",
+    "fully_complete_answers": f"count(*) filter ({A} and completeness_score = 1)",
+    "average_faithfulness": "avg(faithfulness_score)", "average_citation_precision": "avg(citation_precision)",
+    "average_citation_coverage": "avg(citation_coverage)", "average_latency_ms": "avg(total_latency_ms)",
+    "average_verification_latency_ms": "avg(verification_latency_ms)",
+    "fully_complete_rate": f"count(*) filter ({A} and completeness_score = 1) / nullif(count(*) filter ({A}), 0)::double",
+    "verification_latency_share": "avg(verification_latency_ms) / nullif(avg(total_latency_ms), 0)",
+    "scored_cases": f"count(*) filter ({A} and correctness_score is not null)",
+    "average_correctness": f"avg(correctness_score) filter ({A})",
+    **{f"total_{c}": f"coalesce(sum({c}) filter ({A} and correctness_score is not null), 0)" for c in ("correct_claims", "partially_correct_claims", "incorrect_claims")},
+    "fully_correct_cases": f"count(*) filter ({A} and correctness_score is not null and partially_correct_claims = 0 and incorrect_claims = 0)",
+    "fully_correct_rate": f"count(*) filter ({A} and correctness_score is not null and partially_correct_claims = 0 and incorrect_claims = 0) / nullif(count(*) filter ({A} and correctness_score is not null), 0)::double",
+}
+FAILED_IDS = {
+    "false_abstention_case_ids": f"{A} and {S}", "false_answer_case_ids": f"not {A} and not {S}",
+    "candidate_miss_case_ids": f"{A} and not candidate_hit", "final_miss_case_ids": f"{A} and not final_hit",
+    "incomplete_case_ids": f"{A} and completeness_score < 1",
+}
+_AGGREGATES = ", ".join(f"round({sql}, 4) as {name}" for name, sql in SUMMARY.items())
+_IDS = ", ".join(f"coalesce(string_agg(case_id, ',' order by case_id) filter ({t}), '') as {n}" for n, t in FAILED_IDS.items())
+
+
+@query(f"with {CASES} select {_AGGREGATES}, {_IDS} from cs")
+def benchmark_summary(spark, sf_dir):
+    rows = _rounded(evaluate.benchmark_summary(_cases(spark, sf_dir)), *SUMMARY, places=4)
+    return rows.withColumns({n: F.array_join(n, ",") for n in FAILED_IDS})
+
+
+@query(
+    f"with {CASES}, "
+    "parts as (" + " union all ".join(
+        f"select '{d}' dimension, {v} as value, {_AGGREGATES} from cs group by 2"
+        for d, v in (("category", "primary_category"), ("difficulty", "difficulty"), ("answerability", f"case when {A} then 'answerable' else 'unanswerable' end"))
+    ) + f" union all select 'all', null, {_AGGREGATES} from cs) select * from parts"
+)
+def breakdown_grouping_sets(spark, sf_dir):
+    return _rounded(evaluate.breakdown(_cases(spark, sf_dir)), *SUMMARY, places=4)
+
+
+@query(f"with {CASES} select primary_category, decision, count(*) cases from cs group by 1, 2")
+def decision_histogram(spark, sf_dir):
+    return evaluate.decision_histogram(_cases(spark, sf_dir), "primary_category")
+
+
+@query(
+    f"""with {CASES} select count(*) cases, round(avg(faithfulness_score), 6) average_faithfulness, round(avg(total_latency_ms), 4) average_latency_ms,
+count(*) filter (decision = 'ACCEPT') accepted, count(*) filter (decision = 'ACCEPT_WITH_WARNING') warned, count(*) filter (decision = 'ABSTAIN') abstained from cs"""
+)
+def run_summary(spark, sf_dir):
+    return _rounded(_rounded(evaluate.run_summary(_cases(spark, sf_dir)), "average_faithfulness"), "average_latency_ms", places=4)
+
+
+@query("select doc_id::varchar case_id from documents where doc_id not in (select doc_id from labels)")
+def pending_cases(spark, sf_dir):
+    cases = _read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("case_id"))
+    return evaluate.pending(cases, _cases(spark, sf_dir))
