@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
-from lodestone.session import ship_package
+from lodestone.session import ship_package, stash
 
 PLACES = 9
 
@@ -44,26 +44,31 @@ class LexicalIndex:
 def lexical_index(chunks: DataFrame, params: Bm25 = Bm25(), position: Column | None = None) -> LexicalIndex:
     """Inverted lists of chunks (chunk_id, text).
 
-    Words are counted in one pass; documents without words count for number and
-    mean length. position: the corpus order, by default the id.
+    Documents without words count for number and mean length. position: the
+    corpus order, by default the id.
     """
     order = (F.col("chunk_id") if position is None else position).alias("position")
     words = chunks.select("chunk_id", order, T.tokens(F.coalesce("text", F.lit(""))).alias("_w"))
-    sized = words.withColumn("dl", F.size("_w"))
+    sized = stash(words, "words").withColumn("dl", F.size("_w"))  # else each use below would split the texts again
     postings = (
         sized.select("chunk_id", "position", "dl", F.explode("_w").alias("term"))
         .groupBy("term", "chunk_id", "position", "dl")
         .agg(F.count(F.lit(1)).alias("tf"))
     )
     stats = sized.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    return LexicalIndex(postings, term_statistics(postings, stats, params), stats, sized.select("chunk_id", "position"), params)
+    df = sized.select(F.explode(F.array_distinct("_w")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    return LexicalIndex(postings, inverse_frequencies(df, stats, params), stats, sized.select("chunk_id", "position"), params)
 
 
 def term_statistics(postings: DataFrame, stats: DataFrame, params: Bm25 = Bm25()) -> DataFrame:
+    """term, df and idf from postings."""
+    return inverse_frequencies(postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")), stats, params)
+
+
+def inverse_frequencies(df: DataFrame, stats: DataFrame, params: Bm25 = Bm25()) -> DataFrame:
     """term, df and idf; a negative idf becomes epsilon times the mean of all raw ones."""
-    counted = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(stats.select("n")))
     raw = F.ln(F.col("n") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)
-    counted = counted.withColumn("raw", raw)
+    counted = df.crossJoin(F.broadcast(stats.select("n"))).withColumn("raw", raw)
     mean = counted.agg(F.avg("raw").alias("mean"))
     floor = F.lit(params.epsilon) * F.col("mean")
     return counted.crossJoin(F.broadcast(mean)).select(
@@ -71,6 +76,11 @@ def term_statistics(postings: DataFrame, stats: DataFrame, params: Bm25 = Bm25()
     )
 
 
+def small(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """df, to be broadcast if it has at most so many rows; otherwise joined by its keys."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def top_k(scored: DataFrame, k: int, tie: str = "position", query: str = "query_id") -> DataFrame:
     """rank, and only the first k ranks of each query."""
     order = [F.desc(F.round("score", PLACES)), F.col(tie).asc_nulls_last()]
@@ -83,10 +93,12 @@ def bm25_scores(index: LexicalIndex, queries: DataFrame) -> DataFrame:
     p = index.params
     words = queries.select("query_id", F.explode(T.tokens(F.coalesce("text", F.lit("")))).alias("term"))
     words = words.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    weighed = words.join(index.terms.select("term", "idf"), "term")
+    asked = small(words.select("term").distinct())
+    weighed = small(words).join(index.terms.select("term", "idf").join(asked, "term", "left_semi"), "term")
     norm = F.lit(p.k1) * (F.lit(1 - p.b) + F.lit(p.b) * F.col("dl") / F.col("avgdl"))
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (p.k1 + 1) / (F.col("tf") + norm)
-    hits = weighed.join(index.postings, "term").crossJoin(F.broadcast(index.stats.select("avgdl")))
+    near = index.postings.join(asked, "term", "left_semi")  # goes below the counting of words, so only these are counted
+    hits = near.join(small(weighed), "term").crossJoin(F.broadcast(index.stats.select("avgdl")))
     return hits.groupBy("query_id", "chunk_id", "position").agg(F.sum(part).alias("score"))
 
 

@@ -19,6 +19,7 @@ from lodestone.functions.identity import document_id, point_id
 from lodestone.models import Embedder, HashedWords
 from lodestone.operators import answer, chunking, rerank, retrieval, verify
 from lodestone.plans.store import Store, checked_vectors, merge_existing_wins, merge_new_wins
+from lodestone.session import stash
 from lodestone.sources import files as sources
 
 
@@ -244,7 +245,7 @@ class Engine:
         ranked = ranked.join(chunks.select("chunk_id", "source", "file_type", "metadata"), "chunk_id")
         blocks = answer.context_blocks(ranked, self.config.context_k)
         prompts = answer.prompts(answer.contexts(blocks, checked), checked)
-        answers = answer.cited(answer.generate(prompts, self.generator))
+        answers = stash(answer.cited(answer.generate(prompts, self.generator)), "answers")  # generated once
         return verify.verify(answers, self.verdict)
 
     def trace(self, questions: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ from lodestone.functions import identity
 from lodestone.functions import text as T
 from lodestone.operators import answer, chunking, evaluate, rerank, retrieval, verify
 from lodestone.plans import store
-from lodestone.session import ship_package
+from lodestone.session import ship_package, stash
 from lodestone.sources import tables
 from lodestone.sources.files import html_to_text
 
@@ -494,7 +494,7 @@ def _answers(spark, sf_dir) -> DataFrame:
     asked = _questions(spark, sf_dir)
     made = answer.generate(answer.prompts(answer.contexts(_blocks(spark, sf_dir), asked), asked))
     lost = F.when(F.col("query_id") % 3 == 0, F.replace("answer", F.lit("[5]"), F.lit("[9]"))).otherwise(F.col("answer"))
-    return answer.cited(made.withColumn("answer", lost))
+    return stash(answer.cited(made.withColumn("answer", lost)), "answers")
 
 
 @query(f"with {ANSWERS} select query_id, answer from an")

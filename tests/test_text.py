@@ -4,7 +4,6 @@ import uuid
 
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
-from pyspark.sql import functions as F
 
 from lodestone.functions import identity
 from lodestone.functions import text as T
