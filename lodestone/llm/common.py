@@ -1,11 +1,7 @@
-"""What the operators share: tables, the shared folder, distributed ranking."""
+"""What the operators share: tables, stashes, distributed ranking, columns made in Python."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
@@ -13,9 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from lodestone.session import ship_package
+from lodestone.session import shared_dir, shared_path, ship_package, stash
 
-_LOCAL_DIRS: dict[str, str] = {}
+__all__ = ["drop_stash", "fresh", "map_column", "rank_buckets", "ranked", "shared_path", "stash", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,42 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir.
-
-    Only a local[...] session may leave it unset; it then gets a folder that
-    is removed at exit. On a cluster an unset folder is an error, since a
-    machine's own disk is not seen by the others.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _LOCAL_DIRS:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        made = tempfile.mkdtemp(prefix="lodestone-")
-        atexit.register(shutil.rmtree, made, ignore_errors=True)
-        _LOCAL_DIRS[app] = f"file://{made}"
-    return _LOCAL_DIRS[app]
-
-
-def shared_path(spark: SparkSession, label: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-
-
-def stash(df: DataFrame, label: str) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends there.
-
-    Lost executors lose nothing of it, as the files are in the shared folder.
-    """
-    spark = df.sparkSession
-    path = shared_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def drop_stash(df: DataFrame) -> None:
     """Delete the files behind a stash that no later plan reads."""
     spark = df.sparkSession

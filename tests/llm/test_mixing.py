@@ -1,4 +1,3 @@
-import heapq
 import math
 
 import pytest

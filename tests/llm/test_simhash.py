@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 import xxhash
-from hypothesis import given, settings
+from hypothesis import given
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
@@ -60,7 +60,7 @@ def test_links_are_all_pairs_within_the_radius(spark, radius, hot):
     n, together = S.bit_statistics(df)
     assert n == len(fps) and together[63, 63] == sum(x & 1 for x in fps)
     parts = S.allot(n, together, radius)
-    got = S.links(df, parts, S.Settings(radius=radius, hot_pairs=hot)).select("a", "b").distinct().collect()
+    got = S.links(df, parts, radius, S.Settings(hot_pairs=hot)).distinct().collect()
     want = {tuple(sorted((S._signed(x), S._signed(y)))) for i, x in enumerate(fps) for y in fps[:i] if bin(x ^ y).count("1") <= radius}
     assert {tuple(r) for r in got} == want
 
@@ -107,17 +107,28 @@ def test_near_duplicates_against_brute_force(spark):
     assert S.near_duplicates(docs.limit(1)).count() == 1
 
 
-def test_similarity_decides_beyond_sure_bits(spark):
-    words = [f"w{i}" for i in range(400)]
-    near = words[:]
-    for i in range(0, 400, 100):
-        near[i] = f"other{i}"
-    rows = [(1, " ".join(words)), (2, " ".join(near)), (3, " ".join(words[:200]))]
+def test_wider_radii_leave_no_similar_pair_apart(spark):
+    """Texts that differ in more bits are linked if, and only if, their shingles are similar."""
+    rng = np.random.default_rng(4)
+    rows, vocabulary = [], [f"w{i}" for i in range(5000)]
+    for g in range(12):
+        base = list(rng.choice(vocabulary, 200))
+        for v in range(6):
+            words = base[:]
+            for at in rng.choice(200, int(rng.integers(1, 12)), replace=False):
+                words[int(at)] = str(rng.choice(vocabulary))
+            rows.append((g * 10 + v, " ".join(words)))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    wide = S.Settings(radius=20, similarity=0.8, hot_pairs=10)
-    parts = [S.Partition(sum(1 << b for b in range(64)), 0)]
-    fps = S.fingerprints(docs).groupBy("fp").agg(F.min("doc_id").alias("first"))
-    ids = {r["first"]: r["fp"] for r in fps.collect()}
-    pairs = spark.createDataFrame([(*sorted((ids[1], ids[2])), 9), (*sorted((ids[1], ids[3])), 9)], "a long, b long, bits int")
-    got = S.verified(pairs, docs, fps, wide).collect()
-    assert [tuple(r) for r in got] == [tuple(sorted((ids[1], ids[2])))] and parts
+    settings_ = S.Settings(radius=2, wider=(4, 9), similarity=0.8, hot_pairs=50)
+    got = {r["doc_id"]: r["component_id"] for r in S.near_duplicates(docs, settings_).collect()}
+    shingles = {i: {tuple(w[j : j + 5]) for w in [t.split()] for j in range(196)} for i, t in rows}
+    fps = {i: model_fingerprint(t) for i, t in rows}
+    alike = lambda i, j: len(shingles[i] & shingles[j]) >= 0.8 * len(shingles[i] | shingles[j])
+    bits = lambda i, j: bin(fps[i] ^ fps[j]).count("1")
+    linked = {frozenset((i, j)) for i in got for j in got if i < j and (bits(i, j) <= 2 or bits(i, j) <= 9 and alike(i, j))}
+    low = {i: i for i in got}
+    for _ in range(len(rows)):
+        for pair in linked:
+            i, j = pair
+            low[i] = low[j] = min(low[i], low[j])
+    assert got == low and len(set(got.values())) < len(rows)
