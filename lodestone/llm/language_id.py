@@ -25,13 +25,18 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.common import map_column
 
-_LETTER = re.compile(r"[^\W\d_]")
+_MAYBE_LETTER = re.compile(r"[^\W\d_]")
 #: Everything but lower-case ASCII letters and bytes of longer characters counts as a gap between words.
 _GAPS = bytes(c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 _PIECE = 1 << 20
 SCHEMA = "lang_pred string, score double, margin double, ambiguous boolean"
 
 
+def has_letter(text: str) -> bool:
+    """Whether a text has a letter; the pattern also finds numerals such as superscripts."""
+    return any(m[0].isalpha() for m in _MAYBE_LETTER.finditer(text))
+
+
 @dataclass(frozen=True)
 class Settings:
     """buckets: hashed features. sample_rows: bound on the labelled rows that are fitted."""
@@ -124,7 +129,7 @@ def fit(docs: DataFrame, settings: Settings = Settings()) -> Model | None:
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [_sparse(t, settings) if _LETTER.search(t) else None for t in batch["text"]]
+            rows = [_sparse(t, settings) if has_letter(t) else None for t in batch["text"]]
             yield pd.DataFrame(
                 [(l, r[0], r[1]) for l, r in zip(batch["lang"], rows) if r is not None and len(r[0])],
                 columns=["lang", "at", "x"],
@@ -184,7 +189,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
         def work(texts: list[str | None]) -> list[list]:
             out = []
             for text in texts:
-                if model is None or text is None or not _LETTER.search(text):
+                if model is None or text is None or not has_letter(text):
                     out.append(("und", 0.0, 0.0, False))
                     continue
                 n, counts = 0, np.zeros(model.settings.buckets, np.int64)

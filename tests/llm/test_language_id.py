@@ -14,7 +14,7 @@ def corpus(spark, n=240):
     for i in range(n):
         lang = list(WORDS)[i % 4]
         rows.append((i, " ".join(rng.choice(WORDS[lang].split(), 25)).capitalize() + ".", lang, f"s{i}"))
-    rows += [(900, None, "en", "x"), (901, "", "fr", "x"), (902, "12 ?! 34", "de", "x"), (903, "the of and " * 40000, None, None), (None, "der und das nicht", "de", "x")]
+    rows += [(900, None, "en", "x"), (901, "", "fr", "x"), (902, "12 ?! 34 ²½", "de", "x"), (903, "the of and " * 40000, None, None), (None, "der und das nicht", "de", "x")]
     return spark.createDataFrame(rows, "doc_id long, text string, lang string, score string")
 
 
