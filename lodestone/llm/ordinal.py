@@ -157,6 +157,14 @@ def fit(rows: Sample, settings: Settings) -> Model | None:
     return fit_rows(rows.grade, rows.at, rows.n, rows.sizes, settings)
 
 
+def _bincount(x: np.ndarray, size: int) -> np.ndarray:
+    """np.bincount in pieces, as it widens what it counts."""
+    out = np.zeros(size, np.int64)
+    for at in range(0, len(x), 1 << 20):
+        out += np.bincount(x[at : at + (1 << 20)], minlength=size)
+    return out
+
+
 def fit_rows(grade: np.ndarray, at: list, n: list, sizes: dict[int, int], settings: Settings) -> Model | None:
     """Fit from sparse counts. sizes: rows of each grade in the whole table, for the thresholds."""
     grades = tuple(sorted(set(grade.tolist())))
@@ -165,13 +173,13 @@ def fit_rows(grade: np.ndarray, at: list, n: list, sizes: dict[int, int], settin
     order = np.lexsort(([zlib.crc32(np.sort(a).tobytes()) for a in at], grade))
     grade, at, n = grade[order], [at[i] for i in order], [n[i] for i in order]
     y = np.searchsorted(grades, grade)
-    row = np.repeat(np.arange(len(at)), [len(a) for a in at])
-    at, n = np.concatenate(at).astype(np.int64), np.concatenate(n)
+    row = np.repeat(np.arange(len(at), dtype=np.int32), [len(a) for a in at])
+    at, n = np.concatenate(at), np.concatenate(n)
     kept = np.zeros(settings.buckets, bool)
-    total = np.bincount(at, minlength=settings.buckets)
+    total = _bincount(at, settings.buckets)
     for j in range(1, len(grades)):  # presence above and below each threshold, two-proportion z
         above = y >= j
-        hits = np.bincount(at[above[row]], minlength=settings.buckets)
+        hits = _bincount(at[above[row]], settings.buckets)
         n1, n0 = above.sum(), (~above).sum()
         p = total / len(y)
         z = (hits / n1 - (total - hits) / n0) / np.sqrt(np.maximum(p * (1 - p), 1e-9) * (1 / n1 + 1 / n0))
@@ -179,6 +187,7 @@ def fit_rows(grade: np.ndarray, at: list, n: list, sizes: dict[int, int], settin
     buckets = np.flatnonzero(kept)
     inside = kept[at]
     col, row, x = np.searchsorted(buckets, at[inside]), row[inside], np.log1p(n[inside])
+    del at, n, inside
     share = np.array([sizes[g] for g in grades], float) / sum(sizes[g] for g in grades)
     even = (share / np.bincount(y, minlength=len(grades)))[y] ** 0.5  # between the sample's and the table's mix
     even /= even.sum()
