@@ -40,16 +40,17 @@ _BLOCK = 1 << 16
 class Settings:
     """shingle: words; radius: differing bits; hot_pairs: candidate pairs from which a bucket is split.
 
-    With a similarity, a pair that differs in more than `sure` bits is linked
-    only if the texts' sets of verify_shingle words have that Jaccard index.
+    wider: further radii, one after the other, for pairs that aren't connected
+    yet. Such a pair is linked only if the texts' sets of verify_shingle words
+    have a Jaccard index of at least the similarity.
     """
 
     shingle: int = 3
     radius: int = 2
-    sure: int = 2
-    similarity: float | None = None
+    wider: tuple[int, ...] = ()
+    similarity: float = 0.8
     verify_shingle: int = 5
-    hot_pairs: int = 40_000
+    hot_pairs: int = 4_000_000
     depth: int = 3
 
 
@@ -152,6 +153,10 @@ def candidates(n: int, differ: np.ndarray, group: list[int], threshold: int) ->
     return n * n / 2 * float(chance[: threshold + 1].sum())
 
 
+#: What it costs to write and sort a probe, in comparisons of two fingerprints.
+PROBE_COST = 3.0
+
+
 def allot(n: int, together: np.ndarray, radius: int, widest_probe: int = 400) -> list[Partition]:
     """Partitions and thresholds of least estimated cost (probes written plus candidates verified)."""
     p = np.diag(together) / max(n, 1)
@@ -166,7 +171,7 @@ def allot(n: int, together: np.ndarray, radius: int, widest_probe: int = 400) ->
             for t in range(0, radius + 1):
                 probes = sum(comb(len(group), d) for d in range(t + 1))
                 if probes <= widest_probe:
-                    row[t] = 20.0 * n * (probes + 1) + candidates(n, differ, group, t)
+                    row[t] = PROBE_COST * n * (probes + 1) + candidates(n, differ, group, t)
             costs.append(row)
         table: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}  # sum of thresholds + groups -> cost
         for row in costs:
@@ -192,18 +197,27 @@ def _flips(mask: int, threshold: int) -> list[int]:
     return [sum(c) for d in range(threshold + 1) for c in combinations(bits, d)]
 
 
-def links(fps: DataFrame, parts: list[Partition], settings: Settings) -> DataFrame:
-    """Pairs a < b of distinct fingerprints that differ in at most radius bits, and in how many; some come twice."""
+def links(fps: DataFrame, parts: list[Partition], radius: int, settings: Settings, apart: bool = False) -> DataFrame:
+    """Pairs a < b of distinct fingerprints that differ in at most radius bits; those of split buckets may come twice.
+
+    apart: fps have a root, and pairs with the same root are left out. A large
+    group of near copies that earlier links connect gives no pairs then.
+    """
     lit = lambda x: F.lit(_signed(x))
-    bits = F.bit_count(F.col("p.fp").bitwiseXOR(F.col("b.fp")))
-    near = bits <= settings.radius
+    differ = F.col("p.fp").bitwiseXOR(F.col("b.fp"))
+    near = F.bit_count(differ) <= radius
+    within = [(p, F.bit_count(differ.bitwiseAND(lit(p.mask))) <= p.threshold) for p in parts]
+    near = near & (F.col("p.base") == F.coalesce(*[F.when(hit, lit(p.mask)) for p, hit in within]))  # once, by the first
+    own = ["fp", "root", "base"] if apart else ["fp", "base"]
+    if apart:
+        near = near & (F.col("p.root") != F.col("b.root"))
     exact = all(p.threshold == 0 for p in parts)
     fp = F.col("fp")
 
     def keyed(make) -> DataFrame:
         pairs = F.array(*[F.struct(lit(p.mask).alias("mask"), lit(f).alias("flip")) for p in parts for f in make(p)])
-        rows = fps.select("fp", F.explode(pairs).alias("k")).select("fp", "k.mask", "k.flip")
-        return rows.withColumn("key", fp.bitwiseXOR(F.col("flip")).bitwiseAND(F.col("mask")))
+        rows = fps.select(*own[:-1], F.explode(pairs).alias("k")).select(*own[:-1], "k.mask", "k.flip")
+        return rows.withColumn("base", F.col("mask")).withColumn("key", fp.bitwiseXOR(F.col("flip")).bitwiseAND(F.col("mask")))
 
     build = keyed(lambda p: [0])
     probe = build if exact else keyed(lambda p: _flips(p.mask, p.threshold))
@@ -227,14 +241,14 @@ def links(fps: DataFrame, parts: list[Partition], settings: Settings) -> DataFra
                 cold(build).alias("b"),
                 (F.col("p.mask") == F.col("b.mask")) & (F.col("p.key") == F.col("b.key")) & (F.col("p.fp") < F.col("b.fp")) & near,
             )
-            .select(F.col("p.fp").alias("a"), F.col("b.fp").alias("b"), bits.alias("bits"))
+            .select(F.col("p.fp").alias("a"), F.col("b.fp").alias("b"))
         )
         if hot is None:
             break
         children = {}  # the free bits of each mask in radius + 1 parts: one of them is equal in every linked pair
         for mask in masks:
             free = _bits(((1 << BITS) - 1) & ~mask)
-            split = [sum(free[i :: settings.radius + 1]) for i in range(settings.radius + 1)]
+            split = [sum(free[i :: radius + 1]) for i in range(radius + 1)]
             children[mask] = [mask | s for s in split]
         by_mask = F.create_map(
             *[x for m, c in children.items() for x in (lit(m), F.array(*[lit(k) for k in c]))]
@@ -242,7 +256,7 @@ def links(fps: DataFrame, parts: list[Partition], settings: Settings) -> DataFra
 
         def finer(df: DataFrame) -> DataFrame:
             rows = df.join(hot, ["mask", "key"], "left_semi")
-            rows = rows.select("fp", "flip", F.explode(F.element_at(by_mask, F.col("mask"))).alias("mask"))
+            rows = rows.select(*own, "flip", F.explode(F.element_at(by_mask, F.col("mask"))).alias("mask"))
             return rows.withColumn("key", fp.bitwiseXOR(F.col("flip")).bitwiseAND(F.col("mask")))
 
         build, probe = finer(build), None if exact else finer(probe)
@@ -311,24 +325,16 @@ def shingle_sets(rows: DataFrame, words: int, check: int) -> DataFrame:
 
 
 def verified(pairs: DataFrame, docs: DataFrame, fps: DataFrame, settings: Settings) -> DataFrame:
-    """Pairs that are sure by their bits, or whose texts are similar enough.
-
-    A pair that sure links already connect needs no look at its texts.
-    """
+    """Those pairs of fingerprints (a, b) whose texts are similar enough."""
     pairs = stash(pairs.distinct(), "pairs")
-    sure, rest = pairs.where(F.col("bits") <= settings.sure), pairs.where(F.col("bits") > settings.sure)
-    roots = components(sure)
-    of = lambda side: roots.select(F.col("node").alias(side), F.col("root").alias(f"r{side}"))
-    apart = rest.join(of("a"), "a", "left").join(of("b"), "b", "left")
-    apart = stash(apart.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b"), "apart")
-    ends = apart.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-    texts = docs.select(F.col("doc_id").alias("first"), "text").join(ends.join(fps, "fp"), "first")
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+    texts = docs.select(F.col("doc_id").alias("first"), "text").join(ends.join(fps.select("fp", "first"), "fp"), "first")
     sets = stash(shingle_sets(texts.select("fp", "text"), settings.verify_shingle, settings.shingle), "shingle-sets")
     side = lambda name: sets.select(F.col("fp").alias(name), F.col("sets").alias(f"s{name}"))
-    both = apart.join(side("a"), "a").join(side("b"), "b")
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
     common = F.size(F.array_intersect("sa", "sb"))
     alike = common >= settings.similarity * (F.size("sa") + F.size("sb") - common)
-    return sure.select("a", "b").unionByName(both.where(alike).select("a", "b"))
+    return both.where(alike).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -338,10 +344,13 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFra
     n, together = bit_statistics(fps)
     if n < 2:
         return marked.join(fps, "fp").select("doc_id", "fp", F.col("first").alias("component_id"))
-    pairs = links(fps, allot(n, together, settings.radius), settings)
-    if settings.similarity is not None:
-        pairs = verified(pairs, docs, fps, settings)
-    roots = components(pairs)
+    roots = components(links(fps, allot(n, together, settings.radius), settings.radius, settings))
+    for radius in settings.wider:
+        known = roots.select(F.col("node").alias("fp"), "root")
+        rooted = stash(fps.join(known, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "rooted")
+        pairs = links(rooted, allot(n, together, radius), radius, settings, apart=True)
+        edges = verified(pairs, docs, fps, settings)
+        roots = components(edges.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
     members = roots.join(fps, roots["node"] == fps["fp"]).select("node", "root", "first")
     least = members.groupBy("root").agg(F.min("first").alias("component_id"))
     linked = members.join(least, "root").select(F.col("node").alias("fp"), "component_id")
