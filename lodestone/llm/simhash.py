@@ -364,7 +364,12 @@ def deduplicated(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     If that id repeats in its component, one of its rows stays. Rows without an
     id stay only for a component that has no id at all, one each.
     """
-    found = near_duplicates(docs.select("doc_id", "text"), settings)
+    start = lambda: lambda texts: [[_signed(fingerprint(t, settings.shingle)) for t in texts]]
+    return one_each(docs, near_duplicates(docs.select("doc_id", "text"), settings), start)
+
+
+def one_each(docs: DataFrame, found: DataFrame, start) -> DataFrame:
+    """The rows of docs that `deduplicated` keeps, from doc_id, fp and component_id; start makes fp from texts."""
     kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "fp")
     names = {c: fresh(c, docs.columns) for c in ("kept_id", "kept_n")}
     ids = kept.groupBy(F.col("doc_id").alias(names["kept_id"])).agg(F.count(F.lit(1)).alias(names["kept_n"]))
@@ -374,7 +379,7 @@ def deduplicated(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
         return once
     repeated = out.where(F.col(names["kept_n"]) > 1).select(*docs.columns)
     mark = fresh("kept_fp", docs.columns)
-    keyed = map_column(repeated, "text", docs.columns, f"`{mark}` long", lambda: lambda texts: [[_signed(fingerprint(t, settings.shingle)) for t in texts]])
+    keyed = map_column(repeated, "text", docs.columns, f"`{mark}` long", start)
     rows = kept.select(F.col("doc_id").alias(names["kept_id"]), F.col("fp").alias(names["kept_n"])).distinct()
     exact = keyed.join(rows, keyed["doc_id"].eqNullSafe(rows[names["kept_id"]]) & (keyed[mark] == rows[names["kept_n"]]), "left_semi")
     return once.unionByName(exact.dropDuplicates(["doc_id", mark]).select(*docs.columns))
