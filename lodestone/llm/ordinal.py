@@ -7,7 +7,8 @@ uses of this model; they differ in the grades and in the features kept.
 Features of a whole text: its words, the first letters of each word, the
 shape of each blank-separated token (letters, digits and case folded to one sign
 each) and how often a token follows itself, hashed, as log(1 + count). Only buckets that differ between the grades
-by more than chance are kept, so words that no label explains weigh nothing.
+by more than chance are kept, so words that no label explains weigh nothing. How much that is depends on how
+many rows are fitted (`least`): few rows cannot give large differences, however telling a word is.
 
 Defined results: a null or empty text has no features and gets the grade the
 thresholds alone give. Without labels, or with one grade only, there is no
@@ -38,7 +39,10 @@ _RUNS = re.compile(r"(.)\1+", re.S)
 
 @dataclass(frozen=True)
 class Settings:
-    """buckets: hashed features. sample_rows: bound on the labelled rows that are fitted."""
+    """buckets: hashed features. sample_rows: bound on the labelled rows that are fitted.
+
+    least_rows, least_z: rows that have a kept feature and its two-proportion z, for sample_rows rows; see `least`.
+    """
 
     buckets: int = 1 << 18
     sample_rows: int = 9000
@@ -165,6 +169,17 @@ def _bincount(x: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
+def least(rows: int, settings: Settings) -> tuple[int, float]:
+    """least_rows and least_z for so many fitted rows.
+
+    z of an equally telling feature grows with the root of the rows, and so does
+    what chance can bring, though more slowly: the cut goes with the sixth root,
+    the rows in proportion down to two. From sample_rows on both stay.
+    """
+    share = min(1.0, rows / settings.sample_rows)
+    return max(2, min(settings.least_rows, rows // 500)), settings.least_z * share ** (1 / 6)
+
+
 def fit_rows(grade: np.ndarray, at: list, n: list, sizes: dict[int, int], settings: Settings) -> Model | None:
     """Fit from sparse counts. sizes: rows of each grade in the whole table, for the thresholds."""
     grades = tuple(sorted(set(grade.tolist())))
@@ -177,13 +192,14 @@ def fit_rows(grade: np.ndarray, at: list, n: list, sizes: dict[int, int], settin
     at, n = np.concatenate(at), np.concatenate(n)
     kept = np.zeros(settings.buckets, bool)
     total = _bincount(at, settings.buckets)
+    least_rows, least_z = least(len(y), settings)
     for j in range(1, len(grades)):  # presence above and below each threshold, two-proportion z
         above = y >= j
         hits = _bincount(at[above[row]], settings.buckets)
         n1, n0 = above.sum(), (~above).sum()
         p = total / len(y)
         z = (hits / n1 - (total - hits) / n0) / np.sqrt(np.maximum(p * (1 - p), 1e-9) * (1 / n1 + 1 / n0))
-        kept |= (np.abs(z) >= settings.least_z) & (total >= settings.least_rows)
+        kept |= (np.abs(z) >= least_z) & (total >= least_rows)
     buckets = np.flatnonzero(kept)
     inside = kept[at]
     col, row, x = np.searchsorted(buckets, at[inside]), row[inside], np.log1p(n[inside])

@@ -78,3 +78,18 @@ def test_features_are_of_whole_texts():
     a = f.counts(text)
     assert a == f.counts(text) and max(a.values()) >= 5000
     assert sum(ordinal.Features(ordinal.Settings(shapes=False)).counts("omega").values()) == 4
+
+
+def test_few_labels_suffice():
+    """Rare telling words are found in a small label table, and words that tell nothing are not kept."""
+    rng = np.random.default_rng(2)
+    for rows, bad in ((87, 11), (400, 50)):
+        y = np.zeros(rows, int)
+        y[:bad] = 1
+        at = [np.concatenate([rng.choice(500, 40, replace=False), 1000 + rng.choice(5, 2, replace=False) if g else []]).astype(np.int32) for g in y]
+        n = [np.ones(len(a), np.int32) for a in at]
+        model = ordinal.fit_rows(y, at, n, {0: rows - bad, 1: bad}, ordinal.Settings(buckets=2048, shapes=False))
+        weight = dict(zip(model.buckets.tolist(), model.weights))
+        p = [sum(weight.get(int(b), 0) for b in a) * np.log(2) > model.thresholds[0] for a in at]
+        assert {1000, 1001, 1002, 1003, 1004} <= set(weight) and len(weight) < 30
+        assert np.mean(np.array(p)[y == 1]) >= 0.9 and np.mean(np.array(p)[y == 0]) <= 0.02
