@@ -1,12 +1,22 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-A mix of budget * rows documents is drawn from the sources so that their shares
-come as near to the target weights as the supply allows: a source that cannot
-fill its share gives all it has, and the others grow in proportion. Each source's
-documents form blocks. Block k of a source that has b of the B blocks is
-released at slot floor(k * B / b) and due by slot ceil((k + 1) * B / b); earliest
-deadline first then runs one released block a slot, and at any time a source
-is less than one block off its share.
+Without a budget every row of a source with a weight is scheduled. The sources
+run at their target weights, each until its supply ends; the others then go on
+in proportion. So rows up to the position where the first source ends have the
+target shares, and all rows have them if the shares of the supply are the
+targets. `deviation` tells how far a source's share of the mix is from its
+target_weight.
+
+With a budget a mix of budget * rows documents is drawn, with shares as near to
+the target weights as the supply allows: a source that cannot fill its share
+gives all it has, and the others grow in proportion; its sources run at their
+shares of the mix.
+
+Each source's documents form blocks. If T(v) blocks of all sources are done when
+a source of weight w has done w * v, its block k is released at slot
+floor(T(k / w)) and due by slot ceil(T((k + 1) / w)); earliest deadline first
+then runs one released block a slot, and at any time a source is less than one
+block off its rate.
 
 Only DataFrame functions run. The schedule has at most max_slots blocks, and one
 more for each source at most, whatever the number of documents: a block's size
@@ -30,15 +40,18 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import rank_buckets, ranked
 
 NO_SOURCE = "\u0000null"
-MADE = ("source_rank", "block", "release", "deadline", "slot", "position", "in_mix", "target_weight", "share")
+MADE = ("source_rank", "block", "release", "deadline", "slot", "position", "in_mix", "target_weight", "share", "deviation")
 
 
 @dataclass(frozen=True)
 class Settings:
-    """temperature: without a table of weights, a source's weight is its number of documents to this power."""
+    """temperature: without a table of weights, a source's weight is its number of documents to this power.
+
+    budget: the part of all rows that is drawn; None schedules all rows.
+    """
 
     temperature: float = 0.5
-    budget: float = 0.9
+    budget: float | None = 0.9
     max_slots: int = 4096
 
 
@@ -46,6 +59,9 @@ def quotas(counts: DataFrame, settings: Settings) -> DataFrame:
     """Documents of each source in the mix and the size of a block, from (source, n, weight)."""
     total = Window.partitionBy()
     given = counts.withColumn("target_weight", F.col("weight") / F.sum("weight").over(total))
+    if settings.budget is None:
+        full = given.where("target_weight > 0").withColumn("quota", F.col("n").cast("long")).withColumn("rate", F.col("target_weight"))
+        return _sized(full, settings)
     given = given.withColumn("target", F.floor(F.sum("n").over(total) * F.lit(settings.budget)))
     before = Window.orderBy(F.col("n") / F.nullif("target_weight", F.lit(0.0)), "source").rowsBetween(
         Window.unboundedPreceding, -1
@@ -55,32 +71,45 @@ def quotas(counts: DataFrame, settings: Settings) -> DataFrame:
     level = (F.col("target") - F.coalesce(F.sum("n").over(before), F.lit(0))) / F.when(rest > 1e-12, rest)
     full = usable.withColumn("_level", level).withColumn("_level", F.max("_level").over(total))
     share = F.floor(F.least(F.col("n").cast("double"), F.col("_level") * F.col("target_weight") + F.lit(1e-9)))
-    full = full.withColumn("quota", share.cast("long"))
+    return _sized(full.withColumn("quota", share.cast("long")).withColumn("rate", F.lit(None).cast("double")), settings)
+
+
+def _sized(full: DataFrame, settings: Settings) -> DataFrame:
+    """With the size of a block. rate: the weight a source runs at, null for its number of blocks."""
+    total = Window.partitionBy()
     size = F.greatest(F.lit(1), F.ceil(F.sum("quota").over(total) / F.lit(settings.max_slots))).cast("long")
-    return full.withColumn("block_size", size).select("source", "n", "target_weight", "quota", "block_size")
+    return full.withColumn("block_size", size).select("source", "n", "target_weight", "quota", "rate", "block_size")
 
 
 def schedule(plan: DataFrame) -> DataFrame:
     """source, block, release, deadline, slot and first position of every block, from quotas."""
     sized = plan.where("quota > 0").withColumn("blocks", F.ceil(F.col("quota") / F.col("block_size")))
+    blocks = F.col("blocks").cast("long")
+    rate = F.coalesce(F.col("rate"), blocks.cast("double"))
     one = sized.agg(
-        F.array_sort(
-            F.collect_list(F.struct("source", F.col("blocks").cast("long").alias("b"), "quota", "block_size"))
-        ).alias("sources"),
+        F.array_sort(F.collect_list(F.struct("source", blocks.alias("b"), "quota", "block_size", rate.alias("w")))).alias("given"),
         F.sum("blocks").cast("long").alias("all"),
     ).where("all > 0")
-    next_block = F.transform("sources", lambda s: F.lit(0).cast("long"))
 
-    def release(k: Column, b: Column) -> Column:
-        return F.floor(k * F.col("all") / b).cast("long")
+    def done(v: Column) -> Column:
+        """T(v): blocks of all sources when one of weight w has done w * v."""
+        return F.aggregate("given", F.lit(0.0), lambda t, s: t + F.least(s["b"].cast("double"), s["w"] * v))
 
-    def deadline(k: Column, b: Column) -> Column:
-        return F.ceil((k + 1) * F.col("all") / b).cast("long")
+    def times(s: Column) -> Column:
+        """A source with the slots of its blocks' releases and deadlines. T at the blocks' ends: 0 and b of them."""
+        ends = F.transform(F.sequence(F.lit(0).cast("long"), s["b"]), lambda k: done(k / s["w"]))
+        release = F.transform(F.slice(ends, F.lit(1), s["b"].cast("int")), lambda t: F.floor(t + 1e-7).cast("long"))
+        deadline = F.transform(F.slice(ends, F.lit(2), s["b"].cast("int")), lambda t: F.ceil(t - 1e-7).cast("long"))
+        own = [s[c].alias(c) for c in ("source", "b", "quota", "block_size")]
+        return F.struct(*own, release.alias("release"), deadline.alias("deadline"))
+
+    one = one.select(F.transform("given", times).alias("sources"), "all")
+    next_block = F.transform("sources", lambda s: F.lit(0).cast("long"))
 
     def run(state: Column, slot: Column) -> Column:
         job = lambda s, i: F.when(
-            (F.get(state["next"], i) < s["b"]) & (release(F.get(state["next"], i), s["b"]) <= slot),
-            F.struct(deadline(F.get(state["next"], i), s["b"]).alias("due"), i.alias("i")),
+            (F.get(state["next"], i) < s["b"]) & (F.get(s["release"], F.get(state["next"], i).cast("int")) <= slot),
+            F.struct(F.get(s["deadline"], F.get(state["next"], i).cast("int")).alias("due"), i.alias("i")),
         )
         first = F.array_min(F.transform("sources", job))["i"]
         return F.struct(
@@ -104,8 +133,8 @@ def schedule(plan: DataFrame) -> DataFrame:
     return slots.withColumn("_docs", docs).select(
         F.col("s.source").alias("source"),
         "block",
-        release(F.col("block"), F.col("s.b")).alias("release"),
-        deadline(F.col("block"), F.col("s.b")).alias("deadline"),
+        F.get("s.release", F.col("block").cast("int")).alias("release"),
+        F.get("s.deadline", F.col("block").cast("int")).alias("deadline"),
         F.col("slot").cast("long"),
         F.coalesce(F.sum("_docs").over(before), F.lit(0)).alias("first"),
         (F.col("s.b") / F.col("all")).alias("share"),
@@ -138,6 +167,6 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, settings: Settings =
     placed = placed.withColumn("in_mix", inside).withColumn(
         "block", F.when(inside, F.floor(F.col("source_rank") / F.col("block_size")).cast("long"))
     )
-    out = placed.join(slots, ["_source", "block"], "left")
+    out = placed.join(slots, ["_source", "block"], "left").withColumn("deviation", F.col("share") - F.col("target_weight"))
     position = F.col("first") + F.col("source_rank") - F.col("block") * F.col("block_size")
     return out.withColumn("position", position).select(*docs.columns, *MADE)

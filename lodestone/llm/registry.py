@@ -52,7 +52,7 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_pfair(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source"))
+    return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source"), settings=mixing.Settings(budget=None))
 
 
 def op10_bm25_wand(spark: SparkSession, sf_dir: str) -> DataFrame:

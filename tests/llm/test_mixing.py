@@ -66,3 +66,19 @@ def test_given_weights_and_edges(spark):
     assert M.mix(rows.limit(0)).count() == 0
     everything = M.mix(rows, settings=M.Settings(budget=1.0))
     assert everything.where("in_mix").count() == 88
+
+
+def test_without_a_budget_nothing_is_dropped_and_weights_hold_while_supplies_last(spark):
+    even = M.mix(docs(spark, {"a": 40, "b": 40, "c": 40}), settings=M.Settings(budget=None)).collect()
+    assert all(r["in_mix"] for r in even) and all(abs(r["deviation"]) < 1e-9 for r in even)
+    sizes = {"big": 400, "x": 25, "y": 25, "z": 25}
+    for max_slots, size in ((4096, 1), (100, 5)):
+        rows = M.mix(docs(spark, sizes), settings=M.Settings(budget=None, max_slots=max_slots)).collect()
+        assert sorted(r["position"] for r in rows) == list(range(475)) and all(r["release"] <= r["slot"] < r["deadline"] for r in rows)
+        target = {s: n**0.5 / (20 + 15) for s, n in sizes.items()}
+        meets = 25 * 35 // 5  # the small sources end here
+        for upto in range(10, meets + 1, 11):
+            for s in sizes:
+                got = sum(r["source"] == s and r["position"] < upto for r in rows)
+                assert abs(got - target[s] * upto) < 2 * size
+        assert {r["source"]: round(r["deviation"], 6) for r in rows} == {s: round(n / 475 - target[s], 6) for s, n in sizes.items()}

@@ -49,3 +49,8 @@ def test_mixing_keeps_equal_rows_together(spark, folder):
     twice = docs.unionByName(docs)
     got = C.mix_sources(spark, twice, folder).groupBy("doc_id").agg(F.count("*").alias("n")).collect()
     assert {r["n"] for r in got} == {2}
+
+
+def test_mixing_keeps_all_documents(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    assert sorted(C.mix_sources(spark, docs, folder).collect(), key=str) == sorted(docs.collect(), key=str)
