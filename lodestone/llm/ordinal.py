@@ -63,6 +63,10 @@ class Model:
     settings: Settings
 
 
+#: Longer tokens are read whole like others, but not remembered.
+CACHED = 64
+
+
 @lru_cache(maxsize=100_000)
 def _shape(token: str) -> str:
     signs = ("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in token)
@@ -71,21 +75,19 @@ def _shape(token: str) -> str:
 
 def _keys(token: str, settings: Settings) -> list[int]:
     """The buckets of one blank-separated token."""
-    if len(token) > 64:
-        token = token[:32] + token[-32:]
     found = []
     for word in _WORD.findall(token.lower()):
         found.append("w" + word)
         found += [f"{n}{word[:n]}" for n in settings.prefixes if len(word) >= n]
     if settings.shapes:
-        found.append("s" + _shape(token))
+        found.append("s" + (_shape(token) if len(token) <= CACHED else _shape.__wrapped__(token)))
     return [zlib.crc32(k.encode("utf-8", "replace")) % settings.buckets for k in found]
 
 
 class Features:
     """Counts of buckets in whole texts; with `kept`, of those buckets only.
 
-    What a token gives is kept in two generations of bounded size.
+    What a token gives is kept in two generations of bounded size, unless the token is long.
     """
 
     def __init__(self, settings: Settings, kept: np.ndarray | None = None, bound: int = 200_000) -> None:
@@ -104,7 +106,9 @@ class Features:
         known = self.known
         for token, n in Counter(tokens).items():
             keys = known.get(token)
-            if keys is None:
+            if keys is None and len(token) > CACHED:
+                keys = self._chosen(_keys(token, self.settings))
+            elif keys is None:
                 keys = self.old.get(token)
                 known[token] = keys = self._chosen(_keys(token, self.settings)) if keys is None else keys
             for k in keys:

@@ -80,6 +80,16 @@ def test_features_are_of_whole_texts():
     assert sum(ordinal.Features(ordinal.Settings(shapes=False)).counts("omega").values()) == 4
 
 
+def test_long_tokens_are_read_whole():
+    words = [f"{a}{b}{c}word" for a in "abcdefg" for b in "hijklmn" for c in "opq"]
+    settings = ordinal.Settings(prefixes=(), shapes=False)
+    want = ordinal.Features(settings).counts(" ".join(words))
+    for sign in (",", "/", "-", "_"):
+        f = ordinal.Features(settings)
+        assert f.counts(sign.join(words)) == want and not f.known
+    assert ordinal.Features(ordinal.Settings()).counts("x" * 100_000)
+
+
 def test_few_labels_suffice():
     """Rare telling words are found in a small label table, and words that tell nothing are not kept."""
     rng = np.random.default_rng(2)
