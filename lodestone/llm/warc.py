@@ -36,7 +36,7 @@ from lodestone.llm.common import shared_path
 MAGIC = b"\x1f\x8b\x08"
 _VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 _CHUNK = 1 << 18
-_HEADERS = 1 << 16
+_FIELD = re.compile(rb"[!#$%&'*+.^_`|~0-9A-Za-z-]+[ \t]*:")
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -115,7 +115,8 @@ def parse(whole: bytes, offset: int) -> Record:
 
 def inflate(source, at: int) -> tuple[bytes, int] | None:
     """The record that starts as a gzip member at this offset and where the member ends; None if none does."""
-    unpack, out, checked, pos = zlib.decompressobj(31), [], False, at
+    unpack, out, checked, pos = zlib.decompressobj(31), bytearray(), False, at
+    line = 0  # the first header line that isn't complete yet
     source.seek(at)
     try:
         while not unpack.eof:
@@ -123,18 +124,24 @@ def inflate(source, at: int) -> tuple[bytes, int] | None:
             if not data:
                 return None
             pos += len(data)
-            out.append(unpack.decompress(data))
-            if not checked and (unpack.eof or sum(map(len, out)) >= 10):
-                start = b"".join(out)
-                if not _VERSION.match(start):
+            seen = len(out)
+            out += unpack.decompress(data)
+            if line == 0 and (unpack.eof or len(out) >= 10):
+                if not _VERSION.match(out):
                     return None
-                if len(start) >= _HEADERS or unpack.eof:
-                    if b"\r\n\r\n" not in start[:_HEADERS]:
-                        return None
+                line = 10
+            while line and not checked:
+                end = out.find(b"\r\n", max(line, seen - 1))
+                if end < 0:
+                    break
+                if end == line:
                     checked = True
+                elif out[line] not in b" \t" and not _FIELD.match(out, line, end):
+                    return None
+                line = end + 2
     except zlib.error:
         return None
-    return b"".join(out), pos - len(unpack.unused_data)
+    return (bytes(out), pos - len(unpack.unused_data)) if checked else None
 
 
 def records(source, start: int, end: int) -> Iterator[Record]:

@@ -59,3 +59,19 @@ def test_false_magic_and_damage_are_passed_over():
 def test_empty_table(spark):
     _, df = pages(spark)
     assert warc.round_trip(df.limit(0)).count() == 0
+
+
+def test_very_long_urls_come_back(spark):
+    noise = base64.b64encode(bytes((i * i * 31 + i // 7) % 256 for i in range(300_000))).decode()
+    urls = ["http://x/" + "a" * (1 << 16), "data:text/html;base64," + noise, "u" + " " * 70_000, "short"]
+    df = spark.createDataFrame([(i, u, f"<p>{i}</p>") for i, u in enumerate(urls)], "page_id long, url string, html string")
+    for settings in (warc.Settings(), warc.Settings(split_bytes=5000)):
+        got = {r["page_id"]: r for r in warc.round_trip(df, settings).collect()}
+        assert {i: r["target"] for i, r in got.items()} == {i: u.replace(" ", "%20") for i, u in enumerate(urls)}
+        assert all(r["valid"] and bytes(r["payload"]) == f"<p>{i}</p>".encode() for i, r in got.items())
+
+
+def test_malformed_headers_are_no_record():
+    for head in (b"WARC/1.1\r\nno field\r\n\r\n", b"WARC/1.1\r\nWARC-Type: response\r\n"):
+        blob = gzip.compress(head)
+        assert warc.inflate(io.BytesIO(blob), 0) is None
