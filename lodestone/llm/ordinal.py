@@ -2,56 +2,58 @@
 
 One weight vector w is shared by all ordered thresholds t_1 < t_2 < ...:
 P(grade > j) = sigmoid(w.x - t_j). Toxicity severity and quality grades are two
-uses of this model; they differ in the grades and in the features kept.
-
-Features of a whole text: its words, the first letters of each word, the
-shape of each blank-separated token (letters, digits and case folded to one sign
-each) and how often a token follows itself, hashed, as log(1 + count). Only buckets that differ between the grades
-by more than chance are kept, so words that no label explains weigh nothing. How much that is depends on how
-many rows are fitted (`least`): few rows cannot give large differences, however telling a word is.
+uses of this model; they differ in the grades and in the features.
+
+Every labelled row takes part, wherever it lies. Features (`features`) have the
+value log(1 + rate), the rate being that among PER of the text's words, so
+that values do not grow with a text's length. They are counted by grade over all
+labelled rows; kept are those
+whose presence differs between the grades by more than chance. The counts of
+the kept features of all labelled rows are written as compressed blocks, and
+the likelihood is maximised by quasi-Newton steps whose gradients are summed
+over these blocks in the executors. What the driver holds is one number for
+each bucket at most, whatever the number of rows.
 
 Defined results: a null or empty text has no features and gets the grade the
 thresholds alone give. Without labels, or with one grade only, there is no
 model: every row gets the lowest probability, 0, of being above any threshold
 in the severity operator and 1 in the quality operator, so nothing is removed.
+A repeated id takes part with each of its rows.
 """
 
 from __future__ import annotations
 
-import re
-import zlib
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import lru_cache
-from operator import eq
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import fresh, map_column
-
-_WORD = re.compile(r"[^\W\d_]+")
-_RUNS = re.compile(r"(.)\1+", re.S)
+from lodestone.llm import features
+from lodestone.llm.common import drop_stash, fresh, map_column, stash
 
 
 @dataclass(frozen=True)
 class Settings:
-    """buckets: hashed features. sample_rows: bound on the labelled rows that are fitted.
+    """least_z: two-proportion z from which a feature is kept, for full_rows labelled rows or more; see `least`.
+
+    least_rows: rows of the rarer grades that have a kept feature.
 
-    least_rows, least_z: rows that have a kept feature and its two-proportion z, for sample_rows rows; see `least`.
+    spread: standard deviation of a weight in the prior; steps: of the quasi-Newton method at most, which ends
+    earlier where the gradient has shrunk to tolerance of the first.
+    broadcast_rows: labels up to this number are broadcast (16 bytes each), more are joined by a shuffle.
     """
 
-    buckets: int = 1 << 18
-    sample_rows: int = 9000
-    prefixes: tuple[int, ...] = (3, 4, 5, 6)
-    shapes: bool = True
-    least_rows: int = 8
-    least_z: float = 6.0
-    epochs: int = 300
-    ridge: float = 1e-4
+    features: features.Kinds = features.Kinds()
+    least_rows: int = 2
+    least_z: float = 4.0
+    full_rows: int = 10_000
+    spread: float = 1.0
+    steps: int = 14
+    tolerance: float = 1e-2
+    broadcast_rows: int = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -63,190 +65,352 @@ class Model:
     settings: Settings
 
 
-#: Longer tokens are read whole like others, but not remembered.
-CACHED = 64
-
-
-@lru_cache(maxsize=100_000)
-def _shape(token: str) -> str:
-    signs = ("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in token)
-    return _RUNS.sub(r"\1", "".join(signs))[:8]
+@dataclass(frozen=True)
+class Counts:
+    """Rows of each grade, and for some buckets in how many rows of each grade they occur."""
 
+    grades: tuple[int, ...]
+    sizes: np.ndarray  # grades
+    buckets: np.ndarray
+    rows: np.ndarray  # buckets x grades
 
-def _keys(token: str, settings: Settings) -> list[int]:
-    """The buckets of one blank-separated token."""
-    found = []
-    for word in _WORD.findall(token.lower()):
-        found.append("w" + word)
-        found += [f"{n}{word[:n]}" for n in settings.prefixes if len(word) >= n]
-    if settings.shapes:
-        found.append("s" + (_shape(token) if len(token) <= CACHED else _shape.__wrapped__(token)))
-    return [zlib.crc32(k.encode("utf-8", "replace")) % settings.buckets for k in found]
 
+@dataclass(frozen=True)
+class Labelled:
+    """Labelled rows by their kept features: `blocks` lie in the shared folder."""
 
-class Features:
-    """Counts of buckets in whole texts; with `kept`, of those buckets only.
+    counts: Counts
+    blocks: DataFrame
 
-    What a token gives is kept in two generations of bounded size, unless the token is long.
-    """
 
-    def __init__(self, settings: Settings, kept: np.ndarray | None = None, bound: int = 200_000) -> None:
-        self.settings, self.bound, self.known, self.old = settings, bound, {}, {}
-        self.kept = None if kept is None else {int(k): i for i, k in enumerate(kept)}
-        self.again = self._chosen([zlib.crc32(b"again") % settings.buckets]) if settings.shapes else ()
-
-    def _chosen(self, keys: list[int]) -> tuple[int, ...]:
-        return tuple(keys) if self.kept is None else tuple(self.kept[k] for k in keys if k in self.kept)
-
-    def counts(self, text: str | None) -> dict[int, int]:
-        tokens = (text or "").split()
-        out: dict[int, int] = {}
-        if self.again and (again := sum(map(eq, tokens, tokens[1:]))):
-            out[self.again[0]] = again
-        known = self.known
-        for token, n in Counter(tokens).items():
-            keys = known.get(token)
-            if keys is None and len(token) > CACHED:
-                keys = self._chosen(_keys(token, self.settings))
-            elif keys is None:
-                keys = self.old.get(token)
-                known[token] = keys = self._chosen(_keys(token, self.settings)) if keys is None else keys
-            for k in keys:
-                out[k] = out.get(k, 0) + n
-        if len(known) > self.bound:
-            self.old, self.known = known, {}
-        return out
+PER = 256
+BLOCKS = "grade binary, words binary, size binary, at binary, n binary"
 
 
 @dataclass(frozen=True)
-class Sample:
-    """Sparse counts of labelled rows, and how many rows of each grade there are in all."""
+class Rows:
+    """Some labelled rows in memory: row i has `size[i]` features, columns `at` and counts `n`."""
 
     grade: np.ndarray
-    at: list
-    n: list
-    sizes: dict[int, int]
+    words: np.ndarray
+    size: np.ndarray
+    at: np.ndarray
+    n: np.ndarray
+
+    @property
+    def row(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.size)), self.size)
+
+    @property
+    def x(self) -> np.ndarray:
+        """Feature values: counts as rates, for few words as if there were some more."""
+        return np.log1p(self.n * np.repeat(PER / (self.words + PER / 4), self.size))
+
+    def scores(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, self.x * w[self.at], minlength=len(self.size))
+
+    def packed(self) -> list[bytes]:
+        kinds = (np.int32, np.int64, np.int32, np.int32, np.int32)
+        return [np.ascontiguousarray(x, k).tobytes() for x, k in zip((self.grade, self.words, self.size, self.at, self.n), kinds)]
+
+    @staticmethod
+    def of(batch: pa.RecordBatch, i: int) -> Rows:
+        kinds = (np.int32, np.int64, np.int32, np.int32, np.int32)
+        return Rows(*[np.frombuffer(batch.column(j)[i].as_buffer(), k) for j, k in enumerate(kinds)])
+
+
+def rows_of(texts: list[str | None], grade: np.ndarray, kept: np.ndarray, settings: Settings) -> Iterator[Rows]:
+    """Labelled texts as blocks of rows; kept: sorted buckets."""
+    wanted = np.zeros(settings.features.buckets, bool)
+    wanted[kept] = True
+    for b in features.blocks(texts, settings.features, wanted):
+        size = np.bincount(b.doc - b.first, minlength=len(b.words))
+        yield Rows(grade[b.first : b.first + len(b.words)], b.words, size, np.searchsorted(kept, b.at), b.n)
+
+
+def _present(rows: DataFrame, settings: Settings, kept: np.ndarray | None) -> DataFrame:
+    """grade, bucket and n: in how many rows of each grade each bucket occurs; bucket -1 counts the rows."""
+    buckets = settings.features.buckets
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = None
+        if kept is not None:
+            wanted = np.zeros(buckets, bool)
+            wanted[kept] = True
+        found: dict[int, np.ndarray] = {}
+        for batch in batches:
+            grade = batch.column(1).to_numpy()
+            for b in features.blocks(batch.column(0).to_pylist(), settings.features, wanted):
+                own = grade[b.first : b.first + len(b.words)]
+                for g in np.unique(own):
+                    c = found.setdefault(int(g), np.zeros(buckets + 1, np.int32))
+                    at, n = np.unique(b.at[own[b.doc - b.first] == g], return_counts=True)
+                    c[at] += n.astype(np.int32)
+                    c[-1] += int((own == g).sum())
+        for g, c in found.items():
+            spots = np.flatnonzero(c)
+            for i in range(0, len(spots), 1 << 16):
+                at = spots[i : i + (1 << 16)]
+                bucket = np.where(at == buckets, -1, at).astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(at), g, np.int32)), pa.array(bucket), pa.array(c[at].astype(np.int64))], ["grade", "bucket", "n"]
+                )
+
+    return rows.select("text", "grade").mapInArrow(count, "grade int, bucket int, n long")
+
+
+def _summed(present: DataFrame, grades: list[int], least: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of each of the grades, buckets that occur in `least` of them, and their counts by grade."""
+    by = present.groupBy("bucket").agg(*[F.sum(F.when(F.col("grade") == g, F.col("n")).otherwise(0)).alias(f"n{g}") for g in grades])
+    total = sum((F.col(f"n{g}") for g in grades), F.lit(0))
+    found = by.where((F.col("bucket") < 0) | (total >= least)).toArrow()
+    bucket = found.column("bucket").to_numpy()
+    n = np.stack([found.column(f"n{g}").to_numpy() for g in grades], 1).astype(np.int64).reshape(len(bucket), len(grades))
+    order = np.argsort(bucket, kind="stable")
+    bucket, n = bucket[order], n[order]
+    rows = n[0] if len(bucket) and bucket[0] < 0 else np.zeros(len(grades), np.int64)
+    inside = bucket >= 0
+    return rows, bucket[inside], n[inside]
+
+
+def least(rows: int, settings: Settings) -> float:
+    """The z from which a feature is kept, of so many labelled rows.
+
+    z of an equally telling feature grows with the root of the rows, what chance
+    can bring more slowly: the cut goes with the sixth root, up to full_rows.
+    """
+    return settings.least_z * min(1.0, rows / settings.full_rows) ** (1 / 6)
+
+
+def select(counts: Counts, settings: Settings) -> Counts:
+    """The buckets whose presence above and below some threshold differs enough."""
+    sizes, rows = counts.sizes.astype(float), counts.rows.astype(float)
+    total, n = rows.sum(1), sizes.sum()
+    p = total / n
+    kept = np.zeros(len(counts.buckets), bool)
+    for j in range(1, len(counts.grades)):
+        n1 = sizes[j:].sum()
+        n0 = n - n1
+        up = rows[:, j:].sum(1)
+        z = (up / n1 - (total - up) / n0) / np.sqrt(np.maximum(p * (1 - p), 1e-12) * (1 / n1 + 1 / n0))
+        kept |= np.abs(z) >= least(n, settings)
+    kept &= total >= settings.least_rows
+    return Counts(counts.grades, counts.sizes, counts.buckets[kept], counts.rows[kept])
 
 
-def sample(docs: DataFrame, marks: DataFrame, settings: Settings) -> Sample:
-    """Counts of about sample_rows labelled documents at most, each grade an equal share.
+def prepare(docs: DataFrame, marks: DataFrame, settings: Settings) -> Labelled | None:
+    """Count and choose features over all labelled rows, and write the rows' kept features.
 
-    marks: doc_id and grade, an id once. Rows are drawn by a hash of the id,
-    before the texts are read; the draw is what is broadcast, so its size is
-    bounded by sample_rows.
+    marks: doc_id and grade, an id once. None without two grades.
     """
+    marks = marks.where(F.col("doc_id").isNotNull() & F.col("grade").isNotNull()).select("doc_id", F.col("grade").cast("int").alias("grade"))
     sizes = {r["grade"]: r["n"] for r in marks.groupBy("grade").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not sizes:
-        return Sample(np.zeros(0, int), [], [], {})
-    each = settings.sample_rows / len(sizes)
-    share = F.create_map(*[F.lit(x) for k, n in sorted(sizes.items()) for x in (k, min(1.0, each / n))])
-    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    drawn = marks.where(draw < F.element_at(share, F.col("grade")))
-
-    def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        count = Features(settings).counts
+    if len(sizes) < 2:
+        return None
+    texts = docs.select("doc_id", "text")
+    small = sum(sizes.values()) <= settings.broadcast_rows
+    rows = texts.join(F.broadcast(marks), "doc_id") if small else stash(texts.join(marks, "doc_id"), "labelled")
+    common = max(sizes, key=lambda g: (sizes[g], -g))
+    rare = sorted(set(sizes) - {common})
+    least = settings.least_rows
+    rare_n, buckets, rare_rows = _summed(_present(rows.where(F.col("grade") != common), settings, None), rare, least)
+    common_n, found, common_rows = _summed(_present(rows.where(F.col("grade") == common), settings, buckets), [common])
+    grades = tuple(sorted(sizes))
+    table = np.zeros((len(buckets), len(grades)), np.int64)
+    place = {g: i for i, g in enumerate(grades)}
+    table[:, [place[g] for g in rare]] = rare_rows
+    table[np.searchsorted(buckets, found), place[common]] = common_rows[:, 0]
+    n = np.zeros(len(grades), np.int64)
+    n[[place[g] for g in rare]], n[place[common]] = rare_n, common_n[0]
+    there = np.flatnonzero(n)
+    if len(there) < 2:
+        return None
+    counts = select(Counts(tuple(grades[i] for i in there), n[there], buckets, table[:, there]), settings)
+    kept = counts.buckets
+
+    def compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [count(t) for t in batch["text"]]
-            yield pd.DataFrame(
-                {
-                    "grade": batch["grade"].to_numpy(),
-                    "at": [np.fromiter(c.keys(), np.int32, len(c)) for c in made],
-                    "n": [np.fromiter(c.values(), np.int32, len(c)) for c in made],
-                }
-            )
+            for block in rows_of(batch.column(0).to_pylist(), batch.column(1).to_numpy(), kept, settings):
+                yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in block.packed()], [c.split()[0] for c in BLOCKS.split(", ")])
+
+    return Labelled(counts, stash(rows.select("text", "grade").mapInArrow(compress, BLOCKS), "labelled-features"))
 
-    rows = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("text", "grade")
-    rows = rows.mapInPandas(features, "grade int, at array<int>, n array<int>").toArrow().to_pandas()
-    return Sample(rows["grade"].to_numpy(int), rows["at"].to_list(), rows["n"].to_list(), sizes)
 
+def summed(blocks: DataFrame, of: Callable[[Rows], np.ndarray], parts: int = 8) -> np.ndarray | None:
+    """The sum of a vector over all blocks: within tasks, then in a few tasks, then in the driver."""
 
-def fit(rows: Sample, settings: Settings) -> Model | None:
-    """Fit on sparse counts. None without two grades."""
-    return fit_rows(rows.grade, rows.at, rows.n, rows.sizes, settings)
+    def add(batches: Iterator[pa.RecordBatch], make: Callable[[pa.RecordBatch, int], np.ndarray]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        total = None
+        for batch in batches:
+            for i in range(batch.num_rows):
+                made = make(batch, i)
+                total = made.copy() if total is None else total + made
+        if total is not None:
+            slot = TaskContext.get().partitionId() % parts
+            yield pa.RecordBatch.from_arrays([pa.array([slot], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["slot", "v"])
+
+    schema = "slot int, v binary"
+    first = blocks.mapInArrow(lambda it: add(it, lambda b, i: of(Rows.of(b, i))), schema)
+    again = lambda it: add(it, lambda b, i: np.frombuffer(b.column(1)[i].as_buffer()))
+    found = first.repartition(parts, "slot").mapInArrow(again, schema).collect()
+    return sum((np.frombuffer(r["v"]) for r in sorted(found, key=lambda r: bytes(r["v"]))), start=0.0) if found else None
 
 
-def _bincount(x: np.ndarray, size: int) -> np.ndarray:
-    """np.bincount in pieces, as it widens what it counts."""
-    out = np.zeros(size, np.int64)
-    for at in range(0, len(x), 1 << 20):
-        out += np.bincount(x[at : at + (1 << 20)], minlength=size)
-    return out
+def thresholds(raw: np.ndarray) -> np.ndarray:
+    """Ordered thresholds from the first one and the logarithms of the steps."""
+    return raw[0] + np.concatenate([[0.0], np.cumsum(np.exp(raw[1:]))])
 
 
-def least(rows: int, settings: Settings) -> tuple[int, float]:
-    """least_rows and least_z for so many fitted rows.
+def likelihood(rows: Rows, w: np.ndarray, t: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """Weighted negative log-likelihood of rows, its gradient by t and w, and the curvature by w, as one vector.
 
-    z of an equally telling feature grows with the root of the rows, and so does
-    what chance can bring, though more slowly: the cut goes with the sixth root,
-    the rows in proportion down to two. From sample_rows on both stay.
+    rows.grade: places in the order of grades. share: the weight of a row of each grade.
     """
-    share = min(1.0, rows / settings.sample_rows)
-    return max(2, min(settings.least_rows, rows // 500)), settings.least_z * share ** (1 / 6)
+    y, row, x = rows.grade, rows.row, rows.x
+    score = np.bincount(row, x * w[rows.at], minlength=len(y))
+    up = 1 / (1 + np.exp(-np.clip(score[:, None] - t[None, :], -35, 35)))  # P(grade > j)
+    bounds = np.concatenate([np.ones((len(y), 1)), up, np.zeros((len(y), 1))], 1)
+    slope = bounds * (1 - bounds)
+    i, even = np.arange(len(y)), share[y]
+    p = np.maximum(bounds[i, y] - bounds[i, y + 1], 1e-12)
+    by_score = -even * (slope[i, y] - slope[i, y + 1]) / p
+    by_t = np.bincount(y, even * slope[i, y] / p, len(t) + 2) - np.bincount(y + 1, even * slope[i, y + 1] / p, len(t) + 2)
+    curve = even * (slope[i, y] + slope[i, y + 1])
+    return np.concatenate(
+        [
+            [-(even * np.log(p)).sum()],
+            by_t[1:-1],
+            np.bincount(rows.at, x * by_score[row], minlength=len(w)),
+            np.bincount(rows.at, x * x * curve[row], minlength=len(w)),
+        ]
+    )
+
+
+def minimise(value: Callable[[np.ndarray], tuple[float, np.ndarray]], start: np.ndarray, steps: int, tolerance: float, memory: int = 8) -> np.ndarray:
+    """Limited-memory quasi-Newton descent; value gives a function's value and gradient."""
+    x, pairs = start, []
+    f, g = value(x)
+    first = np.linalg.norm(g)
+    for _ in range(steps):
+        d, kept = -g, []
+        for s, y, r in reversed(pairs):
+            a = r * (s @ d)
+            d = d - a * y
+            kept.append(a)
+        if pairs:
+            s, y, _ = pairs[-1]
+            d = d * ((s @ y) / (y @ y))
+        for (s, y, r), a in zip(pairs, reversed(kept)):
+            d = d + (a - r * (y @ d)) * s
+        slope, size = float(g @ d), 1.0
+        for _ in range(12):
+            f_new, g_new = value(x + size * d)
+            if f_new <= f + 1e-4 * size * slope:
+                break
+            size *= 0.4
+        else:
+            break
+        s, y = size * d, g_new - g
+        if s @ y > 1e-12:
+            pairs = [*pairs, (s, y, 1 / (s @ y))][-memory:]
+        x, f, g = x + s, f_new, g_new
+        if np.linalg.norm(g) <= tolerance * first:
+            break
+    return x
+
+
+Total = Callable[[Callable[[Rows], np.ndarray]], np.ndarray]
+
+
+def weight_of_rows(sizes: np.ndarray) -> np.ndarray:
+    """What a row of each grade weighs: grades weigh between equally and as often as they occur."""
+    each = (sizes / sizes.sum()) ** 0.5 / sizes
+    return each / (each * sizes).sum()
 
 
-def fit_rows(grade: np.ndarray, at: list, n: list, sizes: dict[int, int], settings: Settings) -> Model | None:
-    """Fit from sparse counts. sizes: rows of each grade in the whole table, for the thresholds."""
-    grades = tuple(sorted(set(grade.tolist())))
+@dataclass(frozen=True)
+class Start:
+    """Where a fit starts, and what a row of each grade weighs in it."""
+
+    weights: np.ndarray
+    thresholds: np.ndarray
+    each: np.ndarray
+
+
+def fit_counts(total: Total, buckets: np.ndarray, grades: tuple[int, ...], sizes: np.ndarray, settings: Settings, first: Start | None = None) -> Model:
+    """Fit, given how a vector is summed over all labelled rows; sizes: rows of each grade."""
+    n = sizes.sum()
+    each = weight_of_rows(sizes) if first is None else first.each
+    below = np.cumsum(each * sizes)[:-1]
+    t = np.log(below / (1 - below)) if first is None else first.thresholds
+    raw = np.concatenate([t[:1], np.log(np.maximum(np.diff(t), 1e-2))])
+    k, m = len(raw), len(buckets)
+    prior = 1 / (settings.spread**2 * n)
+    begin = np.zeros(m) if first is None else first.weights
+    start = total(lambda rows: likelihood(rows, begin, t, each))
+    scale = np.concatenate([np.full(k, 2.0), 1 / np.sqrt(start[1 + k + m :] + prior)])
+
+    def value(theta: np.ndarray) -> tuple[float, np.ndarray]:
+        raw, w = theta[:k] * scale[:k], theta[k:] * scale[k:]
+        t = thresholds(raw)
+        made = total(lambda rows: likelihood(rows, w, t, each))
+        tail = np.cumsum(made[1 : 1 + k][::-1])[::-1]
+        by_raw = np.concatenate([tail[:1], tail[1:] * np.exp(raw[1:])])
+        by_w = made[1 + k : 1 + k + m] + prior * w
+        return float(made[0] + prior / 2 * (w @ w)), np.concatenate([by_raw, by_w]) * scale
+
+    found = minimise(value, np.concatenate([raw, begin]) / scale, settings.steps, settings.tolerance) * scale
+    return Model(grades, buckets, found[k:], thresholds(found[:k]), settings)
+
+
+def fit(
+    found: Labelled | None,
+    settings: Settings,
+    regrade: Callable[[Rows], Rows] | None = None,
+    sizes: dict[int, int] | None = None,
+    first: Start | None = None,
+) -> Model | None:
+    """Fit on all labelled rows. regrade: other grades for the rows, of which sizes tells how many there are."""
+    if found is None:
+        return None
+    sizes = sizes or dict(zip(found.counts.grades, found.counts.sizes.tolist()))
+    grades = tuple(sorted(g for g, n in sizes.items() if n))
     if len(grades) < 2:
         return None
-    order = np.lexsort(([zlib.crc32(np.sort(a).tobytes()) for a in at], grade))
-    grade, at, n = grade[order], [at[i] for i in order], [n[i] for i in order]
-    y = np.searchsorted(grades, grade)
-    row = np.repeat(np.arange(len(at), dtype=np.int32), [len(a) for a in at])
-    at, n = np.concatenate(at), np.concatenate(n)
-    kept = np.zeros(settings.buckets, bool)
-    total = _bincount(at, settings.buckets)
-    least_rows, least_z = least(len(y), settings)
-    for j in range(1, len(grades)):  # presence above and below each threshold, two-proportion z
-        above = y >= j
-        hits = _bincount(at[above[row]], settings.buckets)
-        n1, n0 = above.sum(), (~above).sum()
-        p = total / len(y)
-        z = (hits / n1 - (total - hits) / n0) / np.sqrt(np.maximum(p * (1 - p), 1e-9) * (1 / n1 + 1 / n0))
-        kept |= (np.abs(z) >= least_z) & (total >= least_rows)
-    buckets = np.flatnonzero(kept)
-    inside = kept[at]
-    col, row, x = np.searchsorted(buckets, at[inside]), row[inside], np.log1p(n[inside])
-    del at, n, inside
-    share = np.array([sizes[g] for g in grades], float) / sum(sizes[g] for g in grades)
-    even = (share / np.bincount(y, minlength=len(grades)))[y] ** 0.5  # between the sample's and the table's mix
-    even /= even.sum()
-    w = np.zeros(len(buckets))
-    t = np.sort(np.log(np.cumsum(share)[:-1] / (1 - np.cumsum(share)[:-1]) + 1e-9))
-    raw = np.concatenate([t[:1], np.log(np.maximum(np.diff(t), 1e-2))])  # ordered: first, then log steps
-    m1w, m2w, m1t, m2t = np.zeros_like(w), np.zeros_like(w), np.zeros_like(raw), np.zeros_like(raw)
-    for step in range(1, settings.epochs + 1):
-        t = raw[0] + np.concatenate([[0], np.cumsum(np.exp(raw[1:]))])
-        score = np.bincount(row, x * w[col], minlength=len(y))
-        up = 1 / (1 + np.exp(-np.clip(score[:, None] - t[None, :], -35, 35)))  # P(grade > j)
-        bounds = np.concatenate([np.ones((len(y), 1)), up, np.zeros((len(y), 1))], 1)
-        slope = bounds * (1 - bounds)
-        i = np.arange(len(y))
-        p = np.maximum(bounds[i, y] - bounds[i, y + 1], 1e-12)
-        gs = -even * (slope[i, y] - slope[i, y + 1]) / p
-        gw = np.bincount(col, x * gs[row], minlength=len(w)) + settings.ridge * w / len(w) ** 0.5
-        gt = np.zeros(len(t) + 2)
-        np.add.at(gt, y, even * slope[i, y] / p)
-        np.add.at(gt, y + 1, -even * slope[i, y + 1] / p)
-        gt = gt[1:-1]
-        tail = np.cumsum(gt[::-1])[::-1]
-        graw = np.concatenate([tail[:1], tail[1:] * np.exp(raw[1:])])
-        rate = 0.1 * min(1.0, 2 - 2 * step / settings.epochs)
-        m1w, m2w = 0.9 * m1w + 0.1 * gw, 0.999 * m2w + 0.001 * gw * gw
-        m1t, m2t = 0.9 * m1t + 0.1 * graw, 0.999 * m2t + 0.001 * graw * graw
-        c1, c2 = 1 - 0.9**step, 1 - 0.999**step
-        w -= rate * (m1w / c1) / (np.sqrt(m2w / c2) + 1e-8)
-        raw -= rate * (m1t / c1) / (np.sqrt(m2t / c2) + 1e-8)
-    t = raw[0] + np.concatenate([[0], np.cumsum(np.exp(raw[1:]))])
-    return Model(grades, buckets, w, t, settings)
-
-
-def tails(model: Model, count: Features, text: str | None) -> np.ndarray:
-    """P(grade > j) for each threshold j. count: features of the model's buckets."""
-    c = count.counts(text)
-    at = np.fromiter(c.keys(), np.int64, len(c))
-    score = float(np.log1p(np.fromiter(c.values(), np.float64, len(c))) @ model.weights[at])
-    return 1 / (1 + np.exp(-np.clip(score - model.thresholds, -35, 35)))
+    order = np.array(grades)
+
+    def placed(rows: Rows) -> Rows:
+        rows = regrade(rows) if regrade else rows
+        return Rows(np.searchsorted(order, rows.grade), rows.words, rows.size, rows.at, rows.n)
+
+    total = lambda of: summed(found.blocks, lambda rows: of(placed(rows)))
+    return fit_counts(total, found.counts.buckets, grades, np.array([sizes[g] for g in grades], float), settings, first)
+
+
+def train(docs: DataFrame, marks: DataFrame, settings: Settings) -> Model | None:
+    """Prepare, fit and delete what was written between."""
+    found = prepare(docs, marks, settings)
+    model = fit(found, settings)
+    if found:
+        drop_stash(found.blocks)
+    return model
+
+
+def tails(model: Model, texts: list[str | None]) -> np.ndarray:
+    """P(grade > j) of each text and for each threshold j."""
+    score = np.zeros(len(texts))
+    for rows, first in _scored(model, texts):
+        score[first : first + len(rows.size)] = rows.scores(model.weights)
+    return 1 / (1 + np.exp(-np.clip(score[:, None] - model.thresholds[None, :], -35, 35)))
+
+
+def _scored(model: Model, texts: list[str | None]) -> Iterator[tuple[Rows, int]]:
+    first = 0
+    for rows in rows_of(texts, np.zeros(len(texts), np.int32), model.buckets, model.settings):
+        yield rows, first
+        first += len(rows.size)
 
 
 def predict(docs: DataFrame, model: Model | None, empty: float, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -256,18 +420,14 @@ def predict(docs: DataFrame, model: Model | None, empty: float, keep: tuple[str,
     """
 
     def start():
-        count = Features(model.settings, model.buckets) if model else None
-
         def work(texts: list[str | None]) -> list[list]:
-            out = []
-            for text in texts:
-                if model is None:
-                    out.append((int(empty), float(empty), [float(empty)]))
-                    continue
-                up = tails(model, count, text)
-                p = -np.diff(np.concatenate([[1.0], up, [0.0]]))
-                out.append((model.grades[int(p.argmax())], float(p @ np.array(model.grades, float)), up.tolist()))
-            return [list(c) for c in zip(*out)] or [[], [], []]
+            if model is None:
+                return [[int(empty)] * len(texts), [float(empty)] * len(texts), [[float(empty)]] * len(texts)]
+            up = tails(model, texts)
+            ends = np.ones((len(texts), 1))
+            p = -np.diff(np.concatenate([ends, up, 0 * ends], 1), axis=1)
+            grades = np.array(model.grades)
+            return [grades[p.argmax(1)].tolist() if len(p) else [], (p @ grades).tolist(), up.tolist()]
 
         return work
 

@@ -18,13 +18,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm import ordinal
+from lodestone.llm import features, ordinal
 from lodestone.llm.common import fresh
 
 
 @dataclass(frozen=True)
 class Settings:
-    model: ordinal.Settings = ordinal.Settings(prefixes=(5,))
+    model: ordinal.Settings = ordinal.Settings(features.Kinds(prefixes=(5,), shapes=True), least_z=5.0)
     select_grade: int = 1
     keep_from: float = 0.5
 
@@ -38,7 +38,8 @@ def ratings(labels: DataFrame) -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> ordinal.Model | None:
-    return ordinal.fit(ordinal.sample(docs, ratings(labels), settings.model), settings.model)
+    """A model of the ratings, or None without two different ones."""
+    return ordinal.train(docs, ratings(labels), settings.model)
 
 
 def _tail(model: ordinal.Model | None, settings: Settings, column: str = "_tails") -> Column:

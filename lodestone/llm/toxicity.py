@@ -1,59 +1,93 @@
 """Toxicity: severity grades by cumulative-link ordinal regression.
 
-labels.toxic says only whether a text is toxic. The severity grades that are
-fitted come from it: 0 where toxic is 0; toxic texts get 1, 2 or 3 by how many
-marks they bear (2 from marks_2, 3 from marks_3; a word gives up to five marks,
-itself and its first letters). Marks are the features to which a first
-regression, on the plain labels, gives weights over mark_from. All thresholds share one weight vector.
+labels.toxic says only whether a text is toxic. A first regression is fitted to
+that. The severity grades come from it: 0 where toxic is 0; toxic texts get 1, 2
+or 3 by their score in it, cut into thirds over all labelled toxic texts. Feature
+values are rates among a text's words, so a score tells how strong and how dense
+what marks a text is, not how long the text is. The ordinal regression on these
+grades starts from the first one and shares one weight vector over all thresholds.
 
 Defined results: see ordinal. A text is rejected if P(severity > 0) is at
-least reject_from. Documents with null ids are scored like any other; if an id
-repeats, each row is scored by its own text.
+least reject_from; grades weigh in the fit by the root of how often they occur,
+so that probability is above the plain one. Documents with null ids are scored
+like any other; if an id repeats, each row is scored by its own text.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, replace
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm import ordinal
-from lodestone.llm.common import fresh
+from lodestone.llm.common import drop_stash, fresh
+
+_BINS, _STEP, _LEAST = 1024, 0.125, -32.0
 
 
 @dataclass(frozen=True)
 class Settings:
-    model: ordinal.Settings = ordinal.Settings(shapes=False)
-    mark_from: float = 0.3
-    marks_2: int = 25
-    marks_3: int = 60
-    reject_from: float = 0.5
+    """steps: of the ordinal fit, which starts from the fit on plain labels."""
+
+    model: ordinal.Settings = ordinal.Settings()
+    steps: int = 6
+    reject_from: float = 0.4
 
 
 def marks(labels: DataFrame) -> DataFrame:
     """doc_id and the plain 0/1 label; an id with several labels takes the largest."""
     rows = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
-    return rows.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("grade"))
+    return rows.groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("grade"))
+
+
+def strength(rows: ordinal.Rows, weights: np.ndarray) -> np.ndarray:
+    """The rows' scores as numbers of bins."""
+    return np.clip(np.floor((rows.scores(weights) - _LEAST) / _STEP), 0, _BINS - 1).astype(int)
+
 
+def cuts(histogram: np.ndarray) -> tuple[int, int]:
+    """The bins from which grades 2 and 3 start: thirds of the rows, as near as bins allow."""
+    below = np.concatenate([[0], np.cumsum(histogram)])
+    second, third = (int(np.searchsorted(below, share * below[-1])) for share in (1 / 3, 2 / 3))
+    return second, max(third, second)
 
-def graded(rows: ordinal.Sample, marker: ordinal.Model, settings: Settings) -> ordinal.Sample:
-    """Severity grades from plain labels and the number of marks."""
-    heavy = np.zeros(settings.model.buckets, bool)
-    heavy[marker.buckets[marker.weights > settings.mark_from]] = True
-    hits = np.array([int(n[heavy[at]].sum()) for at, n in zip(rows.at, rows.n)])
-    grade = np.where(rows.grade == 0, 0, 1 + (hits >= settings.marks_2) + (hits >= settings.marks_3))
-    toxic, clean = int((rows.grade != 0).sum()), rows.sizes.get(0, 0)
-    all_toxic = sum(rows.sizes.values()) - clean
-    sizes = {g: clean if g == 0 else all_toxic * int((grade == g).sum()) / max(1, toxic) for g in set(grade.tolist())}
-    return ordinal.Sample(grade, rows.at, rows.n, sizes)
+
+def regraded(weights: np.ndarray, second: int, third: int) -> Callable[[ordinal.Rows], ordinal.Rows]:
+    """Severity grades in place of plain labels."""
+
+    def regrade(rows: ordinal.Rows) -> ordinal.Rows:
+        at = strength(rows, weights)
+        return replace(rows, grade=np.where(rows.grade == 0, 0, 1 + (at >= second) + (at >= third)))
+
+    return regrade
 
 
 def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> ordinal.Model | None:
-    rows = ordinal.sample(docs, marks(labels), settings.model)
-    marker = ordinal.fit(rows, settings.model)
-    return ordinal.fit(graded(rows, marker, settings), settings.model) if marker else None
+    """A model of severity, or None without both toxic and clean labelled documents."""
+    found = ordinal.prepare(docs, marks(labels), settings.model)
+    if found is None:
+        return None
+    plain = ordinal.fit(found, settings.model)
+    toxic = ordinal.summed(
+        found.blocks, lambda rows: np.bincount(strength(rows, plain.weights)[rows.grade > 0], minlength=_BINS).astype(float)
+    )
+    second, third = cuts(toxic)
+    parts = (0, second, third, _BINS)
+    sizes = {0: int(found.counts.sizes[0])} | {g: int(toxic[parts[g - 1] : parts[g]].sum()) for g in (1, 2, 3)}
+    there = [g for g in (1, 2, 3) if sizes[g]]
+    each = ordinal.weight_of_rows(found.counts.sizes.astype(float))
+    first = ordinal.Start(
+        plain.weights,
+        np.maximum.accumulate([plain.thresholds[0], *(_LEAST + _STEP * parts[g - 1] for g in there[1:])]),
+        each[[0, *(1 for _ in there)]],
+    )
+    again = replace(settings.model, steps=settings.steps)
+    model = ordinal.fit(found, again, regraded(plain.weights, second, third), sizes, first)
+    drop_stash(found.blocks)
+    return model
 
 
 def score(docs: DataFrame, model: ordinal.Model | None, settings: Settings = Settings()) -> DataFrame:
