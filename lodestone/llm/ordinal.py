@@ -240,21 +240,18 @@ def summed(blocks: DataFrame, of: Callable[[Rows], np.ndarray], parts: int = 8)
     """The sum of a vector over all blocks: within tasks, then in a few tasks, then in the driver."""
 
     def add(batches: Iterator[pa.RecordBatch], make: Callable[[pa.RecordBatch, int], np.ndarray]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
         total = None
         for batch in batches:
             for i in range(batch.num_rows):
                 made = make(batch, i)
                 total = made.copy() if total is None else total + made
         if total is not None:
-            slot = TaskContext.get().partitionId() % parts
-            yield pa.RecordBatch.from_arrays([pa.array([slot], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["slot", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["v"])
 
-    schema = "slot int, v binary"
+    schema = "v binary"
     first = blocks.mapInArrow(lambda it: add(it, lambda b, i: of(Rows.of(b, i))), schema)
-    again = lambda it: add(it, lambda b, i: np.frombuffer(b.column(1)[i].as_buffer()))
-    found = first.repartition(parts, "slot").mapInArrow(again, schema).collect()
+    again = lambda it: add(it, lambda b, i: np.frombuffer(b.column(0)[i].as_buffer()))
+    found = first.repartition(parts).mapInArrow(again, schema).collect()
     return sum((np.frombuffer(r["v"]) for r in sorted(found, key=lambda r: bytes(r["v"]))), start=0.0) if found else None
 
 
@@ -263,8 +260,8 @@ def thresholds(raw: np.ndarray) -> np.ndarray:
     return raw[0] + np.concatenate([[0.0], np.cumsum(np.exp(raw[1:]))])
 
 
-def likelihood(rows: Rows, w: np.ndarray, t: np.ndarray, share: np.ndarray) -> np.ndarray:
-    """Weighted negative log-likelihood of rows, its gradient by t and w, and the curvature by w, as one vector.
+def likelihood(rows: Rows, w: np.ndarray, t: np.ndarray, share: np.ndarray, curved: bool = False) -> np.ndarray:
+    """Weighted negative log-likelihood of rows, its gradient by t and w, and if curved the curvature by w, as one vector.
 
     rows.grade: places in the order of grades. share: the weight of a row of each grade.
     """
@@ -277,15 +274,11 @@ def likelihood(rows: Rows, w: np.ndarray, t: np.ndarray, share: np.ndarray) -> n
     p = np.maximum(bounds[i, y] - bounds[i, y + 1], 1e-12)
     by_score = -even * (slope[i, y] - slope[i, y + 1]) / p
     by_t = np.bincount(y, even * slope[i, y] / p, len(t) + 2) - np.bincount(y + 1, even * slope[i, y + 1] / p, len(t) + 2)
-    curve = even * (slope[i, y] + slope[i, y + 1])
-    return np.concatenate(
-        [
-            [-(even * np.log(p)).sum()],
-            by_t[1:-1],
-            np.bincount(rows.at, x * by_score[row], minlength=len(w)),
-            np.bincount(rows.at, x * x * curve[row], minlength=len(w)),
-        ]
-    )
+    made = [[-(even * np.log(p)).sum()], by_t[1:-1], np.bincount(rows.at, x * by_score[row], minlength=len(w))]
+    if curved:
+        curve = even * (slope[i, y] + slope[i, y + 1])
+        made.append(np.bincount(rows.at, x * x * curve[row], minlength=len(w)))
+    return np.concatenate(made)
 
 
 def minimise(value: Callable[[np.ndarray], tuple[float, np.ndarray]], start: np.ndarray, steps: int, tolerance: float, memory: int = 8) -> np.ndarray:
@@ -349,7 +342,7 @@ def fit_counts(total: Total, buckets: np.ndarray, grades: tuple[int, ...], sizes
     k, m = len(raw), len(buckets)
     prior = 1 / (settings.spread**2 * n)
     begin = np.zeros(m) if first is None else first.weights
-    start = total(lambda rows: likelihood(rows, begin, t, each))
+    start = total(lambda rows: likelihood(rows, begin, t, each, curved=True))
     scale = np.concatenate([np.full(k, 2.0), 1 / np.sqrt(start[1 + k + m :] + prior)])
 
     def value(theta: np.ndarray) -> tuple[float, np.ndarray]:

@@ -53,8 +53,8 @@ def score(docs: DataFrame, model: ordinal.Model | None, settings: Settings = Set
     return ordinal.predict(docs, model, 1.0).select(
         "doc_id",
         F.col("_grade").alias("quality_grade"),
-        F.col("_expected").alias("expected_grade"),
-        tail.alias("p_selected"),
+        F.round("_expected", 9).alias("expected_grade"),
+        F.round(tail, 9).alias("p_selected"),
         (tail >= settings.keep_from).alias("selected"),
     )
 

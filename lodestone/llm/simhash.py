@@ -271,36 +271,31 @@ def links(fps: DataFrame, parts: list[Partition], radius: int, settings: Setting
 def components(edges: DataFrame) -> DataFrame:
     """node and root for every node of the edges (a, b), by rounds of hooking, jumping and contraction."""
     edges = stash(edges.select("a", "b").where("a <> b").distinct(), "edges")
-    mapping: DataFrame | None = None
+    rounds: list[DataFrame] = []
     while not edges.isEmpty():
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(
             edges.select(F.col("b").alias("u"), F.col("a").alias("v"))
         )
-        hook = stash(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("p")), "hook")
+        hook = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("p"))
         jump = stash(
             hook.alias("h").join(hook.alias("g"), F.col("h.p") == F.col("g.u")).select("h.u", F.col("g.p").alias("p")),
             "jump",
         )
-        if mapping is None:
-            mapping = jump.select(F.col("u").alias("node"), F.col("p").alias("root"))
-        else:
-            old = mapping
-            mapping = stash(
-                old.join(jump, old["root"] == jump["u"], "left").select("node", F.coalesce("p", "root").alias("root")),
-                "roots",
-            )
-            drop_stash(old)
+        rounds.append(jump)
         to = lambda side: jump.select(F.col("u").alias(side), F.col("p").alias(f"p{side}"))
         moved = edges.join(to("a"), "a").join(to("b"), "b").where("pa <> pb")
         after = stash(
             moved.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct(), "edges"
         )
-        drop_stash(hook)
         drop_stash(edges)
         edges = after
-    if mapping is None:
+    if not rounds:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    return mapping
+    mapping = rounds[0].select(F.col("u").alias("node"), F.col("p").alias("root"))
+    for jump in rounds[1:]:
+        later = jump.select(F.col("u").alias("_u"), F.col("p").alias("_p"))
+        mapping = mapping.join(later, mapping["root"] == later["_u"], "left").select("node", F.coalesce("_p", "root").alias("root"))
+    return stash(mapping, "roots") if len(rounds) > 1 else mapping
 
 
 def shingle_sets(rows: DataFrame, words: int, check: int) -> DataFrame:

@@ -92,11 +92,11 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
 
 def score(docs: DataFrame, model: ordinal.Model | None, settings: Settings = Settings()) -> DataFrame:
     """doc_id, severity, expected_severity, p_toxic and rejected of every row."""
-    p_toxic = F.get("_tails", F.lit(0))
+    p_toxic = F.round(F.get("_tails", F.lit(0)), 9)
     return ordinal.predict(docs, model, 0.0).select(
         "doc_id",
         F.col("_grade").alias("severity"),
-        F.col("_expected").alias("expected_severity"),
+        F.round("_expected", 9).alias("expected_severity"),
         p_toxic.alias("p_toxic"),
         (p_toxic >= settings.reject_from).alias("rejected"),
     )
