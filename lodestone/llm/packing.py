@@ -1,19 +1,24 @@
 """Bulk-synchronous best-fit packing of token sequences.
 
-Pieces are taken in decreasing length, each into the sequence with the smallest
-gap that holds it (best fit). Lengths and gaps are whole numbers up to the
-capacity, so sorting them by range is counting them: runs of pieces of one
-length meet runs of sequences with one gap. A superstep covers the lengths from
-half a bound to the bound. In it each run sweeps to its successor, the run of
-the smallest gap that is large enough; when several pieces want one gap, their
-rank decides; gaps are updated and what is left goes on to the next successor
-or opens new sequences. A sweep handles at most capacity runs a side however
-many pieces there are, so it runs on counts; pieces themselves stay
-distributed, and each finds its sequence from its rank among equal lengths.
+Pieces longer than half a sequence open one each. The others are taken band by
+band of their lengths, long ones first. A superstep of a band sorts its pieces
+and all gaps by range. Each piece's successor is the smallest gap that holds it;
+where several pieces want one gap the longest wins (ties by a hash, then the id),
+the others go on to the next gap. In the sorted order that is the matching of
+brackets, a piece opening and a gap closing one: every range is swept where it
+lies, and what a range leaves over, counted by range, tells which of its pieces
+meet which gaps of later ranges. Gaps are updated. Then pieces without a gap are
+dealt out with the gaps that are left; each part fills these best-fit, longest
+piece first, and opens sequences for the rest. The next band goes on with the
+gaps of both steps.
+
+The driver holds a few numbers for each range of up to range_rows rows. Pieces
+carry an id of their own from where they are made, and a sequence is called by
+the piece that opened it.
 
 Defined results: a null or empty text is one piece that holds the end id only.
-Equal lengths are ranked by id, piece and checksum, so repeated rows go to
-neighbouring places. An empty table packs into nothing. Extra columns are
+A piece's place among equal ones goes by a hash of its id, so repeated rows are
+packed like any others. An empty table packs into nothing. Extra columns are
 ignored.
 """
 
@@ -22,17 +27,17 @@ from __future__ import annotations
 import bisect
 import re
 import zlib
-from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import rank_buckets, ranked, stash
+from lodestone.llm.common import stash
 
 #: Texts of these characters only are split here; any other goes to the tokenizer as a whole.
 _PLAIN = re.compile(r"[\t\n\r\x20-\x7e¡-¬®-ɏ‐-‧]*")
@@ -46,6 +51,7 @@ class Settings:
     capacity: int = 4096
     end_id: int = 1
     cached_words: int = 300_000
+    range_rows: int = 50_000
 
 
 class Encoder:
@@ -106,21 +112,28 @@ def encoder(path: str, cached_words: int) -> Encoder:
 
 
 def pieces(docs: DataFrame, settings: Settings, keep_ids: bool = False) -> DataFrame:
-    """Pieces of at most capacity tokens: doc_id, piece, start, length, ids_crc32 and, if wanted, the ids."""
-    schema = "doc_id long, piece int, start long, length int, ids_crc32 long" + ", ids binary" * keep_ids
+    """Pieces of at most capacity tokens: id, doc_id, piece, start, length, ids_crc32 and, if wanted, the ids.
+
+    id numbers the pieces of a task; it is not to be relied on before the rows are written.
+    """
+    schema = "id long, doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyspark import TaskContext
+
         encode = encoder(settings.tokenizer, settings.cached_words).ids
         end, step = int(settings.end_id).to_bytes(4, "little"), 4 * settings.capacity
         names = [c.split()[0] for c in schema.split(", ")]
+        own = TaskContext.get().partitionId() << 33
         for batch in batches:
             out = []
             for doc_id, text in zip(batch["doc_id"], batch["text"]):
                 ids = encode(text) + end
                 for k, at in enumerate(range(0, len(ids), step)):
                     part = ids[at : at + step]
-                    row = (doc_id, k, at // 4, len(part) // 4, zlib.crc32(part))
+                    row = (own, doc_id, k, at // 4, len(part) // 4, zlib.crc32(part))
                     out.append((*row, part) if keep_ids else row)
+                    own += 1
             made = pd.DataFrame(out, columns=names)
             made["doc_id"] = made["doc_id"].astype("Int64")
             yield made
@@ -128,95 +141,219 @@ def pieces(docs: DataFrame, settings: Settings, keep_ids: bool = False) -> DataF
     return docs.select("doc_id", "text").mapInPandas(rows, schema)
 
 
-@dataclass(frozen=True)
-class Plan:
-    """Runs: pieces of `length` ranked from `rank` on go to sequences from `sequence` on, at `offset`."""
-
-    length: np.ndarray
-    rank: np.ndarray
-    sequence: np.ndarray
-    offset: np.ndarray
-    sequences: int
-
-
-def sweep(counts: dict[int, int], capacity: int) -> Plan:
-    """Match runs of equal lengths to runs of equal gaps, superstep by superstep."""
-    gaps: dict[int, list[tuple[int, int]]] = defaultdict(list)  # gap -> ranges (first sequence, how many)
-    open_gaps: list[int] = []
-    runs: list[tuple[int, int, int, int]] = []
-    opened = 0
-
-    def put(gap: int, first: int, n: int) -> None:
-        if gap and n:
-            if not gaps[gap]:
-                bisect.insort(open_gaps, gap)
-            gaps[gap].append((first, n))
-
-    def fill(length: int, rank: int, left: int, gap: int, first: int, n: int) -> int:
-        """Fill a range of sequences, as many pieces as fit in each; return how many pieces were placed."""
-        fits = gap // length
-        full, rest = min(n, left // fits), 0
-        for j in range(fits):
-            if full:
-                runs.append((length, rank + j * full, first, capacity - gap + j * length))
-        put(gap - fits * length, first, full)
-        if full < n and (rest := left - full * fits) < fits and rest:
-            for j in range(rest):
-                runs.append((length, rank + full * fits + j, first + full, capacity - gap + j * length))
-            put(gap - rest * length, first + full, 1)
+PIECE, GAP, PLACED = 0, 1, 2
+STEP = "part int, role int, place long, id long, length long, sequence long, gap long"
+_STEP = [c.split()[0] for c in STEP.split(", ")]
+
+
+def match(kind: Sequence[int]) -> tuple[list[tuple[int, int]], list[int], list[int]]:
+    """Pairs (piece, gap) of places in a sorted run of pieces and gaps, and the pieces and gaps that are left.
+
+    Each piece takes the first gap after it that no longer piece has taken.
+    """
+    pairs, waiting, free = [], [], []
+    for at, what in enumerate(kind):
+        if what == PIECE:
+            waiting.append(at)
+        elif waiting:
+            pairs.append((waiting.pop(), at))
         else:
-            rest = 0
-        put(gap, first + full + bool(rest), n - full - bool(rest))
-        return full * fits + rest
-
-    bound = capacity
-    while bound:  # supersteps
-        for length in sorted((k for k in counts if bound // 2 < k <= bound), reverse=True):
-            rank, left = 0, counts[length]
-            while left:
-                at = bisect.bisect_left(open_gaps, length)
-                if at == len(open_gaps):
-                    need = -(-left // (capacity // length))
-                    gap, first, n = capacity, opened, need
-                    opened += need
+            free.append(at)
+    return pairs, waiting, free
+
+
+def meet(left: Sequence[tuple[int, int, int]]) -> list[tuple[int, int, int, int, int]]:
+    """What pieces and gaps left in ranges (range, pieces, gaps) match across ranges.
+
+    Runs of n: pieces of a range from place down, gaps of a later range from place up.
+    """
+    runs, waiting = [], []
+    for part, pieces_left, gaps_left in sorted(left):
+        at = 0
+        while gaps_left > at and waiting:
+            of, n = waiting.pop()
+            take = min(n, gaps_left - at)
+            runs.append((of, n - 1, part, at, take))
+            at += take
+            if n > take:
+                waiting.append((of, n - take))
+        if pieces_left:
+            waiting.append((part, pieces_left))
+    return runs
+
+
+class Gaps:
+    """Open gaps of sequences by size."""
+
+    def __init__(self) -> None:
+        self.by: dict[int, list[int]] = {}
+        self.sizes: list[int] = []
+
+    def add(self, sequence: int, gap: int) -> None:
+        if gap <= 0:
+            return
+        if gap not in self.by:
+            self.by[gap] = []
+            bisect.insort(self.sizes, gap)
+        self.by[gap].append(sequence)
+
+    def take(self, length: int) -> tuple[int, int] | None:
+        """A sequence with the smallest gap that holds the length, and that gap."""
+        at = bisect.bisect_left(self.sizes, length)
+        if at == len(self.sizes):
+            return None
+        gap = self.sizes[at]
+        sequence = self.by[gap].pop()
+        if not self.by[gap]:
+            del self.by[gap]
+            self.sizes.pop(at)
+        return sequence, gap
+
+
+def bands(capacity: int) -> list[tuple[int, int]]:
+    """Lengths above low and up to high: as many as fit in a sequence 2 to 8 times each, then by halves."""
+    edges = sorted({capacity // k for k in range(2, 9)} | {(capacity // 8) >> i for i in range(capacity.bit_length())} | {0})
+    return [(low, high) for low, high in zip(edges, edges[1:])][::-1]
+
+
+def _columns(batches: list[pa.RecordBatch]) -> dict[str, np.ndarray]:
+    table = pa.Table.from_batches(batches)
+    return {c: table.column(c).to_numpy() for c in table.column_names}
+
+
+def _step(part: int, role: int, **columns) -> pa.RecordBatch:
+    n = len(next(iter(columns.values())))
+    columns |= {"part": np.full(n, part), "role": np.full(n, role)}
+    kinds = [pa.int32(), pa.int32(), *[pa.int64()] * 5]
+    arrays = [pa.array(np.asarray(columns[c]), k) if c in columns else pa.nulls(n, k) for c, k in zip(_STEP, kinds)]
+    return pa.RecordBatch.from_arrays(arrays, _STEP)
+
+
+def _items(open_pieces: DataFrame, gaps: DataFrame) -> DataFrame:
+    """Pieces (id, length) and gaps (sequence, gap) in one table."""
+    one = open_pieces.select(F.lit(PIECE).alias("kind"), F.col("length").alias("size"), "id")
+    return one.unionByName(gaps.select(F.lit(GAP).alias("kind"), F.col("gap").alias("size"), F.col("sequence").alias("id")))
+
+
+def swept(items: DataFrame, parts: int) -> DataFrame:
+    """Sort by range and match within each range."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        held = list(batches)
+        if not held:
+            return
+        part, x = TaskContext.get().partitionId(), _columns(held)
+        pairs, waiting, free = match(x["kind"].tolist())
+        a, b = (np.array(s, np.int64) for s in (list(zip(*pairs)) or [(), ()]))
+        waiting, free = np.array(waiting, np.int64), np.array(free, np.int64)
+        yield _step(part, PLACED, id=x["id"][a], length=x["size"][a], sequence=x["id"][b], gap=x["size"][b])
+        yield _step(part, PIECE, place=np.arange(len(waiting)), id=x["id"][waiting], length=x["size"][waiting])
+        yield _step(part, GAP, place=np.arange(len(free)), sequence=x["id"][free], gap=x["size"][free])
+
+    tied = items.withColumn("tie", F.xxhash64("id"))
+    by = ["size", "kind", "tie", "id"]
+    return tied.repartitionByRange(parts, *by).sortWithinPartitions(*by).mapInArrow(rows, STEP)
+
+
+def numbered(left: DataFrame, runs: list[tuple[int, int, int, int, int]]) -> DataFrame:
+    """Add `pair` to what ranges have left: the number of the match across ranges, or -1."""
+    base = np.concatenate([[0], np.cumsum([r[4] for r in runs])]).astype(np.int64)
+    first = {
+        PIECE: sorted((of, at - n + 1, n, int(b) + n - 1, -1) for (of, at, _, _, n), b in zip(runs, base)),
+        GAP: sorted((part, at, n, int(b), 1) for (_, _, part, at, n), b in zip(runs, base)),
+    }
+    tables = {role: np.array(rows, np.int64).reshape(-1, 5).T for role, rows in first.items()}
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            pair = np.full(len(batch), -1, np.int64)
+            for role, (part, place, n, begin, way) in tables.items():
+                mine = np.flatnonzero(batch["role"].to_numpy() == role)
+                key = batch["part"].to_numpy(np.int64)[mine] << 40 | batch["place"].to_numpy(np.int64)[mine]
+                at = np.searchsorted(part << 40 | place, key, "right") - 1
+                off = key - (part << 40 | place)[np.maximum(at, 0)]
+                hit = (at >= 0) & (off < n[np.maximum(at, 0)])
+                pair[mine[hit]] = (begin[at] + way[at] * off)[hit]
+            yield batch.assign(pair=pair)
+
+    return left.mapInPandas(add, STEP + ", pair long")
+
+
+def filled(items: DataFrame, parts: int, capacity: int) -> DataFrame:
+    """Deal pieces and gaps out, fill the gaps best-fit, longest piece first, and open sequences for the rest."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part, gaps = TaskContext.get().partitionId(), Gaps()
+        for batch in batches:
+            x = _columns([batch])
+            out: list[tuple[int, int, int, int]] = []
+            for kind, size, own in zip(x["kind"].tolist(), x["size"].tolist(), x["id"].tolist()):
+                if kind == GAP:
+                    gaps.add(own, size)
                 else:
-                    gap = open_gaps[at]
-                    first, n = gaps[gap].pop()
-                    if not gaps[gap]:
-                        open_gaps.pop(at)
-                done = fill(length, rank, left, gap, first, n)
-                rank, left = rank + done, left - done
-        bound //= 2
-    table = np.array(sorted(runs), np.int64).reshape(-1, 4)
-    return Plan(*table.T, opened)
+                    sequence, gap = gaps.take(size) or (own, capacity)
+                    gaps.add(sequence, gap - size)
+                    out.append((own, size, sequence, gap))
+            made = np.array(out, np.int64).reshape(-1, 4).T
+            yield _step(part, PLACED, id=made[0], length=made[1], sequence=made[2], gap=made[3])
+        for gap in gaps.sizes:
+            yield _step(part, GAP, sequence=np.array(gaps.by[gap], np.int64), gap=np.full(len(gaps.by[gap]), gap))
+
+    dealt = items.withColumn("tie", F.xxhash64("id")).repartition(parts, "tie")
+    return dealt.sortWithinPartitions(F.desc("kind"), F.desc("size"), "tie", "id").mapInArrow(rows, STEP)
 
 
 def assign(made: DataFrame, settings: Settings) -> DataFrame:
-    """Add sequence_id and offset to pieces."""
-    counts = {r["length"]: r["n"] for r in made.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
-    plan = sweep(counts, settings.capacity)
-    first = {int(k): i for i, k in reversed(list(enumerate(plan.length.tolist())))}
-    last = {int(k): i for i, k in enumerate(plan.length.tolist())}
-    columns = made.columns
-    places = ranked(
-        made, ["length"], [F.col("doc_id"), F.col("piece"), F.col("ids_crc32")], "_rank", rank_buckets(sum(counts.values()))
+    """Add sequence_id and offset to written pieces."""
+    capacity, half = settings.capacity, settings.capacity // 2
+    edges = [low for low, _ in bands(capacity)]
+    band = F.lit(len(edges))
+    for i, low in reversed(list(enumerate(edges))):
+        band = F.when(F.col("length") > low, i).otherwise(band)
+    band = F.when(F.col("length") > half, -1).otherwise(band)
+    rows = {r["band"]: r["n"] for r in made.groupBy(band.alias("band")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    alone = made.where(F.col("length") > half)
+    placed = [alone.select("id", F.col("id").alias("sequence"), F.lit(capacity).cast("long").alias("gap"))]
+    gaps = alone.where(F.col("length") < capacity).select(F.col("id").alias("sequence"), (F.lit(capacity) - F.col("length")).cast("long").alias("gap"))
+    seen = rows.get(-1, 0)
+    for i, (low, high) in enumerate(bands(capacity)):
+        if not rows.get(i):
+            continue
+        own = made.where((F.col("length") > low) & (F.col("length") <= high)).select("id", "length")
+        seen += rows[i]
+        parts = 1 + seen // settings.range_rows
+        sweep = stash(swept(_items(own, gaps), parts), "sweep")
+        count = lambda role: F.sum((F.col("role") == role).cast("long"))
+        left = [(r["part"], r["p"], r["g"]) for r in sweep.groupBy("part").agg(count(PIECE).alias("p"), count(GAP).alias("g")).collect()]
+        runs = meet(left)
+        pairs = sweep.where(F.col("role") == PLACED).select("id", "length", "sequence", "gap")
+        rest = sweep.where(F.col("role") != PLACED)
+        if runs:
+            told = numbered(rest, runs)
+            met = told.where("pair >= 0")
+            across = met.where(F.col("role") == PIECE).select("pair", "id", "length").join(
+                met.where(F.col("role") == GAP).select("pair", "sequence", "gap"), "pair"
+            )
+            pairs = pairs.unionByName(across.drop("pair"))
+            rest = told.where("pair < 0")
+        placed.append(pairs.select("id", "sequence", "gap"))
+        after = pairs.select("sequence", (F.col("gap") - F.col("length")).alias("gap")).where("gap > 0")
+        gaps = rest.where(F.col("role") == GAP).select("sequence", "gap").unionByName(after)
+        if sum(p for _, p, _ in left) > sum(r[4] for r in runs):
+            fill = stash(filled(_items(rest.where(F.col("role") == PIECE), gaps), parts, capacity), "fill")
+            placed.append(fill.where(F.col("role") == PLACED).select("id", "sequence", "gap"))
+            gaps = fill.where(F.col("role") == GAP).select("sequence", "gap")
+    found = placed[0]
+    for more in placed[1:]:
+        found = found.unionByName(more)
+    return made.join(found, "id").select(
+        *[c for c in made.columns if c != "id"], F.col("sequence").alias("sequence_id"), (F.lit(capacity) - F.col("gap")).cast("long").alias("offset")
     )
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            length, rank = batch["length"].to_numpy(), batch.pop("_rank").to_numpy()
-            at = np.empty(len(batch), np.int64)
-            for k in np.unique(length):
-                hit = length == k
-                lo, hi = first[int(k)], last[int(k)] + 1
-                at[hit] = lo + np.searchsorted(plan.rank[lo:hi], rank[hit], "right") - 1
-            batch["sequence_id"] = plan.sequence[at] + rank - plan.rank[at] if len(batch) else []
-            batch["offset"] = plan.offset[at] if len(batch) else []
-            yield batch
-
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in made.select(*columns).schema)
-    return places.select(*columns, "_rank").mapInPandas(rows, f"{schema}, sequence_id long, offset long")
-
 
 def pack(docs: DataFrame, settings: Settings) -> DataFrame:
     """Tokenize, cut and pack every document: one row for each piece."""

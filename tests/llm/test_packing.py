@@ -31,34 +31,44 @@ def test_encoder_on_random_texts(text):
     assert encoder.ids(text) == np.array(encoder.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
-def place_all(counts, capacity):
-    plan = P.sweep(counts, capacity)
-    rows = list(zip(plan.length.tolist(), plan.rank.tolist(), plan.sequence.tolist(), plan.offset.tolist()))
-    out = []
-    for i, (length, rank, sequence, offset) in enumerate(rows):
-        end = rows[i + 1][1] if i + 1 < len(rows) and rows[i + 1][0] == length else counts[length]
-        out += [(length, sequence + r - rank, offset) for r in range(rank, end)]
-    return out, plan.sequences
-
-
-@settings(max_examples=200, deadline=None)
-@given(st.dictionaries(st.integers(1, 32), st.integers(1, 60), max_size=20))
-def test_sweep_is_a_packing(counts):
-    placed, used = place_all(counts, 32)
-    assert Counter(p[0] for p in placed) == Counter(counts)
-    by = {}
-    for length, sequence, offset in placed:
-        by.setdefault(sequence, []).append((offset, length))
-    assert set(by) == set(range(used))
-    for parts in by.values():
-        at = 0
-        for offset, length in sorted(parts):
-            assert offset == at
-            at += length
-        assert at <= 32
-    total = sum(k * n for k, n in counts.items())
-    alone = sum(n for k, n in counts.items() if k > 16)
-    assert used <= max(alone, 2 * total / 32 + 1) + 1
+def successors(items):
+    """Pieces by decreasing length, each to the nearest free gap after it."""
+    taken, pairs = set(), []
+    for at in reversed([i for i, kind in enumerate(items) if kind == P.PIECE]):
+        fit = next((j for j in range(at, len(items)) if items[j] == P.GAP and j not in taken), None)
+        if fit is not None:
+            taken.add(fit)
+            pairs.append((at, fit))
+    return pairs
+
+
+KINDS = st.lists(st.sampled_from([P.PIECE, P.GAP]), max_size=40)
+
+
+@settings(max_examples=300, deadline=None)
+@given(KINDS)
+def test_match_is_best_fit_by_rank(items):
+    pairs, pieces, gaps = P.match(items)
+    assert sorted(pairs) == sorted(successors(items))
+    assert sorted([*pieces, *(a for a, _ in pairs)]) == [i for i, k in enumerate(items) if k == P.PIECE]
+    assert sorted([*gaps, *(b for _, b in pairs)]) == [i for i, k in enumerate(items) if k == P.GAP]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(KINDS, max_size=8))
+def test_ranges_match_as_if_they_were_one(ranges):
+    want, whole = sorted(successors([k for r in ranges for k in r])), []
+    found, left, first = [], [], 0
+    places = {}
+    for part, items in enumerate(ranges):
+        pairs, pieces, gaps = P.match(items)
+        found += [(a + first, b + first) for a, b in pairs]
+        left.append((part, len(pieces), len(gaps)))
+        places[part] = ([x + first for x in pieces], [x + first for x in gaps])
+        first += len(items)
+    for of, at, part, place, n in P.meet(left):
+        found += [(places[of][0][at - i], places[part][1][place + i]) for i in range(n)]
+    assert sorted(found) == want
 
 
 def best_fit_decreasing(lengths, capacity):
@@ -73,11 +83,30 @@ def best_fit_decreasing(lengths, capacity):
     return len(gaps)
 
 
-@settings(max_examples=100, deadline=None)
-@given(st.dictionaries(st.integers(1, 40), st.integers(1, 30), min_size=1, max_size=15))
-def test_sweep_uses_as_few_as_best_fit_decreasing(counts):
-    lengths = [k for k, n in counts.items() for _ in range(n)]
-    assert place_all(counts, 40)[1] <= best_fit_decreasing(lengths, 40)
+def test_bands_cover_all_lengths():
+    for capacity in (1, 2, 3, 7, 40, 4096):
+        inside = [n for low, high in P.bands(capacity) for n in range(low + 1, high + 1)]
+        assert sorted(inside) == list(range(1, max(1, capacity // 2) + 1)) or capacity == 1
+
+
+@pytest.mark.parametrize("seed,capacity,range_rows", [(0, 100, 50_000), (1, 100, 40), (2, 37, 25), (3, 4096, 60), (4, 2, 30), (5, 1, 30)])
+def test_supersteps_against_best_fit_decreasing(spark, seed, capacity, range_rows):
+    rng = np.random.default_rng(seed)
+    lengths = np.minimum(capacity, 1 + rng.integers(0, capacity, 400) ** 2 // capacity).tolist() + [capacity // 3 + 1] * 60
+    made = spark.createDataFrame([(i, i, n) for i, n in enumerate(lengths)], "id long, doc_id long, length long").repartition(3)
+    got = P.assign(made, P.Settings(PATH, capacity=capacity, range_rows=range_rows)).collect()
+    assert sorted((r["doc_id"], r["length"]) for r in got) == list(enumerate(lengths))
+    by = {}
+    for r in got:
+        by.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for parts in by.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= capacity
+    parts = 1 + len(lengths) // range_rows
+    assert len(by) <= best_fit_decreasing(lengths, capacity) + (2 if parts == 1 else 2 + parts)
 
 
 def test_pack(spark):
@@ -92,6 +121,7 @@ def test_pack(spark):
         for k in range(0, len(ids), 1024):
             want[(i, k // 1024, k // 4, len(ids[k : k + 1024]) // 4, zlib.crc32(ids[k : k + 1024]))] += 1
     assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in got) == want
+    assert dict(P.pack(docs, settings_).dtypes)["length"] == "bigint"
     by = {}
     for r in got:
         by.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
