@@ -41,24 +41,21 @@ def rank_buckets(rows: int, per_bucket: int = 20_000) -> int:
 def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str, buckets: int) -> DataFrame:
     """Add `name`: a gapless number from 0 within each key.
 
-    A key may hold any share of the rows: each key is split into `buckets`
-    parts by a hash of `order`, parts are counted (partial sums before the
-    shuffle), and a row's number is the count before its part plus its rank
-    in the part. Keys must not be null. Rows that are equal in `order` get
-    neighbouring numbers.
+    A key may hold any share of the rows, and any number of them may be equal:
+    rows are numbered where they lie and written, each key is split into
+    `buckets` parts by a hash of `order` and that number, parts are counted
+    (partial sums before the shuffle), and a row's number is the count before
+    its part plus its rank in the part. Keys must not be null.
     """
-    df = df.withColumn("_part", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
-    by = [*keys, "_part"]
-    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).select(
-        *by, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")
-    )
-    within = Window.partitionBy(*by).orderBy(*order)
-    return (
-        df.join(offsets, by)
-        .withColumn(name, F.col("_before") + F.row_number().over(within) - F.lit(1))
-        .drop("_part", "_before")
-    )
+    row, part, n, first = (fresh(c, df.columns) for c in ("_row", "_part", "_n", "_before"))
+    df = stash(df.withColumn(row, F.monotonically_increasing_id()), "ranked")
+    df = df.withColumn(part, F.pmod(F.xxhash64(*order, F.col(row)), F.lit(buckets)).cast("int"))
+    by = [*keys, part]
+    before = Window.partitionBy(*keys).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = df.groupBy(*by).agg(F.count(F.lit(1)).alias(n)).select(*by, F.coalesce(F.sum(n).over(before), F.lit(0)).alias(first))
+    within = Window.partitionBy(*by).orderBy(*order, row)
+    numbered = df.join(offsets, by).withColumn(name, F.col(first) + F.row_number().over(within) - F.lit(1))
+    return numbered.drop(row, part, first)
 
 
 def fresh(name: str, taken: Sequence[str]) -> str:

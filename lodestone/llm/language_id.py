@@ -80,21 +80,24 @@ def codewords(n: int) -> np.ndarray:
 
 
 def _hashes(text: str, settings: Settings) -> Iterator[np.ndarray]:
-    """Hashed n-grams of a whole text, piece by piece, so that memory stays bounded."""
-    raw = b" " + text.lower().encode("utf-8", "replace").translate(_GAPS) + b" "
-    for at in range(0, len(raw), _PIECE):
-        x = np.frombuffer(raw[at : at + _PIECE + max(settings.orders) - 1], np.uint8)
-        gap = x == 32
-        keep = np.ones(len(x), bool)
-        keep[1:] = ~(gap[1:] & gap[:-1])
-        x = x[keep].astype(np.uint32)
+    """Hashed n-grams of a whole text, piece by piece, so that memory stays bounded.
+
+    Runs of gaps are one gap. An n-gram belongs to the piece it starts in, for each order.
+    """
+    x = np.frombuffer(b" " + text.lower().encode("utf-8", "replace").translate(_GAPS) + b" ", np.uint8)
+    gap = x == 32
+    keep = np.ones(len(x), bool)
+    keep[1:] = ~(gap[1:] & gap[:-1])
+    whole = x[keep]
+    for at in range(0, len(whole), _PIECE):
+        x = whole[at : at + _PIECE + max(settings.orders) - 1].astype(np.uint32)
         h = np.zeros(len(x), np.uint32)
         for n in range(1, max(settings.orders) + 1):
             if len(x) < n:
                 break
             h = h[: len(x) - n + 1] * np.uint32(0x01000193) + x[n - 1 :] + np.uint32(n)
             if n in settings.orders:
-                mixed = h * np.uint32(0x9E3779B1)
+                mixed = h[:_PIECE] * np.uint32(0x9E3779B1)
                 yield (mixed ^ (mixed >> np.uint32(15))) % np.uint32(settings.buckets)
 
 
@@ -111,7 +114,10 @@ def _sparse(text: str, settings: Settings) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sample(docs: DataFrame, settings: Settings) -> DataFrame:
-    """Labelled rows in equal number for each language, by a hash of the id: at most about sample_rows."""
+    """Labelled rows in equal number for each language, by a hash of id and text: at most about sample_rows.
+
+    Rows that repeat an id with its text count once, so they cannot exceed the bound.
+    """
     fit = docs.where(
         F.col("text").isNotNull() & F.col("lang").isNotNull() & (F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
     ).select("doc_id", "text", "lang")
@@ -120,8 +126,8 @@ def _sample(docs: DataFrame, settings: Settings) -> DataFrame:
     if not sizes:
         return fit.limit(0)
     share = F.create_map(*[F.lit(x) for k, n in sorted(sizes.items()) for x in (k, min(1.0, each / n))])
-    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    return fit.where(draw < F.element_at(share, F.col("lang")))
+    draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    return fit.where(draw < F.element_at(share, F.col("lang"))).dropDuplicates(["doc_id", "text", "lang"])
 
 
 def fit(docs: DataFrame, settings: Settings = Settings()) -> Model | None:

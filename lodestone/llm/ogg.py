@@ -7,9 +7,12 @@ packets together from lacing values (over page borders), separates streams by
 serial number and derives times from granule positions.
 
 Defined results: a null text is the empty one, whose payload is one block of
-blanks. Pages with a wrong checksum or a cut end are counted and skipped; what
-precedes and follows them is still read, and a packet that lost a part is
-dropped and counted.
+blanks. Pages with a wrong checksum or a cut end are counted (bad) and skipped;
+what precedes and follows them is still read, and a packet that lost a part is
+dropped and counted (lost). Every page number of a stream is looked at: pages
+that are not there, also those after the last one read, are counted (missing).
+The payload of a file with any such fault is what could be read, and `whole` is
+false for it.
 """
 
 from __future__ import annotations
@@ -117,8 +120,14 @@ class Stream:
     lost: int = 0
     part: bytearray | None = None
     next_page: int = 0
+    missing: int = 0
     ended: bool = False
 
+    @property
+    def whole(self) -> bool:
+        """Whether no page and no packet is missing."""
+        return self.ended and not self.missing and not self.lost
+
 
 @dataclass
 class Decoded:
@@ -127,7 +136,11 @@ class Decoded:
 
 
 def demux(stored: bytes, rate: int = RATE) -> Decoded:
-    """Every logical stream's packets, with the end time of each packet that ends a page."""
+    """Every logical stream's packets, with the end time of each packet that ends a page.
+
+    In a stream of samples a packet's length tells its time, so the times of
+    the other packets follow from the granule position of their page.
+    """
     out, at = Decoded(), 0
     while (at := stored.find(b"OggS", at)) >= 0:
         if at + 27 > len(stored):
@@ -143,6 +156,7 @@ def demux(stored: bytes, rate: int = RATE) -> Decoded:
             continue
         s = out.streams.setdefault(serial, Stream())
         s.pages += 1
+        s.missing += max(0, number - s.next_page)
         if s.part is not None and (number != s.next_page or not flags & CONTINUED):
             s.part, s.lost = None, s.lost + 1
         skip = bool(flags & CONTINUED) and s.part is None
@@ -163,11 +177,17 @@ def demux(stored: bytes, rate: int = RATE) -> Decoded:
         if complete and granule >= 0:
             s.granule = granule
             s.times[-1] = granule / rate
+            if s.packets[0][:8] == DATA_MAGIC:
+                for i in range(len(s.packets) - 2, max(0, len(s.packets) - 1 - complete), -1):
+                    granule -= len(s.packets[i + 1])
+                    s.times[i] = granule / rate
         s.ended |= bool(flags & LAST)
         at = end
     for s in out.streams.values():
         if s.part is not None:
             s.lost += 1
+        if not s.ended:
+            s.missing += 1  # at least one
     return out
 
 
@@ -192,7 +212,7 @@ def describe(found: Decoded) -> str:
     ends = ",".join(f"{t:.3f}" for t in data.times[1:] if t is not None)
     return (
         f"streams={len(found.streams)};pages={data.pages};packets={len(data.packets) - 1};bad={found.bad_pages};"
-        f"lost={data.lost};seconds={data.granule / RATE:.6f};mean={total / len(x):.6f};"
+        f"lost={data.lost};missing={data.missing};seconds={data.granule / RATE:.6f};mean={total / len(x):.6f};"
         f"rms={(square / len(x)) ** 0.5:.6f};crossings={crossings};"
         f"ends_sha1={hashlib.sha1(ends.encode()).hexdigest()}"
     )
@@ -219,7 +239,7 @@ def media(docs: DataFrame) -> DataFrame:
 
 DIGEST = (
     "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, "
-    "feature string, seconds double, bad_pages int"
+    "feature string, seconds double, bad_pages int, whole boolean"
 )
 
 
@@ -240,9 +260,10 @@ def digests(files: DataFrame) -> DataFrame:
                 describe(found),
                 seconds,
                 found.bad_pages,
+                len(found.streams) == 2 and all(s.whole for s in found.streams.values()),
             )
 
-        return lambda files: [list(c) for c in zip(*map(one, files))] or [[]] * 8
+        return lambda files: [list(c) for c in zip(*map(one, files))] or [[]] * 9
 
     return map_column(files, "media", ["doc_id", "n_bytes"], DIGEST, start)
 

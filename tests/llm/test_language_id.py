@@ -56,3 +56,35 @@ def test_mixed_text_is_ambiguous(spark):
     model = L.fit(docs)
     near = L.decode(model, np.zeros(len(model.bias)))
     assert near[3] and near[2] < model.settings.ambiguous_below
+
+
+def test_pieces_count_every_ngram_once(monkeypatch):
+    """Small pieces give the counts of the whole, also for gaps at their borders."""
+    text = "the  cat,  sat 12 on   the mat -- été  " * 30
+    whole = sorted(np.concatenate(list(L._hashes(text, L.Settings()))).tolist())
+    raw = " ".join(["", *"".join(c if c.isalpha() else " " for c in text).split(), ""]).encode()
+    assert len(whole) == sum(len(raw) - n + 1 for n in (1, 2, 3))
+    for piece in (1, 2, 7, 64, 1000):
+        monkeypatch.setattr(L, "_PIECE", piece)
+        assert sorted(np.concatenate(list(L._hashes(text, L.Settings()))).tolist()) == whole
+
+
+def test_a_repeated_id_does_not_exceed_the_sample(spark):
+    docs = corpus(spark).select("doc_id", "text", "lang")
+    hot = docs.where("doc_id = 2").crossJoin(spark.range(40_000).drop("id"))
+    assert L._sample(docs.unionByName(hot), L.Settings()).count() <= 240
+
+
+def test_decode_against_plain_code(spark):
+    docs = corpus(spark)
+    model = L.fit(docs)
+    for text in ("the and of", "der und das", "le des est une"):
+        counts = {}
+        for h in L._hashes(text, model.settings):
+            for x in h.tolist():
+                counts[x] = counts.get(x, 0) + 1
+        n = sum(counts.values())
+        bits = [sum((c / n) ** 0.5 * model.weights[k, b] for k, c in counts.items()) + model.bias[b] for b in range(model.codes.shape[1])]
+        loss = [sum(model.trust[i, b] * np.log1p(np.exp(-model.codes[i, b] * bits[b])) for b in range(len(bits))) for i in range(4)]
+        got = L.predict(spark.createDataFrame([(1, text)], "doc_id long, text string"), model).first()
+        assert got["lang_pred"] == model.languages[int(np.argmin(loss))]

@@ -64,3 +64,28 @@ def test_tables(spark):
     parts = ogg.packets(ogg.media(docs).where("doc_id is null")).where("serial = 1").orderBy("packet").collect()
     assert b"".join(bytes(p["data"]) for p in parts[1:]).rstrip() == b"z" * 100_000
     assert ogg.digests(ogg.media(docs.limit(0))).count() == 0
+
+
+def test_a_missing_page_is_seen():
+    """Five pages of whole packets less one: neither checksums nor packets tell, page numbers do."""
+    packets = [(ogg.DATA_HEAD.pack(ogg.DATA_MAGIC, 1, 1, ogg.RATE, 8), 0)] + [(bytes([i % 256]) * 254, 254 * (i + 1)) for i in range(1020)]
+    pages = ogg.pages(1, packets)
+    assert len(pages) == 5 and ogg.demux(b"".join(pages)).streams[1].whole
+    for gone in range(5):
+        found = ogg.demux(b"".join(p for i, p in enumerate(pages) if i != gone))
+        assert found.bad_pages == 0 and found.streams[1].missing == 1 and not found.streams[1].whole
+
+
+def test_every_packet_has_its_time():
+    sizes = [10, 300, 254, 1, 700]
+    ends = [sum(sizes[: i + 1]) for i in range(5)]
+    packets = [(ogg.DATA_HEAD.pack(ogg.DATA_MAGIC, 1, 1, ogg.RATE, 8), 0)] + [(b"s" * n, e) for n, e in zip(sizes, ends)]
+    found = ogg.demux(b"".join(ogg.pages(1, packets))).streams[1]
+    assert found.times[1:] == [e / ogg.RATE for e in ends]
+
+
+def test_damaged_rows_do_not_stop_the_others(spark):
+    good = ogg.encode(b"x" * 192)
+    rows = [(1, 192, bytearray(good)), (2, 192, bytearray(good[:40])), (3, 0, bytearray(b"no ogg at all"))]
+    got = {r["doc_id"]: r for r in ogg.digests(spark.createDataFrame(rows, "doc_id long, n_bytes long, media binary")).collect()}
+    assert got[1]["whole"] and not got[2]["whole"] and not got[3]["whole"] and got[3]["payload_bytes"] == 0
