@@ -25,9 +25,10 @@ documents meet it by their rank in their source.
 
 Defined results: null sources form one source. Weights that are null or not
 positive, and sources that a weights table doesn't name, count as 0: all their
-documents stay out. Ranks follow a hash of the id, then the id and the row's
-checksum; repeated rows get neighbouring ranks. An empty table gives an empty
-result. Columns of the input are kept, those named like a result are replaced.
+documents stay out. Ranks are dealt by a hash of the id, the row's checksum and
+its place in the input, so repeated rows have ranks of their own. An empty table
+gives an empty result. Columns of the input are kept, whatever their names; those
+named like a result are replaced.
 """
 
 from __future__ import annotations
@@ -146,9 +147,17 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, settings: Settings =
 
     weights: source and weight. Rows outside the mix have null block to position.
     """
-    docs = docs.drop(*[c for c in MADE if c in docs.columns])
-    keyed = docs.withColumn("_source", F.coalesce(F.col(source).cast("string"), F.lit(NO_SOURCE)))
-    counts = keyed.groupBy("_source").agg(F.count(F.lit(1)).alias("n")).withColumnRenamed("_source", "source")
+    taken = {c.lower() for c in MADE}
+    docs = docs.select(*[c for c in docs.columns if c.lower() not in taken])
+    rest = sorted(c for c in docs.columns if c.lower() != "doc_id")
+    keyed = docs.select(  # the row travels as one column, whatever its columns are called
+        F.struct(*docs.columns).alias("row"),
+        F.coalesce(F.col(source).cast("string"), F.lit(NO_SOURCE)).alias("source"),
+        F.xxhash64("doc_id").alias("h"),
+        F.col("doc_id").alias("id"),
+        (F.xxhash64(*rest) if rest else F.lit(0).cast("long")).alias("mark"),
+    )
+    counts = keyed.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
     if weights is None:
         counts = counts.withColumn("weight", F.pow("n", F.lit(settings.temperature)))
     else:
@@ -158,15 +167,13 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, settings: Settings =
         named = named.groupBy("source").agg(F.sum(F.when(F.col("weight") > 0, F.col("weight"))).alias("weight"))
         counts = counts.join(named, "source", "left").withColumn("weight", F.coalesce("weight", F.lit(0.0)))
     plan = quotas(counts, settings)
-    slots = schedule(plan).withColumnRenamed("source", "_source")
-    order = [F.xxhash64("doc_id"), F.col("doc_id"), F.xxhash64(*sorted(set(docs.columns) - {"doc_id"}))]
-    placed = ranked(keyed, ["_source"], order, "source_rank", rank_buckets(docs.count()))
-    plan = plan.select(F.col("source").alias("_source"), "target_weight", "quota", "block_size")
-    placed = placed.join(plan, "_source", "left")
+    slots = schedule(plan)
+    placed = ranked(keyed, ["source"], [F.col("h"), F.col("id"), F.col("mark")], "source_rank", rank_buckets(docs.count()))
+    placed = placed.join(plan.select("source", "target_weight", "quota", "block_size"), "source", "left")
     inside = F.coalesce(F.col("source_rank") < F.col("quota"), F.lit(False))
     placed = placed.withColumn("in_mix", inside).withColumn(
         "block", F.when(inside, F.floor(F.col("source_rank") / F.col("block_size")).cast("long"))
     )
-    out = placed.join(slots, ["_source", "block"], "left").withColumn("deviation", F.col("share") - F.col("target_weight"))
+    out = placed.join(slots, ["source", "block"], "left").withColumn("deviation", F.col("share") - F.col("target_weight"))
     position = F.col("first") + F.col("source_rank") - F.col("block") * F.col("block_size")
-    return out.withColumn("position", position).select(*docs.columns, *MADE)
+    return out.withColumn("position", position).select("row.*", *MADE)

@@ -82,3 +82,21 @@ def test_without_a_budget_nothing_is_dropped_and_weights_hold_while_supplies_las
                 got = sum(r["source"] == s and r["position"] < upto for r in rows)
                 assert abs(got - target[s] * upto) < 2 * size
         assert {r["source"]: round(r["deviation"], 6) for r in rows} == {s: round(n / 475 - target[s], 6) for s, n in sizes.items()}
+
+
+def test_any_column_names(spark):
+    names = ("quota", "block_size", "first", "_part", "_before", "_source", "n", "h", "id", "mark", "row", "share", "weight", "_row")
+    plain = docs(spark, {"a": 30, "b": 12}).select("doc_id", "source")
+    clashing = plain.select("*", *[F.concat(F.lit(c), F.col("doc_id").cast("string")).alias(c) for c in names])
+    got = M.mix(clashing, settings=M.Settings(budget=None)).collect()
+    assert all(r[c] == f"{c}{r['doc_id']}" for r in got for c in names if c != "share")
+    want = {r["source"]: 0 for r in got}
+    for r in got:
+        want[r["source"]] += 1
+    assert want == {"a": 30, "b": 12} and sorted(r["position"] for r in got) == list(range(42))
+
+
+def test_one_row_repeated_is_split(spark):
+    rows = spark.range(30_000).select(F.lit(1).cast("long").alias("doc_id"), F.lit("a").alias("source"))
+    got = M.mix(rows, settings=M.Settings(budget=None))
+    assert got.agg(F.countDistinct("position"), F.max("position")).first() == (30_000, 29_999)
