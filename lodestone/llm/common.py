@@ -11,7 +11,7 @@ from pyspark.sql.types import StructType
 
 from lodestone.session import shared_dir, shared_path, ship_package, stash
 
-__all__ = ["drop_stash", "fresh", "map_column", "rank_buckets", "ranked", "shared_path", "stash", "table"]
+__all__ = ["checked_broadcast", "drop_stash", "fresh", "map_column", "rank_buckets", "ranked", "shared_path", "stash", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def checked_broadcast(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """A narrow written table, to be broadcast if it has at most so many rows (some 16 bytes each); else joined by its keys."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def drop_stash(df: DataFrame) -> None:
     """Delete the files behind a stash that no later plan reads."""
     spark = df.sparkSession

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import drop_stash, fresh, map_column, stash
+from lodestone.llm.common import checked_broadcast, drop_stash, fresh, map_column, stash
 
 BITS = 64
 _BLOCK = 1 << 16
@@ -38,18 +38,10 @@ _BLOCK = 1 << 16
 
 @dataclass(frozen=True)
 class Settings:
-    """shingle: words; radius: differing bits; hot_pairs: candidate pairs from which a bucket is split.
-
-    wider: further radii, one after the other, for pairs that aren't connected
-    yet. Such a pair is linked only if the texts' sets of verify_shingle words
-    have a Jaccard index of at least the similarity.
-    """
+    """shingle: words; radius: differing bits; hot_pairs: candidate pairs from which a bucket is split."""
 
     shingle: int = 3
     radius: int = 2
-    wider: tuple[int, ...] = ()
-    similarity: float = 0.8
-    verify_shingle: int = 5
     hot_pairs: int = 4_000_000
     depth: int = 3
 
@@ -197,20 +189,14 @@ def _flips(mask: int, threshold: int) -> list[int]:
     return [sum(c) for d in range(threshold + 1) for c in combinations(bits, d)]
 
 
-def links(fps: DataFrame, parts: list[Partition], radius: int, settings: Settings, apart: bool = False) -> DataFrame:
-    """Pairs a < b of distinct fingerprints that differ in at most radius bits; those of split buckets may come twice.
-
-    apart: fps have a root, and pairs with the same root are left out. A large
-    group of near copies that earlier links connect gives no pairs then.
-    """
+def links(fps: DataFrame, parts: list[Partition], radius: int, settings: Settings) -> DataFrame:
+    """Pairs a < b of distinct fingerprints that differ in at most radius bits; those of split buckets may come twice."""
     lit = lambda x: F.lit(_signed(x))
     differ = F.col("p.fp").bitwiseXOR(F.col("b.fp"))
     near = F.bit_count(differ) <= radius
     within = [(p, F.bit_count(differ.bitwiseAND(lit(p.mask))) <= p.threshold) for p in parts]
     near = near & (F.col("p.base") == F.coalesce(*[F.when(hit, lit(p.mask)) for p, hit in within]))  # once, by the first
-    own = ["fp", "root", "base"] if apart else ["fp", "base"]
-    if apart:
-        near = near & (F.col("p.root") != F.col("b.root"))
+    own = ["fp", "base"]
     exact = all(p.threshold == 0 for p in parts)
     fp = F.col("fp")
 
@@ -298,40 +284,6 @@ def components(edges: DataFrame) -> DataFrame:
     return stash(mapping, "roots") if len(rounds) > 1 else mapping
 
 
-def shingle_sets(rows: DataFrame, words: int, check: int) -> DataFrame:
-    """fp and the sorted distinct hashes of a text's word shingles, for rows (fp, text) whose text has that fp."""
-
-    def start():
-        def work(pairs: list[dict]) -> list[list]:
-            out = []
-            for pair in pairs:
-                if _signed(fingerprint(pair["text"], check)) != pair["fp"]:
-                    out.append(None)
-                    continue
-                w = (pair["text"] or "").encode("utf-8", "surrogatepass").lower().split()
-                flat = {xxhash.xxh64_intdigest(b" ".join(w[i : i + words])) for i in range(max(1, len(w) - words + 1))}
-                out.append(sorted(map(_signed, flat)))
-            return [out]
-
-        return work
-
-    packed = rows.select("fp", F.struct("fp", "text").alias("row"))
-    return map_column(packed, "row", ["fp"], "sets array<long>", start).where("sets is not null").dropDuplicates(["fp"])
-
-
-def verified(pairs: DataFrame, docs: DataFrame, fps: DataFrame, settings: Settings) -> DataFrame:
-    """Those pairs of fingerprints (a, b) whose texts are similar enough."""
-    pairs = stash(pairs.distinct(), "pairs")
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-    texts = docs.select(F.col("doc_id").alias("first"), "text").join(ends.join(fps.select("fp", "first"), "fp"), "first")
-    sets = stash(shingle_sets(texts.select("fp", "text"), settings.verify_shingle, settings.shingle), "shingle-sets")
-    side = lambda name: sets.select(F.col("fp").alias(name), F.col("sets").alias(f"s{name}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    common = F.size(F.array_intersect("sa", "sb"))
-    alike = common >= settings.similarity * (F.size("sa") + F.size("sb") - common)
-    return both.where(alike).select("a", "b")
-
-
 def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """doc_id, fp and component_id (the smallest doc_id reachable over links) of every row."""
     marked = stash(fingerprints(docs, settings.shingle), "fingerprints")
@@ -340,12 +292,6 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFra
     if n < 2:
         return marked.join(fps, "fp").select("doc_id", "fp", F.col("first").alias("component_id"))
     roots = components(links(fps, allot(n, together, settings.radius), settings.radius, settings))
-    for radius in settings.wider:
-        known = roots.select(F.col("node").alias("fp"), "root")
-        rooted = stash(fps.join(known, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "rooted")
-        pairs = links(rooted, allot(n, together, radius), radius, settings, apart=True)
-        edges = verified(pairs, docs, fps, settings)
-        roots = components(edges.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
     members = roots.join(fps, roots["node"] == fps["fp"]).select("node", "root", "first")
     least = members.groupBy("root").agg(F.min("first").alias("component_id"))
     linked = members.join(least, "root").select(F.col("node").alias("fp"), "component_id")
@@ -367,8 +313,8 @@ def one_each(docs: DataFrame, found: DataFrame, start) -> DataFrame:
     """The rows of docs that `deduplicated` keeps, from doc_id, fp and component_id; start makes fp from texts."""
     kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "fp")
     names = {c: fresh(c, docs.columns) for c in ("kept_id", "kept_n")}
-    ids = kept.groupBy(F.col("doc_id").alias(names["kept_id"])).agg(F.count(F.lit(1)).alias(names["kept_n"]))
-    out = docs.join(ids, docs["doc_id"].eqNullSafe(ids[names["kept_id"]]))
+    ids = stash(kept.groupBy(F.col("doc_id").alias(names["kept_id"])).agg(F.count(F.lit(1)).alias(names["kept_n"])), "kept-ids")
+    out = docs.join(checked_broadcast(ids), docs["doc_id"].eqNullSafe(ids[names["kept_id"]]))
     once = out.where(F.col(names["kept_n"]) == 1).select(*docs.columns)
     if ids.where(F.col(names["kept_n"]) > 1).isEmpty():
         return once

@@ -105,30 +105,3 @@ def test_near_duplicates_against_brute_force(spark):
     assert sorted(r["doc_id"] for r in kept) == sorted(set(low.values())) and kept[0].asDict().keys() == set(docs.columns)
     assert S.near_duplicates(docs.limit(0)).count() == 0
     assert S.near_duplicates(docs.limit(1)).count() == 1
-
-
-def test_wider_radii_leave_no_similar_pair_apart(spark):
-    """Texts that differ in more bits are linked if, and only if, their shingles are similar."""
-    rng = np.random.default_rng(4)
-    rows, vocabulary = [], [f"w{i}" for i in range(5000)]
-    for g in range(12):
-        base = list(rng.choice(vocabulary, 200))
-        for v in range(6):
-            words = base[:]
-            for at in rng.choice(200, int(rng.integers(1, 12)), replace=False):
-                words[int(at)] = str(rng.choice(vocabulary))
-            rows.append((g * 10 + v, " ".join(words)))
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    settings_ = S.Settings(radius=2, wider=(4, 9), similarity=0.8, hot_pairs=50)
-    got = {r["doc_id"]: r["component_id"] for r in S.near_duplicates(docs, settings_).collect()}
-    shingles = {i: {tuple(w[j : j + 5]) for w in [t.split()] for j in range(196)} for i, t in rows}
-    fps = {i: model_fingerprint(t) for i, t in rows}
-    alike = lambda i, j: len(shingles[i] & shingles[j]) >= 0.8 * len(shingles[i] | shingles[j])
-    bits = lambda i, j: bin(fps[i] ^ fps[j]).count("1")
-    linked = {frozenset((i, j)) for i in got for j in got if i < j and (bits(i, j) <= 2 or bits(i, j) <= 9 and alike(i, j))}
-    low = {i: i for i in got}
-    for _ in range(len(rows)):
-        for pair in linked:
-            i, j = pair
-            low[i] = low[j] = min(low[i], low[j])
-    assert got == low and len(set(got.values())) < len(rows)
