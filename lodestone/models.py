@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 from typing import Protocol
 
@@ -43,6 +44,19 @@ class Generator(Protocol):
     def __call__(self, prompts: DataFrame) -> DataFrame: ...
 
 
+def hashed_words(values: pd.Series, size: int) -> np.ndarray:
+    """Unit rows of hashed word counts for a batch of texts; each distinct word is hashed once."""
+    found = values.fillna("").str.lower().str.findall(r"[\w-]+")
+    row = np.repeat(np.arange(len(values)), found.str.len().to_numpy(int))
+    code, names = pd.factorize(np.array([w for words in found for w in words], object))
+    h = np.array([zlib.crc32(w.encode("utf-8", "replace")) for w in names], np.int64)
+    out = np.zeros((len(values), size))
+    if len(h):
+        np.add.at(out, (row, (h % size)[code]), np.where(h >> 16 & 1, 1.0, -1.0)[code])
+    length = np.sqrt((out * out).sum(1, keepdims=True))
+    return (out / np.where(length > 0, length, 1.0)).astype(np.float32)
+
+
 class HashedWords:
     """Unit vectors of hashed word counts: equal texts are equal, shared words bring texts near."""
 
@@ -52,19 +66,8 @@ class HashedWords:
     def embed(self, text: Column) -> Column:
         size = self.model.dimension
 
-        def vector(value: str | None) -> np.ndarray:
-            import re
-            import zlib
-
-            out = np.zeros(size, np.float32)
-            for word in re.findall(r"[\w-]+", (value or "").lower()):
-                h = zlib.crc32(word.encode("utf-8", "replace"))
-                out[h % size] += 1.0 if h >> 16 & 1 else -1.0
-            norm = float(np.sqrt((out.astype(float) ** 2).sum()))
-            return out / norm if norm else out
-
         @F.pandas_udf("array<float>")
         def embed(values: pd.Series) -> pd.Series:
-            return values.map(vector, na_action=None)
+            return pd.Series(list(hashed_words(values, size)))
 
         return embed(text)

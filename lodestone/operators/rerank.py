@@ -65,13 +65,16 @@ def rank_fusion(
 
 def two_stage(
     ranking: DataFrame, queries: DataFrame, chunks: DataFrame, candidate_k: int = 20, top_k: int = 5,
-    fused: bool = True, score: PairScore = overlap,
+    fused: bool = True, score: PairScore = overlap, weights: tuple[float, float] = (0.5, 0.5), k: int = 60,
 ) -> DataFrame:
-    """The first candidate_k of a ranking, joined with question and text, then ranked again."""
+    """The first candidate_k of a ranking, joined with question and text, then ranked again.
+
+    weights: of retrieval and reranker, with the constant k, where the ranks are fused.
+    """
     named = queries.select("query_id", F.col("text").alias("question"))
     texts = chunks.select("chunk_id", "text")
     rows = ranking.where(F.col("rank") <= candidate_k).select(
         "query_id", "chunk_id", F.col("score").alias("retrieval_score"), F.col("rank").alias("retrieval_rank")
     )
     rows = rows.join(texts, "chunk_id").join(named, "query_id")
-    return rank_fusion(rows, top_k, score=score) if fused else cross_encode(rows, top_k, score)
+    return rank_fusion(rows, top_k, *weights, k, score) if fused else cross_encode(rows, top_k, score)

@@ -60,6 +60,12 @@ def lexical_index(chunks: DataFrame, params: Bm25 = Bm25(), position: Column | N
     return LexicalIndex(postings, inverse_frequencies(df, stats, params), stats, sized.select("chunk_id", "position"), params)
 
 
+def written(index: LexicalIndex) -> LexicalIndex:
+    """The index as tables in the shared folder: what asks it later computes nothing of it again."""
+    tables = (stash(df, f"index-{n}") for n, df in zip(("postings", "terms", "stats", "corpus"), (index.postings, index.terms, index.stats, index.corpus)))
+    return LexicalIndex(*tables, index.params)
+
+
 def term_statistics(postings: DataFrame, stats: DataFrame, params: Bm25 = Bm25()) -> DataFrame:
     """term, df and idf from postings."""
     return inverse_frequencies(postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")), stats, params)
@@ -136,7 +142,10 @@ def _filled(scored: DataFrame, queries: DataFrame, corpus: DataFrame, k: int) ->
 
 
 def _packed(rows: DataFrame, names: list[str], size: int) -> DataFrame:
-    """Rows in blocks: an array of each named column and the embeddings as one matrix of doubles."""
+    """Rows in blocks: an array of each named column and the embeddings, brought to unit length, as one matrix of doubles.
+
+    Rows without an embedding are left out; a zero vector stays one, so its cosine with any other is 0.
+    """
     kinds = {n: rows.schema[n].dataType.simpleString() for n in names}
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -144,19 +153,22 @@ def _packed(rows: DataFrame, names: list[str], size: int) -> DataFrame:
             for at in range(0, len(batch), size):
                 part = batch.iloc[at : at + size]
                 matrix = np.array(part["embedding"].to_list(), float)
+                length = np.sqrt((matrix * matrix).sum(1, keepdims=True))
+                matrix = matrix / np.where(length > 0, length, 1.0)
                 yield pd.DataFrame({**{n: [part[n].to_list()] for n in names}, "matrix": [matrix.tobytes()]})
 
-    return rows.select(*names, "embedding").mapInPandas(
+    return rows.where(F.col("embedding").isNotNull()).select(*names, "embedding").mapInPandas(
         pack, ", ".join(f"{n} array<{kinds[n]}>" for n in names) + ", matrix binary"
     )
 
 
 def dense(vectors: DataFrame, queries: DataFrame, k: int = 5, where: Column | None = None, block: int = 1024) -> DataFrame:
-    """Exact cosine top-k of unit vectors; `where` filters the vectors first.
+    """Exact cosine top-k of vectors of any length; `where` filters the vectors first.
 
     queries: query_id and embedding, a stated set; vectors: chunk_id, position
     and embedding. Blocks of queries meet blocks of vectors in one matrix product
-    each, and only the k best of a block go on.
+    each, and only the k best of a block go on. Null embeddings find nothing and
+    are not found.
     """
     ship_package(vectors.sparkSession)
     if where is not None:
@@ -214,9 +226,13 @@ def hybrid(lexical: DataFrame, vector: DataFrame, k: int = 60, top: int = 5) ->
     return rrf({"dense": vector, "bm25": lexical}, k, top)
 
 
-def near_duplicate(vectors: DataFrame, new: DataFrame, threshold: float = 0.95) -> DataFrame:
-    """query_id and is_duplicate for new vectors: whether any stored one is as similar as the threshold."""
-    found = dense(vectors, new, 1).groupBy("query_id").agg(F.max("score").alias("score"))
-    return new.select("query_id").join(found, "query_id", "left").select(
+def near_duplicate(vectors: DataFrame, new: DataFrame, threshold: float = 0.95, itself: Column | None = None) -> DataFrame:
+    """query_id and is_duplicate for new vectors: whether any stored one is as similar as the threshold.
+
+    itself: what tells that a stored vector (chunk_id) is the new one (query_id) itself, where it is stored already.
+    """
+    found = dense(vectors, new, 1 if itself is None else 2)
+    best = (found if itself is None else found.where(~itself)).groupBy("query_id").agg(F.max("score").alias("score"))
+    return new.select("query_id").join(best, "query_id", "left").select(
         "query_id", F.coalesce(F.col("score") >= threshold, F.lit(False)).alias("is_duplicate")
     )

@@ -7,19 +7,22 @@ from __future__ import annotations
 
 import json
 import logging
+import os
 import time
-from dataclasses import dataclass, field
+from collections.abc import Mapping
+from dataclasses import dataclass, field, replace
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone import schemas
+from lodestone.clients import ChatCompletions, Client
 from lodestone.functions.identity import document_id, point_id
 from lodestone.models import Embedder, HashedWords
 from lodestone.operators import answer, chunking, rerank, retrieval, verify
-from lodestone.plans.store import Store, checked_vectors, merge_existing_wins, merge_new_wins
-from lodestone.session import stash
+from lodestone.plans.store import Store, checked_vectors, merge_existing_wins, merge_new_wins, vector_index
+from lodestone.session import drop_stash, stash
 from lodestone.sources import files as sources
 
 
@@ -40,9 +43,26 @@ class EngineConfig:
     context_k: int = 5
     log_level: str = "INFO"
     bm25: retrieval.Bm25 = retrieval.Bm25()
-
-
-class JsonFormatter(logging.Formatter):
+    model_url: str = "http://localhost:1234/v1"
+    model_name: str = ""
+
+    @staticmethod
+    def from_env(store_path: str | None = None, environ: Mapping[str, str] | None = None) -> EngineConfig:
+        """The configuration that environment variables give; a store path that is passed comes first."""
+        get = (os.environ if environ is None else environ).get
+        store = store_path or get("LODESTONE_STORE_PATH")
+        if not store:
+            raise EngineError("no store path: pass one or set LODESTONE_STORE_PATH")
+        own = EngineConfig(store)
+        named = {"data_path": "DATA_PATH", "log_level": "LOG_LEVEL", "model_url": "LM_STUDIO_BASE_URL", "model_name": "LM_STUDIO_MODEL"}
+        return replace(own, **{name: value for name, variable in named.items() if (value := get(variable))})
+
+    def client(self) -> ChatCompletions | None:
+        """The chat model that is configured, if any."""
+        return ChatCompletions(self.model_name, self.model_url) if self.model_name else None
+
+
+class JsonLines(logging.Formatter):
     """A log record as one JSON line: timestamp, level, logger, event and what was passed as fields."""
 
     def format(self, record: logging.LogRecord) -> str:
@@ -55,7 +75,7 @@ def configure_logging(level: str = "INFO") -> logging.Logger:
     """The package's logger with a single JSON handler."""
     logger = logging.getLogger("lodestone")
     handler = logging.StreamHandler()
-    handler.setFormatter(JsonFormatter())
+    handler.setFormatter(JsonLines())
     logger.handlers, logger.propagate = [handler], False
     logger.setLevel(level)
     return logger
@@ -83,10 +103,15 @@ class Engine:
     def __init__(
         self, spark: SparkSession, config: EngineConfig, embedder: Embedder | None = None,
         pair_score: rerank.PairScore = rerank.overlap, verdict: verify.Verdict = verify.overlap_verdict, generator=None,
+        client: Client | None = None, payload: dict[str, Column] | None = None,
     ) -> None:
+        """client: a model that generates, finds claims and verifies; payload: further (or other) payload fields of vectors."""
         self.spark, self.config, self.store = spark, config, Store(spark, config.store_path)
         self.embedder = embedder or HashedWords()
-        self.pair_score, self.verdict, self.generator = pair_score, verdict, generator
+        self.client = client
+        self.pair_score, self.verdict = pair_score, verdict
+        self.generator = answer.generator(client) if generator is None and client is not None else generator
+        self.payload = payload or {}
         self.log = logging.getLogger("lodestone.engine")
 
     # -------------------------------------------------------------- tables
@@ -109,10 +134,9 @@ class Engine:
         return chunking.route(documents)
 
     def _vectors(self, chunks: DataFrame) -> DataFrame:
-        payload = F.map_from_arrays(
-            F.array(*[F.lit(n) for n in ("chunk_id", "source", "file_type", "chunk_index", "chunking_strategy")]),
-            F.array("chunk_id", "source", "file_type", F.col("chunk_index").cast("string"), "chunking_strategy"),
-        )
+        fields = {n: F.col(n).cast("string") for n in ("chunk_id", "source", "file_type", "chunk_index", "chunking_strategy")}
+        fields |= {n: c.cast("string") for n, c in self.payload.items()}
+        payload = F.map_from_arrays(F.array(*[F.lit(n) for n in fields]), F.array(*fields.values()))
         rows = chunks.select(
             "chunk_id", point_id("chunk_id").alias("point_id"), self.embedder.embed(F.col("text")).alias("embedding"),
             payload.alias("payload"),
@@ -149,14 +173,19 @@ class Engine:
         files = sources.scan(self.spark, folder or self.config.data_path)
         if files.isEmpty():
             raise EngineError("no supported files")
-        chunks = self._chunked(files)
+        chunks = stash(self._chunked(files), "chunks")  # files are read and cut once
         registry = self._registered(files, chunks)
         vectors = self._vectors(chunks)
         self.store.commit({"chunks": chunks, "vectors": vectors, "registry": registry} | self._lexical(chunks))
+        drop_stash(chunks)
         count = self.chunks().count()
         self.log.info("index_built", extra={"fields": {"chunks": count}})
         return count
 
+    def rebuild_vectors(self, rebuild: bool = False) -> bool:
+        """Build the vectors of the stored chunks, unless those that are stored are complete; whether they were built."""
+        return vector_index(self.store, self.chunks(), self._vectors, rebuild)
+
     def bootstrap_registry(self, folder: str | None = None) -> DataFrame:
         """Register a folder's files whose chunks are stored and that aren't registered yet."""
         files = sources.scan(self.spark, folder or self.config.data_path)
@@ -185,7 +214,7 @@ class Engine:
         new = rows.join(known, "document_id", "left_anti").withColumn("_n", first).where("_n = 1").drop("_n")
         files = new.select(F.concat("document_id", F.lit("_"), "filename").alias("path"), "content", "extension")
         if not files.isEmpty():
-            chunks = self._chunked(files)
+            chunks = stash(self._chunked(files), "chunks")
             added = self._registered(files, chunks)
             self._add(chunks, added)
         asked = rows.select("document_id").distinct()
@@ -233,20 +262,33 @@ class Engine:
         dense = retrieval.dense(vectors, asked, self.config.candidate_k)
         return retrieval.hybrid(lexical, dense, self.config.rrf_k, self.config.candidate_k)
 
+    def _ranked(self, questions: DataFrame, chunks: DataFrame) -> DataFrame:
+        c = self.config
+        weights = (c.retrieval_weight, c.reranker_weight)
+        return rerank.two_stage(
+            self.retrieve(questions), questions, chunks, c.candidate_k, c.context_k, True, self.pair_score, weights, c.rrf_k
+        )
+
     def ask(self, questions: DataFrame) -> DataFrame:
         """Questions (query_id, text) with answer, citations, checks, decision and final answer."""
         if "chunks" not in self.store.current():
             raise EngineError("the index is empty; build it or ingest files first")
         checked = rerank.reject_blank(questions, "text")
         chunks = self.chunks()
-        ranked = rerank.two_stage(
-            self.retrieve(checked), checked, chunks, self.config.candidate_k, self.config.context_k, True, self.pair_score
-        )
-        ranked = ranked.join(chunks.select("chunk_id", "source", "file_type", "metadata"), "chunk_id")
+        ranked = self._ranked(checked, chunks).join(chunks.select("chunk_id", "source", "file_type", "metadata"), "chunk_id")
         blocks = answer.context_blocks(ranked, self.config.context_k)
         prompts = answer.prompts(answer.contexts(blocks, checked), checked)
         answers = stash(answer.cited(answer.generate(prompts, self.generator)), "answers")  # generated once
-        return verify.verify(answers, self.verdict)
+        return verify.verify(answers, self.verdict, self.client)
+
+    def evidence(self, questions: DataFrame) -> DataFrame:
+        """Each chunk of a question's context with its retrieval, reranker and final rank and score."""
+        checked = rerank.reject_blank(questions, "text")
+        chunks = self.chunks()
+        return self._ranked(checked, chunks).join(chunks.select("chunk_id", "source", "file_type"), "chunk_id").select(
+            "query_id", F.substring("chunk_id", 1, 12).alias("chunk"), "source", "file_type", "retrieval_rank", "retrieval_score",
+            "reranked_rank", "reranker_score", "final_rank", "final_score",
+        )
 
     def trace(self, questions: DataFrame) -> DataFrame:
         """Each candidate with its fused, dense and lexical rank and score (null where it was not found)."""

@@ -72,3 +72,13 @@ def stash(df: DataFrame, label: str) -> DataFrame:
     path = shared_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_stash(df: DataFrame) -> None:
+    """Delete the files behind a stash that no later plan reads."""
+    spark, own = df.sparkSession, shared_dir(df.sparkSession)
+    conf = spark._jsc.hadoopConfiguration()
+    for folder in {name.rpartition("/")[0] for name in df.inputFiles()}:
+        if folder.startswith(own) or folder.replace("file:///", "file:/").startswith(own.replace("file:///", "file:/")):
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(conf).delete(path, True)

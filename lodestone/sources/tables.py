@@ -19,7 +19,7 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def json_lines(spark: SparkSession, path: str, schema: StructType, missing_ok: bool = False) -> DataFrame:
-    """Rows of a JSON-lines file; blank lines are skipped, a broken line is an error that shows it."""
+    """Rows of a JSON-lines file; blank lines are skipped, a broken line is an error that shows it (`broken_line` finds its number)."""
     if not exists(spark, path):
         if missing_ok:
             return spark.createDataFrame([], schema)
@@ -33,6 +33,19 @@ def json_lines(spark: SparkSession, path: str, schema: StructType, missing_ok: b
     return rows.withColumn(first, F.coalesce(checked.cast(schema[first].dataType), F.col(first))).select(*schema.fieldNames())
 
 
+def broken_line(spark: SparkSession, path: str, schema: StructType) -> tuple[int, str] | None:
+    """The 1-based number of the first line that is neither blank nor JSON of the schema, and the line."""
+    wide = StructType([*schema.fields, StructField("_bad", StringType())])
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}
+    lines = spark.read.text(path).withColumn("_bad", F.from_json("value", wide, options)["_bad"])
+    if lines.where((T.strip("value") != "") & F.col("_bad").isNotNull()).isEmpty():
+        return None
+    numbered = spark.read.text(path).rdd.zipWithIndex().map(lambda x: (x[1] + 1, x[0][0])).toDF("n long, value string")
+    bad = numbered.withColumn("_bad", F.from_json("value", wide, options)["_bad"])
+    first = bad.where((T.strip("value") != "") & F.col("_bad").isNotNull()).orderBy("n").first()
+    return first["n"], first["value"]
+
+
 def json_array(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """Rows of a file that holds one JSON array."""
     if not exists(spark, path):
@@ -42,8 +55,10 @@ def json_array(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
 
 def chunk_store(spark: SparkSession, path: str) -> DataFrame:
     """Chunks of a JSON-lines store (none if there is no file); a stored id that is not the chunk's own is an error."""
-    rows = json_lines(spark, path, schemas.of("CHUNK"), missing_ok=True)
-    return checked_chunks(rows)
+    schema = schemas.of("CHUNK")
+    if exists(spark, path) and (bad := broken_line(spark, path, schema)):
+        raise ValueError(f"{path}, line {bad[0]}: invalid JSON: {bad[1][:200]}")
+    return checked_chunks(json_lines(spark, path, schema, missing_ok=True))
 
 
 def checked_chunks(rows: DataFrame) -> DataFrame:
@@ -137,6 +152,13 @@ def missing_references(qrels: DataFrame, queries: DataFrame, corpus: DataFrame)
     return q.unionByName(d).distinct()
 
 
+def check_benchmark(qrels: DataFrame, queries: DataFrame, corpus: DataFrame) -> None:
+    """An error if judgments name queries or documents that are not there; it tells how many and the first."""
+    missing = missing_references(qrels, queries, corpus).groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
+    if found := sorted(missing.collect()):
+        raise RuntimeError("; ".join(f"{r['n']} judged {r['kind']} id(s) are missing, the first {r['first']!r}" for r in found))
+
+
 def case_results(spark: SparkSession, path: str) -> DataFrame:
     return json_lines(spark, path, schemas.of("CASE_RESULT"))
 
