@@ -43,6 +43,7 @@ class EngineConfig:
     context_k: int = 5
     log_level: str = "INFO"
     bm25: retrieval.Bm25 = retrieval.Bm25()
+    many_parts: int = 64
     model_url: str = "http://localhost:1234/v1"
     model_name: str = ""
 
@@ -223,29 +224,38 @@ class Engine:
         return before.unionByName(fresh.withColumn("duplicate", F.lit(False)))
 
     def _add(self, chunks: DataFrame, registry: DataFrame) -> None:
-        """Chunks, vectors, postings and registry rows in one commit.
+        """Chunks, vectors, postings and registry rows in one commit, as further parts of their tables.
 
-        Postings of known chunks are kept; document frequencies, number and mean
-        length are sums over postings and corpus, so only they are computed anew.
+        Only sums over postings and corpus (document frequencies, number, mean
+        length) are computed anew. Chunks that are stored already replace the old
+        ones; then the tables are written anew. From many_parts parts on they are
+        written as one.
         """
-        all_chunks = merge_new_wins(self.chunks(), chunks)
-        tables = {"chunks": all_chunks, "registry": self.registry().unionByName(registry)}
+        part, vectors = self._lexical(chunks), self._vectors(chunks)
         have = self.store.current()
-        vectors = self._vectors(chunks)
-        tables["vectors"] = merge_new_wins(self.store.read("vectors"), vectors) if "vectors" in have else vectors
-        part = self._lexical(chunks)
-        if "postings" in have:
-            ids = chunks.select("chunk_id").distinct()
-            kept = self.store.read("postings").join(ids, "chunk_id", "left_anti")
-            part["postings"] = kept.unionByName(part["postings"])
-            part["corpus"] = self.store.read("corpus").join(ids, "chunk_id", "left_anti").unionByName(part["corpus"])
-            lengths = part["postings"].groupBy("chunk_id").agg(F.first("dl").alias("dl"))
-            n = part["corpus"].join(lengths, "chunk_id", "left").agg(
-                F.count(F.lit(1)).alias("n"), F.avg(F.coalesce("dl", F.lit(0))).alias("avgdl")
-            )
-            part["stats"] = n
-            part["terms"] = retrieval.term_statistics(part["postings"], n, self.config.bm25)
-        self.store.commit(tables | part)
+        if "postings" not in have:
+            self.store.commit(part | {"chunks": chunks, "vectors": vectors, "registry": self.registry().unionByName(registry)})
+            return
+        ids = chunks.select("chunk_id").distinct()
+        known = not self.chunks().join(ids, "chunk_id", "left_semi").isEmpty()
+        old = {n: self.store.read(n) for n in ("postings", "corpus")}
+        if known:
+            old = {n: df.join(ids, "chunk_id", "left_anti") for n, df in old.items()}
+        postings, corpus = (old[n].unionByName(part[n]) for n in ("postings", "corpus"))
+        lengths = postings.groupBy("chunk_id").agg(F.first("dl").alias("dl"))
+        n = corpus.join(lengths, "chunk_id", "left").agg(
+            F.count(F.lit(1)).alias("n"), F.avg(F.coalesce("dl", F.lit(0))).alias("avgdl")
+        )
+        sums = {"stats": n, "terms": retrieval.term_statistics(postings, n, self.config.bm25)}
+        if known:
+            whole = {"postings": postings, "corpus": corpus, "chunks": merge_new_wins(self.chunks(), chunks)}
+            whole["vectors"] = merge_new_wins(self.store.read("vectors"), vectors)
+            self.store.commit(sums | whole, {"registry": registry})
+        else:
+            more = {"chunks": chunks, "vectors": vectors, "registry": registry, "postings": part["postings"], "corpus": part["corpus"]}
+            self.store.commit(sums, more)
+        if self.store.parts("postings") >= self.config.many_parts:
+            self.store.compact()
 
     # -------------------------------------------------------------- answering
 
