@@ -48,7 +48,8 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.round_trip(table(spark, sf_dir, "pages")).drop("payload")
+    found = warc.round_trip(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "target", "valid")
 
 
 def op9_pfair(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,8 +75,21 @@ QUERIES = {
     "op10_bm25_wand": op10_bm25_wand,
 }
 
+#: A SHA-1 in base32: eight letters for each ten hex digits.
+BASE32 = " || ".join(
+    f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x' || substr(h, {10 * c + 1}, 10))::bigint >> {35 - 5 * k}) & 31) + 1)::int, 1)"
+    for c in range(4)
+    for k in range(8)
+)
+
 #: Models, media digests, checksums and schedules are beyond SQL; see tests/llm for the brute-force versions.
 SQL: dict[str, str] = {
+    "op6_warc": f"""
+with p as (select page_id, url, coalesce(html, '') body from pages),
+d as (select *, sha1(encode(body)) h, max(page_id) over (partition by body) latest from p)
+select page_id, octet_length(encode(body)) payload_bytes, {BASE32} payload_digest,
+  case when page_id = latest then 'response' else 'revisit' end record_type, case when page_id <> latest then latest end refers_to,
+  url target, true valid from d""",
     "op10_bm25_wand": r"""
 with d as (select doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') w from documents),
 dt as (select doc_id, len(w) dl, unnest(w) term from d),
