@@ -54,3 +54,58 @@ def test_mixing_keeps_equal_rows_together(spark, folder):
 def test_mixing_keeps_all_documents(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     assert sorted(C.mix_sources(spark, docs, folder).collect(), key=str) == sorted(docs.collect(), key=str)
+
+
+def test_run_against_plain_code(spark, folder):
+    """Every stage recomputed row by row: models on each text alone, near copies from all pairs, pieces from the tokenizer."""
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    import zlib
+
+    from lodestone.llm import ordinal, packing, quality, toxicity
+
+    docs, labels = (spark.read.parquet(f"{folder}/{n}.parquet") for n in ("documents", "labels"))
+    bad, good = toxicity.fit(docs, labels), quality.fit(docs, labels)
+    rows = {r["doc_id"]: r["text"] for r in docs.collect()}
+    kept = {i: t for i, t in rows.items() if ordinal.tails(bad, [t])[0, 0] < toxicity.Settings().reject_from}
+    kept = {i: t for i, t in kept.items() if ordinal.tails(good, [t])[0, 0] >= quality.Settings().keep_from}
+    sets = {i: (lambda w: {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} if w else set())((t or "").lower().split()) for i, t in kept.items()}
+    low = {i: i for i in kept}
+
+    def find(i):
+        while low[i] != i:
+            i = low[i]
+        return i
+
+    for i in sorted(kept):
+        for j in sorted(kept):
+            common = len(sets[i] & sets[j])
+            if j < i and (sets[i] == sets[j] or common >= 0.8 * (len(sets[i]) + len(sets[j]) - common)):
+                a, b = sorted((find(i), find(j)))
+                low[b] = a
+    encode, want = packing.Encoder(public_tokenizers.path("word_bpe_49k.json"), 1000).ids, set()
+    for i in {find(i) for i in kept}:
+        ids = encode(kept[i]) + (1).to_bytes(4, "little")
+        want |= {(i, k // 16384, k // 4, len(ids[k : k + 16384]) // 4, zlib.crc32(ids[k : k + 16384])) for k in range(0, len(ids), 16384)}
+    got = C.run(spark, folder).collect()
+    assert {(r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in got} == want and len(got) == len(want)
+    assert len({r["sequence_id"] for r in got}) == -(-sum(r["length"] for r in got) // 4096)
+
+
+def test_empty_tables_and_no_labels(spark, folder, tmp_path):
+    docs, labels = (spark.read.parquet(f"{folder}/{n}.parquet") for n in ("documents", "labels"))
+    for name, d, n in (("a", docs.limit(0), 0), ("b", docs.where("doc_id < 30"), 30)):
+        d.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        labels.limit(0).write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        assert C.run(spark, f"{tmp_path}/{name}").select("doc_id").distinct().count() <= n
+        for _, stage in C.STAGES[:2]:
+            assert stage(spark, spark.read.parquet(f"{tmp_path}/{name}/documents.parquet"), f"{tmp_path}/{name}").count() == n
+
+
+def test_clashing_columns_pass_through(spark, folder):
+    names = ("_tails", "_grade", "fp", "node", "root", "slot", "position", "quota", "row", "kept_id", "first", "source_rank", "component_id")
+    docs = spark.read.parquet(f"{folder}/documents.parquet").where("doc_id < 60")
+    docs = docs.select("*", *[F.concat(F.lit(c), F.col("doc_id").cast("string")).alias(c) for c in names])
+    for _, stage in C.STAGES[:-1]:
+        docs = stage(spark, docs, folder).cache()
+        rows = docs.collect()
+        assert rows and all(r[c] == f"{c}{r['doc_id']}" for r in rows for c in names)
