@@ -269,7 +269,13 @@ def routed_chunks(spark, sf_dir):
     return chunking.route(docs).select("chunk_id", "source", "file_type", "chunk_index", "chunking_strategy")
 
 
-@query()
+@query(
+    rf"""with p as (select page_id, list_filter(list_transform(regexp_split_to_array(regexp_replace(regexp_replace(coalesce(html, ''),
+  '(?s)<!--.*?-->|<script.*?</script>|<style.*?</style>|<noscript.*?</noscript>', '<>', 'g'), '<!DOCTYPE[^>]*>', '<>', 'g'), '<[^>]*>'),
+  lambda x: regexp_replace(replace(replace(replace(replace(x, '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), '\A{W}+|{W}+\z', '', 'g')),
+  lambda x: x <> '') l from pages)
+select page_id, array_to_string(l, chr(10)) "text" from p"""
+)
 def html_text(spark, sf_dir):
     return _read(spark, sf_dir, "pages").select("page_id", T.normalize(html_to_text("html")).alias("text"))
 
