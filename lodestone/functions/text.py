@@ -1,4 +1,4 @@
-"""Text functions as columns, equal to the reference's on any Unicode text.
+"""Text functions as columns, equal to Python's on any Unicode text.
 
 Java's \\s and \\w are ASCII and its `.` and `$` stop at more characters than
 the expected ones, so classes are spelled out and `(?d)` keeps lines to \\n.

@@ -524,3 +524,21 @@ def pending(cases: DataFrame, done: DataFrame, key: str = "case_id") -> DataFram
 def preview(rows: DataFrame, column: str = "text", length: int = 500) -> DataFrame:
     """Rows with a text cut for display."""
     return rows.withColumn(column, F.substring(column, 1, length))
+
+
+def described(rows: DataFrame, columns: tuple[str, ...], text: str | None = None, length: int = 500) -> DataFrame:
+    """Rows with `lines`: a line "name: value" for each column that isn't null, then the start of a text."""
+    value = lambda c: F.concat(F.lit(f"{c}: "), F.col(c).cast("string"))
+    parts = [value(c) for c in columns]
+    if text is not None:
+        parts.append(F.concat(F.lit("\n"), F.substring(text, 1, length)))
+    return rows.withColumn("lines", F.array_join(F.array_compact(F.array(*parts)), "\n"))
+
+
+def case_summaries(results: DataFrame) -> DataFrame:
+    """case_id and a readable summary of each case result, with its kinds of failure."""
+    kinds = failure_types(results).select("case_id", F.array_join("failure_types", ", ").alias("failures"))
+    rows = results.join(kinds, "case_id")
+    shown = ("case_id", "primary_category", "difficulty", "expected_answerable", "decision", "candidate_hit", "final_hit", "completeness_score",
+             "correctness_score", "faithfulness_score", "citation_precision", "citation_coverage", "total_latency_ms", "failures")
+    return described(rows, shown).select("case_id", F.col("lines").alias("summary"))

@@ -137,3 +137,11 @@ def test_pdf_pages(spark, tmp_path, monkeypatch):
     spark.sparkContext.addPyFile(str(tmp_path / "lib" / "pypdf.py"))
     got = files.documents(files.scan(spark, f"file://{tmp_path}")).orderBy("metadata.page_number").collect()
     assert [(r["text"], r["metadata"]["page_number"], r["metadata"]["page_count"]) for r in got] == [("page one", 1, 3), ("page three", 3, 3)]
+
+
+def test_readable_rows(spark):
+    rows = spark.createDataFrame([(1, 0.5, None, "x" * 600)], "rank int, score double, heading string, text string")
+    assert evaluate.described(rows, ("rank", "score", "heading"), "text").first()["lines"] == "rank: 1\nscore: 0.5\n\n" + "x" * 500
+    result = spark.createDataFrame([{"case_id": "c1", "expected_answerable": True, "should_abstain": True, "decision": "ABSTAIN"}], schemas.of("CASE_RESULT"))
+    said = evaluate.case_summaries(result).first()["summary"]
+    assert said.startswith("case_id: c1\n") and said.endswith("failures: FALSE_ABSTENTION")
