@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from lodestone.session import shared_dir, shared_path, ship_package, stash
+from lodestone.session import drop_stash, shared_path, ship_package, stash
 
 __all__ = ["checked_broadcast", "drop_stash", "fresh", "map_column", "rank_buckets", "ranked", "shared_path", "stash", "table"]
 
@@ -25,19 +25,6 @@ def checked_broadcast(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
-def drop_stash(df: DataFrame) -> None:
-    """Delete the files behind a stash that no later plan reads."""
-    spark = df.sparkSession
-    jvm = spark._jvm
-    conf = spark._jsc.hadoopConfiguration()
-    for folder in {name.rpartition("/")[0] for name in df.inputFiles()}:
-        if folder.startswith(shared_dir(spark)) or folder.replace("file:///", "file:/").startswith(
-            shared_dir(spark).replace("file:///", "file:/")
-        ):
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(conf).delete(path, True)
-
-
 def rank_buckets(rows: int, per_bucket: int = 20_000) -> int:
     """How many parts a key is ranked in: so many that a key with all rows fits."""
     return 16 + rows // per_bucket
