@@ -11,7 +11,7 @@ from pyspark.sql.types import StructType
 
 from lodestone.session import drop_stash, shared_path, ship_package, stash
 
-__all__ = ["checked_broadcast", "drop_stash", "fresh", "map_column", "rank_buckets", "ranked", "shared_path", "stash", "table"]
+__all__ = ["checked_broadcast", "drop_stash", "fresh", "map_column", "rank_buckets", "ranked", "shared_path", "ship_package", "stash", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,6 +63,7 @@ def map_column(df: DataFrame, column: str, keep: Sequence[str], made: str, start
     made: the new columns as DDL. start() runs once in each task and gives a
     function from a list of values to a list of lists, one for each new column.
     """
+    ship_package(df.sparkSession)
     schema = StructType(df.select(*keep).schema.fields + StructType.fromDDL(made).fields)
     names = schema.fieldNames()
     inputs = df.select(*keep, F.col(column).alias("\u0000in"))

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import map_column
+from lodestone.llm.common import map_column, ship_package
 
 _MAYBE_LETTER = re.compile(r"[^\W\d_]")
 #: Everything but lower-case ASCII letters and bytes of longer characters counts as a gap between words.
@@ -133,6 +133,8 @@ def _sample(docs: DataFrame, settings: Settings) -> DataFrame:
 def fit(docs: DataFrame, settings: Settings = Settings()) -> Model | None:
     """Learn from text and lang of the rows that are not held out. None if there are none."""
 
+    ship_package(docs.sparkSession)
+
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = [_sparse(t, settings) if has_letter(t) else None for t in batch["text"]]

@@ -27,7 +27,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from lodestone.llm.common import map_column
+from lodestone.llm.common import map_column, ship_package
 
 BLOCK = 192
 RATE = 8000
@@ -271,6 +271,8 @@ def digests(files: DataFrame) -> DataFrame:
 def packets(files: DataFrame) -> DataFrame:
     """One row for each packet of each logical stream: serial, number, end time (if known) and bytes."""
 
+    ship_package(files.sparkSession)
+
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for doc_id, stored in zip(batch["doc_id"], batch["media"]):

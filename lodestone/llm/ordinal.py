@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm import features
-from lodestone.llm.common import drop_stash, fresh, map_column, stash
+from lodestone.llm.common import drop_stash, fresh, map_column, ship_package, stash
 
 
 @dataclass(frozen=True)
@@ -203,6 +203,7 @@ def prepare(docs: DataFrame, marks: DataFrame, settings: Settings) -> Labelled |
 
     marks: doc_id and grade, an id once. None without two grades.
     """
+    ship_package(docs.sparkSession)
     marks = marks.where(F.col("doc_id").isNotNull() & F.col("grade").isNotNull()).select("doc_id", F.col("grade").cast("int").alias("grade"))
     sizes = {r["grade"]: r["n"] for r in marks.groupBy("grade").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(sizes) < 2:

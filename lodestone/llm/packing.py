@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import stash
+from lodestone.llm.common import ship_package, stash
 
 #: Texts of these characters only are split here; any other goes to the tokenizer as a whole.
 _PLAIN = re.compile(r"[\t\n\r\x20-\x7e¡-¬®-ɏ‐-‧]*")
@@ -116,6 +116,7 @@ def pieces(docs: DataFrame, settings: Settings, keep_ids: bool = False) -> DataF
 
     id numbers the pieces of a task; it is not to be relied on before the rows are written.
     """
+    ship_package(docs.sparkSession)
     schema = "id long, doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

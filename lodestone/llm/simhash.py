@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import checked_broadcast, drop_stash, fresh, map_column, stash
+from lodestone.llm.common import checked_broadcast, drop_stash, fresh, map_column, ship_package, stash
 
 BITS = 64
 _BLOCK = 1 << 16
@@ -92,6 +92,8 @@ class Partition:
 def bit_statistics(fps: DataFrame) -> tuple[int, np.ndarray]:
     """Number of fingerprints and how often each pair of bits is set together, over all rows."""
 
+    ship_package(fps.sparkSession)
+
     def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total, n = np.zeros((BITS, BITS)), 0
         for batch in batches:

@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import shared_path
+from lodestone.llm.common import shared_path, ship_package
 
 MAGIC = b"\x1f\x8b\x08"
 _VERSION = re.compile(rb"WARC/1\.[01]\r\n")
@@ -174,6 +174,7 @@ def _fs(path: str):
 
 def write(pages: DataFrame, folder: str, settings: Settings = Settings()) -> list[tuple[str, int]]:
     """Write a record for each page into archives in a folder; their paths and sizes."""
+    ship_package(pages.sparkSession)
     body = F.coalesce(F.col("html"), F.lit(""))
     rows = pages.select("page_id", "url", body.alias("html"), F.sha1(body.cast("binary")).alias("_digest"))
     first = rows.groupBy("_digest").agg(F.max("page_id").alias("_response"))
@@ -219,6 +220,7 @@ def read(spark: SparkSession, archives: list[tuple[str, int]], settings: Setting
     payload_bytes and payload_digest are of the full payload; a revisit's come
     from its headers. `valid` says whether a response's payload has its digest.
     """
+    ship_package(spark)
     ranges = [
         (path, at, min(at + settings.split_bytes, size))
         for path, size in archives
