@@ -212,8 +212,8 @@ class Gaps:
 
 
 def bands(capacity: int) -> list[tuple[int, int]]:
-    """Lengths above low and up to high: as many as fit in a sequence 2 to 8 times each, then by halves."""
-    edges = sorted({capacity // k for k in range(2, 9)} | {(capacity // 8) >> i for i in range(capacity.bit_length())} | {0})
+    """Lengths above low and up to high: those that fit in a sequence 2 to 8 times each, five times by halves, the rest."""
+    edges = sorted({capacity // k for k in range(2, 9)} | {(capacity // 8) >> i for i in range(5)} | {0})
     return [(low, high) for low, high in zip(edges, edges[1:])][::-1]
 
 
