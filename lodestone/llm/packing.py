@@ -43,6 +43,7 @@ from lodestone.llm.common import ship_package, stash
 _PLAIN = re.compile(r"[\t\n\r\x20-\x7e¡-¬®-ɏ‐-‧]*")
 _SPECIAL = re.compile(r"<\|(?:startoftext|endoftext)\|>")
 _LONG = 48
+_PART = "\x01"
 
 
 @dataclass(frozen=True)
@@ -51,7 +52,7 @@ class Settings:
     capacity: int = 4096
     end_id: int = 1
     cached_words: int = 300_000
-    range_rows: int = 50_000
+    range_rows: int = 100_000
 
 
 class Encoder:
@@ -68,15 +69,14 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.bound, self.known, self.old = cached_words, {}, {}
+        (self.part,) = self.tokenizer.encode(_PART, add_special_tokens=False).ids
 
     def _each(self, words: list[str]) -> list[bytes]:
-        """The ids of each string, encoded together: where one ends is known from the offsets."""
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-        found = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
-        ids = np.array(found.ids, "<u4").tobytes()
-        starts = np.array([a for a, _ in found.offsets], np.int64)
-        cut = [0, *(4 * np.searchsorted(starts, ends)).tolist()]
-        return [ids[i:j] for i, j in zip(cut, cut[1:])]
+        """The ids of each string, encoded together: a sign that no plain text has, of one known id, parts them."""
+        found = self.tokenizer.encode_batch_fast([f" {_PART} ".join(words)], add_special_tokens=False)[0]
+        ids = np.array(found.ids, "<u4")
+        ends, raw = (4 * np.flatnonzero(ids == self.part)).tolist(), ids.tobytes()
+        return [raw[i:j] for i, j in zip([0, *(at + 4 for at in ends)], [*ends, len(raw)])]
 
     def ids(self, text: str | None) -> bytes:
         text = text or ""
@@ -84,10 +84,11 @@ class Encoder:
             found = self.tokenizer.encode(text.encode("utf-8", "replace").decode(), add_special_tokens=False)
             return np.array(found.ids, "<u4").tobytes()
         words = text.lower().split()
-        known, once = self.known, {}
-        if missing := set(words).difference(known):
-            new = []
-            for w in missing:
+        known = self.known
+        out = list(map(known.get, words))
+        if None in out:
+            once, new = {}, []
+            for w in {w for w, ids in zip(words, out) if ids is None}:
                 if w in self.old:
                     known[w] = self.old[w]
                 else:
@@ -96,13 +97,10 @@ class Encoder:
                 part = new[at : at + 2000]
                 for w, ids in zip(part, self._each(part)):
                     (known if len(w) <= _LONG else once)[w] = ids
-        if once:
-            out = b"".join([known[w] if w in known else once[w] for w in words])
-        else:
-            out = b"".join([known[w] for w in words])
+            out = [once[w] if w in once else known[w] for w in words] if once else list(map(known.__getitem__, words))
         if len(known) > self.bound:
             self.old, self.known = known, {}
-        return out
+        return b"".join(out)
 
 
 @lru_cache(maxsize=1)
@@ -212,8 +210,8 @@ class Gaps:
 
 
 def bands(capacity: int) -> list[tuple[int, int]]:
-    """Lengths above low and up to high: those that fit in a sequence 2 to 8 times each, five times by halves, the rest."""
-    edges = sorted({capacity // k for k in range(2, 9)} | {(capacity // 8) >> i for i in range(5)} | {0})
+    """Lengths above low and up to high: as 2, 3, 4, 6 and 8 of them fit in a sequence, three times by halves, the rest."""
+    edges = sorted({capacity // k for k in (2, 3, 4, 6, 8)} | {(capacity // 8) >> i for i in range(4)} | {0})
     return [(low, high) for low, high in zip(edges, edges[1:])][::-1]
 
 
@@ -259,27 +257,13 @@ def swept(items: DataFrame, parts: int) -> DataFrame:
 
 
 def numbered(left: DataFrame, runs: list[tuple[int, int, int, int, int]]) -> DataFrame:
-    """Add `pair` to what ranges have left: the number of the match across ranges, or -1."""
-    base = np.concatenate([[0], np.cumsum([r[4] for r in runs])]).astype(np.int64)
-    first = {
-        PIECE: sorted((of, at - n + 1, n, int(b) + n - 1, -1) for (of, at, _, _, n), b in zip(runs, base)),
-        GAP: sorted((part, at, n, int(b), 1) for (_, _, part, at, n), b in zip(runs, base)),
-    }
-    tables = {role: np.array(rows, np.int64).reshape(-1, 5).T for role, rows in first.items()}
-
-    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            pair = np.full(len(batch), -1, np.int64)
-            for role, (part, place, n, begin, way) in tables.items():
-                mine = np.flatnonzero(batch["role"].to_numpy() == role)
-                key = batch["part"].to_numpy(np.int64)[mine] << 40 | batch["place"].to_numpy(np.int64)[mine]
-                at = np.searchsorted(part << 40 | place, key, "right") - 1
-                off = key - (part << 40 | place)[np.maximum(at, 0)]
-                hit = (at >= 0) & (off < n[np.maximum(at, 0)])
-                pair[mine[hit]] = (begin[at] + way[at] * off)[hit]
-            yield batch.assign(pair=pair)
-
-    return left.mapInPandas(add, STEP + ", pair long")
+    """Add `pair` to what ranges have left: the number of the match across ranges, or null. runs: two a range at most."""
+    base = np.concatenate([[0], np.cumsum([r[4] for r in runs])]).tolist()
+    rows = [(PIECE, of, at - n + 1, at, b + at, -1) for (of, at, _, _, n), b in zip(runs, base)]
+    rows += [(GAP, part, at, at + n - 1, b - at, 1) for (_, _, part, at, n), b in zip(runs, base)]
+    table = left.sparkSession.createDataFrame(rows, "r int, p int, low long, high long, b long, way long")
+    inside = (left["role"] == table["r"]) & (left["part"] == table["p"]) & left["place"].between(table["low"], table["high"])
+    return left.join(F.broadcast(table), inside, "left").withColumn("pair", F.col("b") + F.col("way") * F.col("place")).drop(*table.columns)
 
 
 def filled(items: DataFrame, parts: int, capacity: int) -> DataFrame:
@@ -334,13 +318,13 @@ def assign(made: DataFrame, settings: Settings) -> DataFrame:
         pairs = sweep.where(F.col("role") == PLACED).select("id", "length", "sequence", "gap")
         rest = sweep.where(F.col("role") != PLACED)
         if runs:
-            told = numbered(rest, runs)
-            met = told.where("pair >= 0")
+            told = stash(numbered(rest, runs), "leftovers")
+            met = told.where("pair is not null")
             across = met.where(F.col("role") == PIECE).select("pair", "id", "length").join(
                 met.where(F.col("role") == GAP).select("pair", "sequence", "gap"), "pair"
             )
             pairs = pairs.unionByName(across.drop("pair"))
-            rest = told.where("pair < 0")
+            rest = told.where("pair is null")
         placed.append(pairs.select("id", "sequence", "gap"))
         after = pairs.select("sequence", (F.col("gap") - F.col("length")).alias("gap")).where("gap > 0")
         gaps = rest.where(F.col("role") == GAP).select("sequence", "gap").unionByName(after)
