@@ -27,6 +27,7 @@ def overlap_verdict(claim: Column, evidence: Column) -> Column:
     return F.when(ratio >= 0.8, SUPPORTED).when(ratio >= 0.4, PARTIAL).when(ratio > 0, UNSUPPORTED).otherwise(CONTRADICTED)
 
 
+#: A fixed value of results.
 INVALID_JSON = "Verifier returned invalid JSON."
 
 
@@ -81,7 +82,7 @@ def tagged(**parts: Column) -> Column:
 
 
 def claims_prompt(answer: Column) -> Column:
-    return F.concat(F.lit("Extract the factual claims from this generated answer:\n\n"), tagged(answer=answer))
+    return tagged(answer=answer)
 
 
 def claims_from_replies(rows: DataFrame, drop_invalid: bool = True) -> DataFrame:

@@ -127,7 +127,7 @@ def test_judge_asks_up_to_three_times(spark, server):
     client = clients.ChatCompletions("m", server.url)
     got = {r["text"]: (r["verdict"], r["explanation"]) for r in evaluate.judged_claims(claims, cases, client).collect()}
     assert got == {"first": ("CORRECT", "ok"), "third": ("INCORRECT", "Verdict recovered from truncated structured output.")}
-    assert "[Gold Evidence 1]\ns1\n\n[Gold Evidence 2]\ns2" in server.seen[0][3]
+    assert "<reference>\n[1] s1\n[2] s2\n</reference>" in server.seen[0][3]
     with pytest.raises(Exception, match="no usable reply after 3 attempts"):
         evaluate.judged_claims(claims.selectExpr("case_id", "'never' as text").limit(1), cases, client).collect()
 
