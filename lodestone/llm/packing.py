@@ -43,7 +43,6 @@ from lodestone.llm.common import ship_package, stash
 _PLAIN = re.compile(r"[\t\n\r\x20-\x7e¡-¬®-ɏ‐-‧]*")
 _SPECIAL = re.compile(r"<\|(?:startoftext|endoftext)\|>")
 _LONG = 48
-_PART = "\x01"
 
 
 @dataclass(frozen=True)
@@ -51,7 +50,7 @@ class Settings:
     tokenizer: str
     capacity: int = 4096
     end_id: int = 1
-    cached_words: int = 300_000
+    cached_words: int = 600_000
     range_rows: int = 100_000
 
 
@@ -69,14 +68,15 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.bound, self.known, self.old = cached_words, {}, {}
-        (self.part,) = self.tokenizer.encode(_PART, add_special_tokens=False).ids
 
     def _each(self, words: list[str]) -> list[bytes]:
-        """The ids of each string, encoded together: a sign that no plain text has, of one known id, parts them."""
-        found = self.tokenizer.encode_batch_fast([f" {_PART} ".join(words)], add_special_tokens=False)[0]
-        ids = np.array(found.ids, "<u4")
-        ends, raw = (4 * np.flatnonzero(ids == self.part)).tolist(), ids.tobytes()
-        return [raw[i:j] for i, j in zip([0, *(at + 4 for at in ends)], [*ends, len(raw)])]
+        """The ids of each string, encoded together: where one ends is known from the offsets."""
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+        found = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
+        ids = np.array(found.ids, "<u4").tobytes()
+        starts = np.array([a for a, _ in found.offsets], np.int64)
+        cut = [0, *(4 * np.searchsorted(starts, ends)).tolist()]
+        return [ids[i:j] for i, j in zip(cut, cut[1:])]
 
     def ids(self, text: str | None) -> bytes:
         text = text or ""
@@ -84,23 +84,25 @@ class Encoder:
             found = self.tokenizer.encode(text.encode("utf-8", "replace").decode(), add_special_tokens=False)
             return np.array(found.ids, "<u4").tobytes()
         words = text.lower().split()
-        known = self.known
-        out = list(map(known.get, words))
-        if None in out:
-            once, new = {}, []
-            for w in {w for w, ids in zip(words, out) if ids is None}:
+        known, once = self.known, {}
+        if missing := set(words).difference(known):
+            new = []
+            for w in missing:
                 if w in self.old:
                     known[w] = self.old[w]
                 else:
                     new.append(w)
-            for at in range(0, len(new), 2000):
-                part = new[at : at + 2000]
+            for at in range(0, len(new), 100):  # the tokenizer is slower on longer strings
+                part = new[at : at + 100]
                 for w, ids in zip(part, self._each(part)):
                     (known if len(w) <= _LONG else once)[w] = ids
-            out = [once[w] if w in once else known[w] for w in words] if once else list(map(known.__getitem__, words))
+        if once:
+            out = b"".join([known[w] if w in known else once[w] for w in words])
+        else:
+            out = b"".join(map(known.__getitem__, words))
         if len(known) > self.bound:
             self.old, self.known = known, {}
-        return b"".join(out)
+        return out
 
 
 @lru_cache(maxsize=1)
