@@ -11,7 +11,7 @@ from pyspark.sql.types import StructType
 
 from lodestone.session import drop_stash, shared_path, ship_package, stash
 
-__all__ = ["checked_broadcast", "drop_stash", "fresh", "map_column", "rank_buckets", "ranked", "shared_path", "ship_package", "stash", "table"]
+__all__ = ["checked_broadcast", "drop_stash", "fresh", "map_column", "rank_buckets", "ranked", "shared_path", "ship_package", "slices", "stash", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +57,13 @@ def fresh(name: str, taken: Sequence[str]) -> str:
     return name
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """Batches of at most so many rows, so that few texts are held as strings at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def map_column(df: DataFrame, column: str, keep: Sequence[str], made: str, start: Callable[[], Callable]) -> DataFrame:
     """Add columns computed from one column; the kept ones pass through untouched.
 
@@ -74,7 +81,7 @@ def map_column(df: DataFrame, column: str, keep: Sequence[str], made: str, start
 
         work = start()
         kinds = [to_arrow_type(f.dataType) for f in schema.fields[n:]]
-        for batch in batches:
+        for batch in slices(batches):
             found = work(batch.column(n).to_pylist())
             arrays = [pa.array(x, k) for x, k in zip(found, kinds)]
             yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(n)] + arrays, names)

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm import features
-from lodestone.llm.common import drop_stash, fresh, map_column, ship_package, stash
+from lodestone.llm.common import drop_stash, fresh, map_column, ship_package, slices, stash
 
 
 @dataclass(frozen=True)
@@ -138,7 +138,7 @@ def _present(rows: DataFrame, settings: Settings, kept: np.ndarray | None) -> Da
             wanted = np.zeros(buckets, bool)
             wanted[kept] = True
         found: dict[int, np.ndarray] = {}
-        for batch in batches:
+        for batch in slices(batches):
             grade = batch.column(1).to_numpy()
             for b in features.blocks(batch.column(0).to_pylist(), settings.features, wanted):
                 own = grade[b.first : b.first + len(b.words)]
@@ -230,7 +230,7 @@ def prepare(docs: DataFrame, marks: DataFrame, settings: Settings) -> Labelled |
     kept = counts.buckets
 
     def compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             for block in rows_of(batch.column(0).to_pylist(), batch.column(1).to_numpy(), kept, settings):
                 yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in block.packed()], [c.split()[0] for c in BLOCKS.split(", ")])
 
