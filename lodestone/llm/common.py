@@ -11,7 +11,7 @@ from pyspark.sql.types import StructType
 
 from lodestone.session import drop_stash, shared_path, ship_package, stash
 
-__all__ = ["checked_broadcast", "drop_stash", "fresh", "map_column", "rank_buckets", "ranked", "shared_path", "ship_package", "slices", "stash", "table"]
+__all__ = ["FORGET", "checked_broadcast", "drop_stash", "fresh", "map_column", "rank_buckets", "ranked", "shared_path", "ship_package", "slices", "stash", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,8 +57,17 @@ def fresh(name: str, taken: Sequence[str]) -> str:
     return name
 
 
+#: What frees the large memories that an operator keeps in a Python worker from task to task.
+FORGET: list[Callable[[], None]] = []
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
-    """Batches of at most so many rows, so that few texts are held as strings at a time."""
+    """Batches of at most so many rows, so that few texts are held as strings at a time.
+
+    Workers serve one operator after the other: what another one remembers is freed first.
+    """
+    for forget in FORGET:
+        forget()
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import ship_package, stash
+from lodestone.llm.common import FORGET, ship_package, stash
 
 #: Texts of these characters only are split here; any other goes to the tokenizer as a whole.
 _PLAIN = re.compile(r"[\t\n\r\x20-\x7e¡-¬®-ɏ‐-‧]*")
@@ -111,6 +111,9 @@ def encoder(path: str, cached_words: int) -> Encoder:
     return Encoder(path, cached_words)
 
 
+FORGET.append(encoder.cache_clear)
+
+
 def pieces(docs: DataFrame, settings: Settings, keep_ids: bool = False) -> DataFrame:
     """Pieces of at most capacity tokens: id, doc_id, piece, start, length, ids_crc32 and, if wanted, the ids.
 
