@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import language_id, mixing, ogg, packing, quality, search, shard_tree, simhash, toxicity, warc
+from lodestone.llm import chat, language_id, mixing, ogg, packing, quality, search, shard_tree, simhash, toxicity, trie, warc
 from lodestone.llm.common import table
 
 
@@ -62,6 +62,19 @@ def op10_bm25_wand(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.search(queries, docs)
 
 
+def op11_chat_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    ok = "</s>[INST] ok [/INST]"
+    more = spark.sql(f"select * from values (-1L, 0L, 'user', '{ok}'), (-1L, 1L, 'assistant', '{ok}') t(conv_id, turn, role, text)")
+    return chat.digests(chat.formatted(turns.unionByName(more)))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.col("conv_id")
+    family, shared = c - c % 100, F.crc32(c.cast("string").cast("binary")) % 6
+    return trie.nodes(table(spark, sf_dir, "conversations"), family, shared)
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_ogg": op2_ogg,
@@ -73,6 +86,8 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_pfair": op9_pfair,
     "op10_bm25_wand": op10_bm25_wand,
+    "op11_chat_grammar": op11_chat_grammar,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 #: A SHA-1 in base32: eight letters for each ten hex digits.
@@ -102,5 +117,43 @@ sc as (
   from q join idf using (term) join tf using (term), s group by 1, 2)
 select query_id, rank, doc_id, score from (
   select *, row_number() over (partition by query_id order by score desc, doc_id) rank from sc) where rank <= 10
+""",
+    "op11_chat_grammar": r"""
+with c as (
+  select conv_id, turn, coalesce(role, '') r, coalesce(text, '') t from conversations
+  union all select -1, 0, 'user', '</s>[INST] ok [/INST]' union all select -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e as (
+  select *, regexp_replace(regexp_replace(r, '(\[)(\\*/?INST\])', '\1\\\2', 'g'), '(<)(\\*/?s>)', '\1\\\2', 'g') er,
+    regexp_replace(regexp_replace(t, '(\[)(\\*/?INST\])', '\1\\\2', 'g'), '(<)(\\*/?s>)', '\1\\\2', 'g') et from c)
+select conv_id, count(*) n_turns, sha256(string_agg(r || chr(10) || t || chr(10), '' order by turn nulls first, r, t)) turns_sha256,
+  coalesce(sum(length(t)) filter (r = 'assistant'), 0)::bigint loss_chars,
+  sha256(coalesce(string_agg(t, '' order by turn nulls first, r, t) filter (r = 'assistant'), '')) loss_sha256,
+  (3 + sum(17 + length(er) + length(et)))::bigint formatted_chars, count(*) filter (er <> r or et <> t) n_escaped, true identical
+from e group by conv_id
+""",
+    "op13_prefix_trie": r"""
+with own as (
+  select conv_id c, row_number() over (partition by conv_id order by turn nulls first) - 1 i, coalesce(role, '') r, coalesce(text, '') t
+  from conversations where conv_id is not null),
+convs as (
+  select c, c - c % 100 base, n, (4294967295 - list_reduce(list_transform(string_split(c::varchar, ''), lambda x: ascii(x)::bigint), lambda s, b:
+    xor(s >> 8, list_reduce(range(8), lambda v, i: xor(v >> 1, 3988292384 * (v & 1)), xor(s, b) & 255)), 4294967295)) % 6 h
+  from (select c, count(*) n from own group by c)),
+re as (
+  select a.c, i, r, t from convs a join own b on b.c = a.base and b.i < a.h
+  union all select a.c, i - a.h + least(a.h, coalesce(z.n, 0)), r, t from convs a join own b on b.c = a.c and b.i >= a.h left join convs z on z.c = a.base),
+keyed as (
+  select c, i + 1 d, length(t) last, sha256(string_agg(sha256(length(r) || ':' || r || t), '') over (partition by c order by i)) k from re
+  union all select c, 0, 0, '' from convs),
+p as (select *, max(d) over (partition by c) turns from keyed),
+n as (select d, k, min(c) conv_id, count(*) n, max(last) last, max(turns) = d leaf,
+    sha256(coalesce(string_agg(c::varchar, ',' order by c) filter (turns = d), '')) ends from p group by d, k),
+up as (select distinct a.d, a.k, b.d bd, b.k bk from p a join p b on a.c = b.c and b.d >= a.d),
+su as (select up.d, up.k, sum(leaf::int) leaves, sum((n - 1) * last) saved, sum((bd = up.d + 1)::int) kids
+  from up join n on n.d = bd and n.k = bk group by all)
+select n.conv_id, n.d depth, m.conv_id parent_conv_id, n.n n_convs, kids::bigint n_children, leaves::bigint n_leaves,
+  saved::bigint saved_tokens, n.ends ends_sha256
+from n join su using (d, k) left join (select distinct b.d, b.k, a.d ad, a.k ak from p a join p b on a.c = b.c and a.d = b.d - 1) e on e.d = n.d and e.k = n.k
+left join n m on m.d = ad and m.k = ak
 """,
 }
