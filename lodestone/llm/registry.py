@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import chat, language_id, mixing, ogg, packing, quality, search, shard_tree, simhash, toxicity, trie, warc
+from lodestone.llm import chat, collocation, language_id, mixing, ogg, packing, quality, search, shard_tree, simhash, toxicity, trie, warc
 from lodestone.llm.common import table
 
 
@@ -69,6 +69,10 @@ def op11_chat_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.formatted(turns.unionByName(more)))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocation.collocations(table(spark, sf_dir, "documents").select("lang", "text"))
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col("conv_id")
     family, shared = c - c % 100, F.crc32(c.cast("string").cast("binary")) % 6
@@ -87,6 +91,7 @@ QUERIES = {
     "op9_pfair": op9_pfair,
     "op10_bm25_wand": op10_bm25_wand,
     "op11_chat_grammar": op11_chat_grammar,
+    "op12_collocations": op12_collocations,
     "op13_prefix_trie": op13_prefix_trie,
 }
 
@@ -130,6 +135,30 @@ select conv_id, count(*) n_turns, sha256(string_agg(r || chr(10) || t || chr(10)
   sha256(coalesce(string_agg(t, '' order by turn nulls first, r, t) filter (r = 'assistant'), '')) loss_sha256,
   (3 + sum(17 + length(er) + length(et)))::bigint formatted_chars, count(*) filter (er <> r or et <> t) n_escaped, true identical
 from e group by conv_id
+""",
+    "op12_collocations": r"""
+with p as (
+  select coalesce(lang, 'und') lang, unnest(regexp_split_to_array(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) piece from documents),
+w as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') w from p),
+g as (
+  select lang, m, unnest(list_transform(range(1, len(w) - m + 2), lambda i: array_to_string(w[i:i + m - 1], ' '))) phrase
+  from w, (values (1), (2), (3)) t(m) where len(w) >= m),
+f as (select lang, m, phrase, count(*) f from g group by all having count(*) >= 10),
+cuts as (
+  select lang, m, phrase, f a, k, array_to_string(string_split(phrase, ' ')[:k], ' ') lp, array_to_string(string_split(phrase, ' ')[k + 1:], ' ') rp
+  from f, (values (1), (2)) t(k) where k < m),
+sc as (
+  select cuts.*, x.f l, y.f r, ((1000000::hugeint * a * a) // (x.f::hugeint * y.f))::bigint score
+  from cuts join f x on x.lang = cuts.lang and x.phrase = lp join f y on y.lang = cuts.lang and y.phrase = rp),
+c as (select * from sc qualify row_number() over (partition by lang, phrase order by score, k) = 1),
+sub as (
+  select lang, inner_phrase phrase, max(a) longer from (
+    select lang, a, unnest([array_to_string(string_split(phrase, ' ')[1:2], ' '), array_to_string(string_split(phrase, ' ')[2:3], ' ')]) inner_phrase from c where m = 3)
+  group by all),
+kept as (select c.* from c left join sub using (lang, phrase) where longer is null or 100 * longer < 50 * a),
+ranked as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) rank from kept)
+select lang, rank, phrase, a, l, r, n, score from ranked join (select lang, sum(len(w))::bigint n from w group by lang) using (lang) where rank <= 2000
 """,
     "op13_prefix_trie": r"""
 with own as (
