@@ -16,7 +16,7 @@ that no turn can differ. The turns are then joined and the conversation is
 reparsed as a whole: `identical` tells that this gave the source.
 
 The loss mask is a span for each assistant turn, in code points of the formatted
-text. A conversation is one training example and so one row: it must fit a
+text, and null for the other turns. A conversation is one training example and so one row: it must fit a
 row, as must the string that its digest covers. All work on it is linear in its length.
 
 Only built-in functions run here.
@@ -29,6 +29,8 @@ result. Extra columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,13 +38,19 @@ BEGIN, OPEN, MIDDLE, CLOSE = "<s>", "[INST]", "[/INST]", "</s>"
 LOSS_ROLE = "assistant"
 
 
+def bound(value: Column, of: Callable[[Column], Column]) -> Column:
+    """of(value), with the value computed once."""
+    return F.get(F.transform(F.array(value), of), F.lit(0))
+
+
 def escaped(text: Column) -> Column:
     """With one backslash more in each control string."""
     return F.regexp_replace(F.regexp_replace(text, r"(\[)(\\*/?INST\])", r"$1\\$2"), r"(<)(\\*/?s>)", r"$1\\$2")
 
 
 def unescaped(text: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(text, r"(\[)\\(\\*/?INST\])", "$1$2"), r"(<)\\(\\*/?s>)", "$1$2")
+    taken = F.regexp_replace(F.regexp_replace(text, r"(\[)\\(\\*/?INST\])", "$1$2"), r"(<)\\(\\*/?s>)", "$1$2")
+    return F.when(text.contains("\\"), taken).otherwise(text)
 
 
 def rendered(role: Column, text: Column) -> Column:
@@ -57,23 +65,30 @@ def _plain(text: Column) -> Column:
 def segments(formatted: Column) -> Column:
     """The turns of a formatted conversation as they stand, without their close; null if it is not one."""
     parts = F.split(F.substring(formatted, F.lit(len(BEGIN) + 1), F.length(formatted)), F.lit(CLOSE), F.lit(-1))
-    whole = formatted.startswith(F.lit(BEGIN)) & (F.element_at(parts, -1) == "")
-    return F.when(whole, F.slice(parts, F.lit(1), F.size(parts) - 1))
+    whole = lambda p: formatted.startswith(F.lit(BEGIN)) & (F.element_at(p, -1) == "")
+    return bound(parts, lambda p: F.when(whole(p), F.slice(p, F.lit(1), F.size(p) - 1)))
 
 
 def _turn(segment: Column) -> Column:
     """role and text of a segment, null if the grammar has no such turn."""
-    middle = F.instr(segment, MIDDLE)
-    role = F.substring(segment, F.lit(len(OPEN) + 1), middle - F.lit(len(OPEN) + 1))
-    text = F.substring(segment, middle + F.lit(len(MIDDLE)), F.length(segment))
-    valid = segment.startswith(F.lit(OPEN)) & (middle > F.lit(len(OPEN))) & _plain(role) & _plain(text)
-    return F.when(valid, F.struct(unescaped(role).alias("role"), unescaped(text).alias("text")))
+
+    def cut(middle: Column) -> Column:
+        role = F.substring(segment, F.lit(len(OPEN) + 1), middle - F.lit(len(OPEN) + 1))
+        text = F.substring(segment, middle + F.lit(len(MIDDLE)), F.length(segment))
+        valid = segment.startswith(F.lit(OPEN)) & (middle > F.lit(len(OPEN)))
+        return F.when(valid, F.struct(role.alias("role"), text.alias("text")))
+
+    def read(turn: Column) -> Column:
+        plain = _plain(turn["role"]) & _plain(turn["text"])
+        return F.when(plain, F.struct(unescaped(turn["role"]).alias("role"), unescaped(turn["text"]).alias("text")))
+
+    return bound(bound(F.instr(segment, MIDDLE), cut), read)
 
 
 def parsed(formatted: Column) -> Column:
     """The turns read from a formatted conversation: array<struct<role, text>>, null if the grammar refuses it."""
-    turns = F.transform(segments(formatted), _turn)
-    return F.when(~F.exists(turns, lambda t: t.isNull()), turns)
+    refused = lambda turns: F.exists(turns, lambda t: t.isNull())
+    return bound(F.transform(segments(formatted), _turn), lambda turns: F.when(~refused(turns), turns))
 
 
 def survives(role: Column, text: Column, as_role: Column, as_text: Column) -> Column:
@@ -85,8 +100,8 @@ def survives(role: Column, text: Column, as_role: Column, as_text: Column) -> Co
 def formatted(turns: DataFrame) -> DataFrame:
     """conv_id, formatted, loss_spans, n_escaped and identical of each conversation of (conv_id, turn, role, text).
 
-    loss_spans: array<struct<segment, at, start, chars>>, the turn's number, its
-    place in the formatted text, and place and length of its masked text there.
+    loss_spans: for each turn null, or struct<at, start, chars>: where the turn
+    begins in the formatted text, and where its text under the mask does, of so many code points.
     """
     rows = turns.select(
         F.col("conv_id"),
@@ -100,9 +115,8 @@ def formatted(turns: DataFrame) -> DataFrame:
     width = F.length(rendered(F.col("said_role"), F.col("said")))
     by = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     before = by.rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("segment", F.row_number().over(by) - F.lit(1))
     rows = rows.withColumn("at", F.lit(len(BEGIN)).cast("long") + F.coalesce(F.sum(width).over(before), F.lit(0)))
-    one = F.struct("segment", "at", "role", "text", "said_role", "said", "conflict")
+    one = F.struct("at", "role", "text", "said_role", "said", "conflict")
     convs = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(one)).alias("t"))
     source = F.transform("t", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
     joined = F.concat(F.lit(BEGIN), F.array_join(F.transform("t", lambda t: rendered(t["said_role"], t["said"])), ""))
@@ -110,15 +124,12 @@ def formatted(turns: DataFrame) -> DataFrame:
     convs = convs.withColumn("identical", F.coalesce(parsed(F.col("formatted")) == F.col("source"), F.lit(False)))
     head = lambda t: F.length(t["said_role"]) + F.lit(len(OPEN) + len(MIDDLE))
     span = lambda t: F.struct(
-        t["segment"].alias("segment"),
-        t["at"].alias("at"),
-        (t["at"] + head(t)).alias("start"),
-        F.length(t["said"]).cast("long").alias("chars"),
+        t["at"].alias("at"), (t["at"] + head(t)).alias("start"), F.length(t["said"]).cast("long").alias("chars")
     )
     return convs.select(
         "conv_id",
         "formatted",
-        F.transform(F.filter("t", lambda t: t["role"] == LOSS_ROLE), span).alias("loss_spans"),
+        F.transform("t", lambda t: F.when(t["role"] == LOSS_ROLE, span(t))).alias("loss_spans"),
         F.size(F.filter("t", lambda t: t["conflict"])).alias("n_escaped"),
         "identical",
     )
@@ -126,9 +137,9 @@ def formatted(turns: DataFrame) -> DataFrame:
 
 def masked(formatted: Column, loss_spans: Column) -> Column:
     """The text under the loss mask, unescaped, cut out of the formatted text span by span."""
-    parts = segments(formatted)
-    cut = lambda s: F.substring(F.get(parts, s["segment"]), (s["start"] - s["at"] + F.lit(1)).cast("int"), s["chars"].cast("int"))
-    return F.array_join(F.transform(loss_spans, lambda s: unescaped(cut(s))), "")
+    cut = lambda turn, s: F.substring(turn, (s["start"] - s["at"] + F.lit(1)).cast("int"), s["chars"].cast("int"))
+    said = F.zip_with(segments(formatted), loss_spans, lambda turn, s: bound(cut(turn, s), unescaped))
+    return F.array_join(said, "")  # null outside the mask
 
 
 def digests(done: DataFrame) -> DataFrame:

@@ -66,7 +66,8 @@ def test_a_text_without_control_strings_is_not_changed(spark):
     df = spark.createDataFrame([(1, 0, "user", "a [b] <c> \\"), (1, 1, "assistant", "<\\s")], SCHEMA)
     row = chat.formatted(df).first()
     assert row["formatted"] == "<s>[INST]user[/INST]a [b] <c> \\</s>[INST]assistant[/INST]<\\s</s>" and row["n_escaped"] == 0
-    span = row["loss_spans"][0]
+    none, span = row["loss_spans"]
+    assert none is None
     assert row["formatted"][span["start"] : span["start"] + span["chars"]] == "<\\s"
 
 
