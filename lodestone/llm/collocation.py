@@ -17,7 +17,7 @@ Then a phrase's score is the least over its cuts of least(part counts), and a
 phrase inside a longer one that occurs at least cover % as often is left out.
 
 Texts are cut at bytes, and all n-grams of a slice of texts are counted at once
-as pairs of numbers. Equal n-grams of a slice travel as one row; Spark sums them
+as pairs of numbers. Equal n-grams of some slices travel as one row; Spark sums them
 before and after its shuffle. No list of a language's phrases is ever in one task
 but for the `top` best ones of each task.
 
@@ -53,6 +53,8 @@ LOWER[ord("A") : ord("Z") + 1] += 32
 #: Multipliers of the hashes: odd 64-bit numbers.
 BASE, STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95)
 ROWS = [np.uint64(x) for x in (0xF1357AEA2E62A9C5, 0x8C2F9D5B3A7E6141, 0xB5297A4D3F84D5B5, 0xA24BAED4963EE407)]
+#: Rows that a task sums before it passes them on.
+PENDING = 1_000_000
 #: Cells of a block in which sketches travel.
 BLOCK = 1 << 18
 
@@ -71,7 +73,7 @@ class Settings:
     top: int = 2000
     rows: int = 2
     max_bits: int = 26
-    slice_bytes: int = 16 << 20
+    slice_bytes: int = 4 << 20
 
     def __post_init__(self) -> None:
         if not 1 <= self.least <= 15 or not 1 <= self.rows <= len(ROWS) or not 18 <= self.max_bits <= 28 or self.words < 2:
@@ -129,7 +131,7 @@ class Slice:
         starts[1:] &= ~inside[:-1] | first[1:]
         ends = inside.copy()
         ends[:-1] &= ~inside[1:] | first[1:]
-        piece = np.cumsum((kind == BREAK) | first, dtype=np.int64)
+        piece = np.cumsum((kind == BREAK) | first, dtype=np.int32 if len(raw) < 1 << 31 else np.int64)
         at = np.flatnonzero(starts)
         self.piece = piece[at]
         lengths = np.flatnonzero(ends) + 1 - at
@@ -167,7 +169,7 @@ class Slice:
                 self.grams[-1].keep = alive
                 place, code = place[alive[code]], code[alive[code]]
 
-    def phrases(self, n: int) -> tuple[pa.Array, pa.Array, np.ndarray]:
+    def phrases(self, n: int) -> tuple[pa.Array, pa.Array, pa.Array]:
         """Language, phrase and count of the surviving n-grams of n words."""
         grams = self.grams[n - 1]
         at = np.flatnonzero(grams.keep)
@@ -176,7 +178,7 @@ class Slice:
             parts.insert(0, self.dictionary.take(pa.array(self.grams[m].last[at])))
             at = self.grams[m].before[at]
         joined = parts[0] if n == 1 else pc.binary_join_element_wise(*parts, b" ")
-        return self.langs.take(pa.array(at)), joined.cast(pa.string()), count
+        return self.langs.take(pa.array(at)), joined.cast(pa.string()), pa.array(count, pa.int64())
 
 
 def cut(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[Slice]:
@@ -263,6 +265,13 @@ def _merged(settings: Settings) -> Callable:
     return run
 
 
+def summed(tables: list[pa.Table]) -> Iterator[pa.RecordBatch]:
+    """Equal phrases of several slices as one row."""
+    found = pa.concat_tables(tables).group_by(["lang", "phrase"]).aggregate([("f", "sum")])
+    for batch in found.select(["lang", "phrase", "f_sum"]).to_batches(100_000):
+        yield pa.RecordBatch.from_arrays(batch.columns, ["lang", "phrase", "f"])
+
+
 def _survivors(settings: Settings, bits: int, sketch) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         full = sketch.value
@@ -274,13 +283,17 @@ def _survivors(settings: Settings, bits: int, sketch) -> Callable:
                 alive &= (full[cell >> np.uint64(3)] >> (np.uint8(7) - (cell & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
             return alive
 
+        pending, rows = [], 0
         for part in cut(batches, settings.slice_bytes):
             part.count(settings.words, survive)
             for n in range(1, settings.words + 1):
-                lang, phrase, count = part.phrases(n)
-                for at in range(0, len(count), 100_000):
-                    columns = [lang.slice(at, 100_000), phrase.slice(at, 100_000), pa.array(count[at : at + 100_000], pa.int64())]
-                    yield pa.RecordBatch.from_arrays(columns, ["lang", "phrase", "f"])
+                pending.append(pa.Table.from_arrays([*part.phrases(n)], ["lang", "phrase", "f"]))
+                rows += len(pending[-1])
+            if rows > PENDING:
+                yield from summed(pending)
+                pending, rows = [], 0
+        if pending:
+            yield from summed(pending)
 
     return run
 
