@@ -54,7 +54,7 @@ LOWER[ord("A") : ord("Z") + 1] += 32
 BASE, STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95)
 ROWS = [np.uint64(x) for x in (0xF1357AEA2E62A9C5, 0x8C2F9D5B3A7E6141, 0xB5297A4D3F84D5B5, 0xA24BAED4963EE407)]
 #: Rows that a task sums before it passes them on.
-PENDING = 1_000_000
+PENDING = 400_000
 #: Cells of a block in which sketches travel.
 BLOCK = 1 << 18
 
@@ -72,8 +72,8 @@ class Settings:
     cover: int = 50
     top: int = 2000
     rows: int = 2
-    max_bits: int = 26
-    slice_bytes: int = 4 << 20
+    max_bits: int = 25
+    slice_bytes: int = 2 << 20
 
     def __post_init__(self) -> None:
         if not 1 <= self.least <= 15 or not 1 <= self.rows <= len(ROWS) or not 18 <= self.max_bits <= 28 or self.words < 2:
@@ -270,6 +270,8 @@ def summed(tables: list[pa.Table]) -> Iterator[pa.RecordBatch]:
     found = pa.concat_tables(tables).group_by(["lang", "phrase"]).aggregate([("f", "sum")])
     for batch in found.select(["lang", "phrase", "f_sum"]).to_batches(100_000):
         yield pa.RecordBatch.from_arrays(batch.columns, ["lang", "phrase", "f"])
+    del found, tables
+    pa.default_memory_pool().release_unused()  # workers live on
 
 
 def _survivors(settings: Settings, bits: int, sketch) -> Callable:
@@ -316,7 +318,7 @@ def counts(docs: DataFrame, settings: Settings) -> tuple[DataFrame, DataFrame]:
     docs = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit(NO_LANG)).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     spark = docs.sparkSession
     sketch, bits = sketched(docs, settings)
-    full = np.zeros(settings.rows << bits >> 3, np.uint8)  # at most 8 MB a row with the default max_bits
+    full = np.zeros(settings.rows << bits >> 3, np.uint8)  # at most 4 MB a row with the default max_bits
     step = BLOCK >> 3
     found = sketch.where("block >= 0").select("block", "cells").toArrow()
     for block, part in zip(found.column(0).to_pylist(), found.column(1)):
