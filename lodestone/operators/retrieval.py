@@ -8,7 +8,8 @@ position, so ties fall as in a stable sort.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -30,56 +31,112 @@ class Bm25:
     epsilon: float = 0.25
 
 
+#: Chunks that share a block of postings, on average.
+BLOCK_CHUNKS = 256
+#: What sums of doubles may be off.
+SLACK = 1e-7
+
+
 @dataclass(frozen=True)
 class LexicalIndex:
-    """postings(term, chunk_id, position, tf, dl), terms(term, df, idf), stats(n, avgdl) and corpus(chunk_id, position)."""
+    """Inverted lists, cut into blocks by a hash of the chunk.
+
+    blocks: segment, term, block, max_tf, min_dl and list, an array of (chunk_id,
+    position, tf, dl). terms: term, df, idf, max_tf, min_dl. stats: n, avgdl. corpus:
+    segment, block, chunk_id, position, dl. removed: (segment, chunk_id) of chunks
+    that are in the lists and count no more.
+    """
 
-    postings: DataFrame
+    blocks: DataFrame
     terms: DataFrame
     stats: DataFrame
     corpus: DataFrame
     params: Bm25
+    removed: DataFrame | None = None
 
+    @property
+    def postings(self) -> DataFrame:
+        """segment, block, term, chunk_id, position, tf, dl of every chunk that counts."""
+        return self.counting(self.blocks.select("segment", "block", "term", F.inline("list")))
+
+    def counting(self, rows: DataFrame) -> DataFrame:
+        """Rows (segment, chunk_id, ...) without those of removed chunks."""
+        return rows if self.removed is None else rows.join(self.removed, ["segment", "chunk_id"], "left_anti")
 
-def lexical_index(chunks: DataFrame, params: Bm25 = Bm25(), position: Column | None = None) -> LexicalIndex:
-    """Inverted lists of chunks (chunk_id, text).
 
-    Documents without words count for number and mean length. position: the
-    corpus order, by default the id.
+def posting_blocks(chunks: DataFrame, segment: str = "", position: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """The blocks and the corpus rows of chunks (chunk_id, text); a block is of so many chunks whatever their number.
+
+    Chunks without words have a corpus row. position: the corpus order, by default the id.
     """
     order = (F.col("chunk_id") if position is None else position).alias("position")
-    words = chunks.select("chunk_id", order, T.tokens(F.coalesce("text", F.lit(""))).alias("_w"))
-    sized = stash(words, "words").withColumn("dl", F.size("_w"))  # else each use below would split the texts again
-    postings = (
-        sized.select("chunk_id", "position", "dl", F.explode("_w").alias("term"))
-        .groupBy("term", "chunk_id", "position", "dl")
-        .agg(F.count(F.lit(1)).alias("tf"))
+    words = stash(chunks.select("chunk_id", order, T.tokens(F.coalesce("text", F.lit(""))).alias("_w")), "words")  # split once
+    sized = words.select(
+        F.lit(segment).alias("segment"), _block(words.count()).alias("block"), "chunk_id", "position", F.size("_w").cast("long").alias("dl"), "_w"
+    )
+    counted = sized.select("*", F.explode("_w").alias("term")).groupBy("segment", "term", "block", "chunk_id", "position", "dl").agg(
+        F.count(F.lit(1)).alias("tf")
     )
-    stats = sized.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    df = sized.select(F.explode(F.array_distinct("_w")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    return LexicalIndex(postings, inverse_frequencies(df, stats, params), stats, sized.select("chunk_id", "position"), params)
+    return _blocks(counted), sized.drop("_w")
 
 
-def written(index: LexicalIndex) -> LexicalIndex:
-    """The index as tables in the shared folder: what asks it later computes nothing of it again."""
-    tables = (stash(df, f"index-{n}") for n, df in zip(("postings", "terms", "stats", "corpus"), (index.postings, index.terms, index.stats, index.corpus)))
-    return LexicalIndex(*tables, index.params)
+def _block(chunks: int) -> Column:
+    """The block of a chunk among so many."""
+    return F.pmod(F.xxhash64("chunk_id"), F.lit(max(1, chunks // BLOCK_CHUNKS)))
+
+
+def _blocks(postings: DataFrame) -> DataFrame:
+    return postings.groupBy("segment", "term", "block").agg(
+        F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"), F.collect_list(F.struct("chunk_id", "position", "tf", "dl")).alias("list")
+    )
+
+
+def blocks_again(postings: DataFrame, corpus: DataFrame, segment: str) -> tuple[DataFrame, DataFrame]:
+    """Blocks and corpus rows of one segment, from the postings and corpus rows of others; no text is read."""
+    block = _block(corpus.count())
+    moved = lambda df: df.withColumn("segment", F.lit(segment)).withColumn("block", block)
+    return _blocks(moved(postings)), moved(corpus)
+
+
+def frequencies(blocks: DataFrame) -> DataFrame:
+    """segment, term, df, max_tf and min_dl from blocks."""
+    return blocks.groupBy("segment", "term").agg(
+        F.sum(F.size("list")).alias("df"), F.max("max_tf").alias("max_tf"), F.min("min_dl").alias("min_dl")
+    )
+
+
+def sizes(corpus: DataFrame) -> DataFrame:
+    """segment, its number n of chunks and of their words."""
+    return corpus.groupBy("segment").agg(F.count(F.lit(1)).alias("n"), F.sum("dl").alias("words"))
+
+
+def merged(blocks: DataFrame, counts: DataFrame, sized: DataFrame, corpus: DataFrame, params: Bm25, removed: DataFrame | None = None) -> LexicalIndex:
+    """The index of all segments from their blocks, frequencies and sizes; counts may be corrected by negative ones."""
+    stats = sized.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), (F.sum("words") / F.nullif(F.sum("n"), F.lit(0))).alias("avgdl"))
+    df = counts.groupBy("term").agg(F.sum("df").alias("df"), F.max("max_tf").alias("max_tf"), F.min("min_dl").alias("min_dl"))
+    return LexicalIndex(blocks, inverse_frequencies(df.where("df > 0"), stats, params), stats, corpus, params, removed)
+
+
+def lexical_index(chunks: DataFrame, params: Bm25 = Bm25(), position: Column | None = None) -> LexicalIndex:
+    """The index of chunks (chunk_id, text), with its blocks and frequencies written to the shared folder."""
+    blocks, corpus = posting_blocks(chunks, "", position)
+    blocks = stash(blocks, "blocks")
+    return merged(blocks, stash(frequencies(blocks), "frequencies"), sizes(corpus), corpus, params)
 
 
-def term_statistics(postings: DataFrame, stats: DataFrame, params: Bm25 = Bm25()) -> DataFrame:
-    """term, df and idf from postings."""
-    return inverse_frequencies(postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")), stats, params)
+def written(index: LexicalIndex) -> LexicalIndex:
+    """The index with its terms, statistics and corpus as tables in the shared folder too: what asks it later computes nothing of it again."""
+    terms, stats, corpus = (stash(df, f"index-{n}") for n, df in (("terms", index.terms), ("stats", index.stats), ("corpus", index.corpus)))
+    return replace(index, terms=terms, stats=stats, corpus=corpus)
 
 
 def inverse_frequencies(df: DataFrame, stats: DataFrame, params: Bm25 = Bm25()) -> DataFrame:
-    """term, df and idf; a negative idf becomes epsilon times the mean of all raw ones."""
+    """Terms with their df, and with idf; a negative idf becomes epsilon times the mean of all raw ones."""
     raw = F.ln(F.col("n") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)
-    counted = df.crossJoin(F.broadcast(stats.select("n"))).withColumn("raw", raw)
+    counted = df.crossJoin(F.broadcast(stats.select("n"))).withColumn("raw", raw).drop("n")
     mean = counted.agg(F.avg("raw").alias("mean"))
-    floor = F.lit(params.epsilon) * F.col("mean")
-    return counted.crossJoin(F.broadcast(mean)).select(
-        "term", "df", F.when(F.col("raw") < 0, floor).otherwise(F.col("raw")).alias("idf")
-    )
+    idf = F.when(F.col("raw") < 0, F.lit(params.epsilon) * F.col("mean")).otherwise(F.col("raw"))
+    return counted.crossJoin(F.broadcast(mean)).withColumn("idf", idf).drop("raw", "mean")
 
 
 def small(df: DataFrame, rows: int = 100_000) -> DataFrame:
@@ -94,51 +151,130 @@ def top_k(scored: DataFrame, k: int, tie: str = "position", query: str = "query_
     return ranked.where(F.col("rank") <= k)
 
 
+def _asked(index: LexicalIndex, queries: DataFrame) -> DataFrame:
+    """query_id, term, df, weight (idf times the word's repeats in the query), bound and avgdl of the queries' words that the index has, written.
+
+    bound: no chunk gets more from the word; 0 for words of negative weight.
+    """
+    words = queries.select("query_id", F.explode(T.tokens(F.coalesce("text", F.lit("")))).alias("term"))
+    words = stash(words.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf")), "asked")
+    known = index.terms.join(small(words), "term").crossJoin(F.broadcast(index.stats.select("avgdl")))
+    known = known.withColumn("weight", F.col("qtf") * F.col("idf"))
+    most = F.col("weight") * _impact(index.params, F.col("max_tf"), F.col("min_dl"))
+    return stash(known.select("query_id", "term", "df", "weight", F.greatest(most, F.lit(0.0)).alias("bound"), "avgdl"), "asked")
+
+
+def _impact(p: Bm25, tf: Column, dl: Column) -> Column:
+    """What a word of weight 1 gives a chunk; more with tf, less with dl."""
+    return tf * (p.k1 + 1) / (tf + F.lit(p.k1) * (F.lit(1 - p.b) + F.lit(p.b) * dl / F.col("avgdl")))
+
+
 def bm25_scores(index: LexicalIndex, queries: DataFrame) -> DataFrame:
     """query_id, chunk_id, position and score of every chunk that shares a word with a query; repeated words count again."""
-    p = index.params
-    words = queries.select("query_id", F.explode(T.tokens(F.coalesce("text", F.lit("")))).alias("term"))
-    words = words.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    asked = small(words.select("term").distinct())
-    weighed = small(words).join(index.terms.select("term", "idf").join(asked, "term", "left_semi"), "term")
-    norm = F.lit(p.k1) * (F.lit(1 - p.b) + F.lit(p.b) * F.col("dl") / F.col("avgdl"))
-    part = F.col("qtf") * F.col("idf") * F.col("tf") * (p.k1 + 1) / (F.col("tf") + norm)
-    near = index.postings.join(asked, "term", "left_semi")  # goes below the counting of words, so only these are counted
-    hits = near.join(small(weighed), "term").crossJoin(F.broadcast(index.stats.select("avgdl")))
+    hits = index.postings.join(small(_asked(index, queries)), "term")
+    part = F.col("weight") * _impact(index.params, F.col("tf"), F.col("dl"))
     return hits.groupBy("query_id", "chunk_id", "position").agg(F.sum(part).alias("score"))
 
 
+@dataclass(frozen=True)
+class Pruned:
+    """What a pruned search opened. scores: query_id, chunk_id, position, score of all that may be among the k best; opened: a row for each block and query that opened it, with n postings."""
+
+    words: DataFrame
+    scores: DataFrame
+    opened: DataFrame
+
+
+def bm25_pruned(index: LexicalIndex, queries: DataFrame, k: int, where: DataFrame | None = None, first: int = 64) -> Pruned:
+    """Exact scores of the k best chunks of each query, and of some others, without scoring all that share a word.
+
+    1. The rarest words of a query, with some first * k postings, find k leaders; their
+    whole scores give a bar that k chunks reach. 2. Words whose bounds add up to less
+    than the bar can't bring a chunk there alone: only the lists of the other words
+    are opened, without blocks whose own bound doesn't reach the bar together with all other words.
+    3. Candidates that still can reach it are completed. To complete is to open,
+    of the remaining words' lists, only the blocks that hold one of the chunks.
+    """
+    words = _asked(index, queries)
+    allowed = None if where is None else where.select("chunk_id").distinct()
+    part = F.col("weight") * _impact(index.params, F.col("tf"), F.col("dl"))
+    by, each = Window.partitionBy("query_id"), ["query_id", "segment", "block"]
+
+    def hits(lists: DataFrame, *columns: str) -> DataFrame:
+        rows = index.counting(lists.select(*each, "weight", "avgdl", *columns, F.inline("list")))
+        return rows if allowed is None else rows.join(allowed, "chunk_id", "left_semi")
+
+    def completed(found: DataFrame, rest: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Scores of found chunks with what the rest of the words gives them, and the lists that tell it."""
+        wanted = found.select(*each, "chunk_id").join(small(rest.select("query_id", "term", "weight", "avgdl")), "query_id")
+        wanted = wanted.groupBy(*each, "term", "weight", "avgdl").agg(F.collect_set("chunk_id").alias("wanted"))  # of one block
+        lists = index.blocks.join(small(stash(wanted, "wanted")), ["segment", "block", "term"])
+        told = lists.select("query_id", "weight", "avgdl", F.inline(F.filter("list", lambda p: F.array_contains("wanted", p["chunk_id"]))))
+        scores = found.select("query_id", "chunk_id", "position", "score").unionByName(
+            told.select("query_id", "chunk_id", "position", part.alias("score"))
+        )
+        return scores.groupBy("query_id", "chunk_id", "position").agg(F.sum("score").alias("score")), lists
+
+    before = F.coalesce(F.sum("df").over(by.orderBy("df", "term").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    words = words.withColumn("rare", before < first * k)
+    begun = index.blocks.join(small(words.where("rare")), "term")
+    partial = hits(begun).groupBy(*each, "chunk_id", "position").agg(F.sum(part).alias("score"))
+    place = F.row_number().over(by.orderBy(F.desc("score")))
+    leaders = stash(partial.withColumn("place", place).where(F.col("place") <= k), "leaders")
+    whole, checked = completed(leaders, words.where("not rare"))
+    bars = whole.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("bar")).where(F.col("n") == k)
+    words = words.join(stash(bars.select("query_id", "bar"), "bars"), "query_id", "left")
+    upto = F.sum("bound").over(by.orderBy("bound", "term"))
+    words = words.withColumn("open", F.coalesce(upto >= F.col("bar") - SLACK, F.lit(True)))
+    words = words.withColumn("others", F.sum("bound").over(by) - F.col("bound"))
+    words = stash(words.withColumn("rest", F.sum(F.when(F.col("open"), 0.0).otherwise(F.col("bound"))).over(by)), "asked")
+
+    most = F.greatest(F.col("weight") * _impact(index.params, F.col("max_tf"), F.col("min_dl")), F.lit(0.0))
+    reaches = lambda bound: F.coalesce(bound >= F.col("bar") - SLACK, F.lit(True))
+    lists = index.blocks.join(small(words.where("open")), "term").where(reaches(most + F.col("others")))
+    found = hits(lists, "bar", "rest").groupBy(*each, "chunk_id", "position").agg(
+        F.sum(part).alias("score"), F.first("bar").alias("bar"), F.first("rest").alias("rest")
+    )
+    found = stash(found.where(reaches(F.col("score") + F.col("rest"))).drop("bar", "rest"), "candidates")
+    scores, more = completed(found, words.where("not open"))
+    met = [df.select("query_id", F.size("list").alias("n")) for df in (begun, checked, lists, more)]
+    return Pruned(words, scores, reduce(DataFrame.unionByName, met))
+
+
+def postings_opened(index: LexicalIndex, queries: DataFrame, k: int = 5) -> DataFrame:
+    """query_id, the postings that its words have, and those that a search for k chunks opens."""
+    search = bm25_pruned(index, queries, k)
+    listed = search.words.groupBy("query_id").agg(F.sum("df").alias("listed"))
+    return listed.join(search.opened.groupBy("query_id").agg(F.sum("n").alias("opened")), "query_id")
+
+
 def bm25(index: LexicalIndex, queries: DataFrame, k: int = 5, where: DataFrame | None = None, fill_zero: bool = False) -> DataFrame:
     """The k best chunks of each query. where: chunk_ids that may be returned (statistics stay those of the corpus).
 
     fill_zero: queries with fewer than k matches get chunks of score 0 in corpus
     order, as far as there are any.
     """
-    scored = bm25_scores(index, queries)
-    corpus = index.corpus
-    if where is not None:
-        allowed = where.select("chunk_id").distinct()
-        scored, corpus = scored.join(allowed, "chunk_id", "left_semi"), corpus.join(allowed, "chunk_id", "left_semi")
+    scored = top_k(bm25_pruned(index, queries, k, where).scores, k)
     if fill_zero:
-        scored = _filled(scored, queries, corpus, k)
-    return top_k(scored, k).select("query_id", "chunk_id", "score", "rank")
+        corpus = index.counting(index.corpus)
+        if where is not None:
+            corpus = corpus.join(where.select("chunk_id").distinct(), "chunk_id", "left_semi")
+        scored = top_k(_filled(index, scored.drop("rank"), queries, corpus, k), k)
+    return scored.select("query_id", "chunk_id", "score", "rank")
 
 
-def _filled(scored: DataFrame, queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
-    """Scores, and zeros for enough chunks from the corpus' start.
+def _filled(index: LexicalIndex, best: DataFrame, queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
+    """The best matches, and zeros for enough chunks from the corpus' start.
 
-    Only matches with positive scores, at most k of which can push a zero out,
-    matter: among the first 2k positions at least k are without one, or the
-    corpus is smaller. Negative scores (tiny corpora) rank below zeros, so then
-    the whole corpus is compared.
+    With fewer than k positive matches at least k of the first 2k positions are
+    without one, or the corpus is smaller. What these chunks score is computed for them alone.
     """
-    best = top_k(scored.where("score > 0"), k).drop("rank")
-    low = scored.where("score <= 0")
-    first = corpus.orderBy("position").limit(2 * k)
-    zeros = queries.select("query_id").distinct().crossJoin(F.broadcast(first)).withColumn("score", F.lit(0.0))
-    zeros = zeros.join(scored.where("score <> 0").select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti")
-    low = low.where("score < 0")
-    return best.unionByName(zeros).unionByName(low)
+    first = F.broadcast(stash(corpus.select("segment", "block", "chunk_id", "position").orderBy("position").limit(2 * k), "first"))
+    near = replace(index, blocks=index.blocks.join(first.select("segment", "block").distinct(), ["segment", "block"], "left_semi"))
+    scored = bm25_scores(near, queries).join(first.select("chunk_id"), "chunk_id", "left_semi").where("score <> 0")
+    zeros = queries.select("query_id").distinct().crossJoin(first.select("chunk_id", "position")).withColumn("score", F.lit(0.0))
+    zeros = zeros.join(scored.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti")
+    return best.where("score <> 0").unionByName(zeros.select(*best.columns))
 
 
 def _packed(rows: DataFrame, names: list[str], size: int) -> DataFrame:
@@ -187,6 +323,8 @@ def dense(vectors: DataFrame, queries: DataFrame, k: int = 5, where: Column | No
                 yield pd.DataFrame({"query_id": q[i], "chunk_id": c[j], "position": p[j], "score": scores[i, j]})
 
     schema = ", ".join(f"{n} {t}" for n, t in kinds) + ", score double"
+    if queries.limit(20 * block + 1).count() <= 20 * block:
+        asked = F.broadcast(asked)  # at most twenty matrices
     return top_k(held.crossJoin(asked).mapInPandas(best, schema), k).select("query_id", "chunk_id", "score", "rank")
 
 

@@ -21,7 +21,8 @@ from lodestone.clients import ChatCompletions, Client
 from lodestone.functions.identity import document_id, point_id
 from lodestone.models import Embedder, HashedWords
 from lodestone.operators import answer, chunking, rerank, retrieval, verify
-from lodestone.plans.store import Store, checked_vectors, merge_existing_wins, merge_new_wins, vector_index
+from lodestone.plans.segments import Segments
+from lodestone.plans.store import Store, checked_vectors, complete, merge_existing_wins
 from lodestone.session import drop_stash, stash
 from lodestone.sources import files as sources
 
@@ -32,7 +33,7 @@ class EngineError(RuntimeError):
 
 @dataclass(frozen=True)
 class EngineConfig:
-    """Where data lie and how candidates are ranked."""
+    """Where data lie and how candidates are ranked. many_parts: segments of like size from which they are merged."""
 
     store_path: str
     data_path: str = "data/raw"
@@ -43,7 +44,7 @@ class EngineConfig:
     context_k: int = 5
     log_level: str = "INFO"
     bm25: retrieval.Bm25 = retrieval.Bm25()
-    many_parts: int = 64
+    many_parts: int = 8
     model_url: str = "http://localhost:1234/v1"
     model_name: str = ""
 
@@ -113,12 +114,13 @@ class Engine:
         self.pair_score, self.verdict = pair_score, verdict
         self.generator = answer.generator(client) if generator is None and client is not None else generator
         self.payload = payload or {}
+        self.segments = Segments(self.store, schemas.of("CHUNK"), self._vectors, config.bm25, config.many_parts)
         self.log = logging.getLogger("lodestone.engine")
 
     # -------------------------------------------------------------- tables
 
     def chunks(self) -> DataFrame:
-        return self.store.read("chunks", schemas.of("CHUNK"))
+        return self.segments.chunks()
 
     def registry(self) -> DataFrame:
         return self.store.read("registry", schemas.of("REGISTRY_ROW"))
@@ -144,10 +146,6 @@ class Engine:
         )
         return checked_vectors(rows, self.embedder.model.dimension)
 
-    def _lexical(self, chunks: DataFrame) -> dict[str, DataFrame]:
-        index = retrieval.lexical_index(chunks, self.config.bm25)
-        return {"postings": index.postings, "terms": index.terms, "stats": index.stats, "corpus": index.corpus}
-
     def _registered(self, files: DataFrame, chunks: DataFrame) -> DataFrame:
         """Registry rows of files (path, content, extension) from their chunks."""
         now = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSxxx")
@@ -176,8 +174,7 @@ class Engine:
             raise EngineError("no supported files")
         chunks = stash(self._chunked(files), "chunks")  # files are read and cut once
         registry = self._registered(files, chunks)
-        vectors = self._vectors(chunks)
-        self.store.commit({"chunks": chunks, "vectors": vectors, "registry": registry} | self._lexical(chunks))
+        self.segments.replace_all(chunks, {"registry": registry})
         drop_stash(chunks)
         count = self.chunks().count()
         self.log.info("index_built", extra={"fields": {"chunks": count}})
@@ -185,7 +182,12 @@ class Engine:
 
     def rebuild_vectors(self, rebuild: bool = False) -> bool:
         """Build the vectors of the stored chunks, unless those that are stored are complete; whether they were built."""
-        return vector_index(self.store, self.chunks(), self._vectors, rebuild)
+        if not rebuild and self.store.labels("vectors") and complete(self.segments.vector_rows(), self.chunks()):
+            return False
+        self.segments.build_vectors()
+        if not complete(self.segments.vector_rows(), self.chunks()):
+            raise EngineError("not every chunk has a vector")
+        return True
 
     def bootstrap_registry(self, folder: str | None = None) -> DataFrame:
         """Register a folder's files whose chunks are stored and that aren't registered yet."""
@@ -210,6 +212,7 @@ class Engine:
         if bad:
             empty = bad[0]["extension"] in sources.SUPPORTED
             raise sources.SourceError("the file is empty" if empty else f"unsupported file type {bad[0]['extension']!r}")
+        base = self.store.version()
         known = self.registry().withColumn("duplicate", F.lit(True))
         first = F.row_number().over(Window.partitionBy("document_id").orderBy("filename"))
         new = rows.join(known, "document_id", "left_anti").withColumn("_n", first).where("_n = 1").drop("_n")
@@ -217,55 +220,32 @@ class Engine:
         if not files.isEmpty():
             chunks = stash(self._chunked(files), "chunks")
             added = self._registered(files, chunks)
-            self._add(chunks, added)
+            self._add(chunks, added, base)
         asked = rows.select("document_id").distinct()
         before = known.join(asked, "document_id", "left_semi")
         fresh = self.registry().join(asked, "document_id", "left_semi").join(known, "document_id", "left_anti")
         return before.unionByName(fresh.withColumn("duplicate", F.lit(False)))
 
-    def _add(self, chunks: DataFrame, registry: DataFrame) -> None:
-        """Chunks, vectors, postings and registry rows in one commit, as further parts of their tables.
+    def _add(self, chunks: DataFrame, registry: DataFrame, base: int | None = None) -> None:
+        """Chunks, vectors and postings as a segment, and registry rows, in one commit.
 
-        Only sums over postings and corpus (document frequencies, number, mean
-        length) are computed anew. Chunks that are stored already replace the old
-        ones; then the tables are written anew. From many_parts parts on they are
-        written as one.
+        No stored posting is read. Chunks that are stored already replace the old
+        ones. Segments of like size are merged when there are many.
         """
-        part, vectors = self._lexical(chunks), self._vectors(chunks)
-        have = self.store.current()
-        if "postings" not in have:
-            self.store.commit(part | {"chunks": chunks, "vectors": vectors, "registry": self.registry().unionByName(registry)})
-            return
-        ids = chunks.select("chunk_id").distinct()
-        known = not self.chunks().join(ids, "chunk_id", "left_semi").isEmpty()
-        old = {n: self.store.read(n) for n in ("postings", "corpus")}
-        if known:
-            old = {n: df.join(ids, "chunk_id", "left_anti") for n, df in old.items()}
-        postings, corpus = (old[n].unionByName(part[n]) for n in ("postings", "corpus"))
-        lengths = postings.groupBy("chunk_id").agg(F.first("dl").alias("dl"))
-        n = corpus.join(lengths, "chunk_id", "left").agg(
-            F.count(F.lit(1)).alias("n"), F.avg(F.coalesce("dl", F.lit(0))).alias("avgdl")
-        )
-        sums = {"stats": n, "terms": retrieval.term_statistics(postings, n, self.config.bm25)}
-        if known:
-            whole = {"postings": postings, "corpus": corpus, "chunks": merge_new_wins(self.chunks(), chunks)}
-            whole["vectors"] = merge_new_wins(self.store.read("vectors"), vectors)
-            self.store.commit(sums | whole, {"registry": registry})
-        else:
-            more = {"chunks": chunks, "vectors": vectors, "registry": registry, "postings": part["postings"], "corpus": part["corpus"]}
-            self.store.commit(sums, more)
-        if self.store.parts("postings") >= self.config.many_parts:
-            self.store.compact()
+        self.segments.add(chunks, {"registry": registry}, base)
+        self.segments.compact()
+        if self.store.parts("registry") >= self.config.many_parts:
+            self.store.compact(["registry"])
 
     # -------------------------------------------------------------- answering
 
     def lexical_index(self) -> retrieval.LexicalIndex:
-        return retrieval.LexicalIndex(*[self.store.read(n) for n in ("postings", "terms", "stats", "corpus")], self.config.bm25)
+        return self.segments.index()
 
     def retrieve(self, questions: DataFrame, where: DataFrame | None = None) -> DataFrame:
         """Hybrid candidates of questions (query_id, text). where: the chunk_ids that may be found."""
         lexical = retrieval.bm25(self.lexical_index(), questions, self.config.candidate_k, where, fill_zero=True)
-        vectors = self.store.read("vectors").withColumn("position", F.col("chunk_id"))
+        vectors = self.segments.vector_rows().withColumn("position", F.col("chunk_id"))
         if where is not None:
             vectors = vectors.join(where, "chunk_id", "left_semi")
         asked = questions.select("query_id", self.embedder.embed(F.col("text")).alias("embedding"))

@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from lodestone.functions import identity
 from lodestone.functions import text as T
 from lodestone.operators import answer, chunking, evaluate, rerank, retrieval, verify
-from lodestone.plans import store
-from lodestone.session import ship_package, stash
+from lodestone.plans import segments, store
+from lodestone.session import shared_path, ship_package, stash
 from lodestone.sources import tables
 from lodestone.sources.files import html_to_text
 
@@ -302,12 +302,15 @@ def _questions(spark, sf_dir) -> DataFrame:
     return _read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
-_INDEXES: dict[tuple[str, str], retrieval.LexicalIndex] = {}
+_INDEXES: dict[tuple, retrieval.LexicalIndex] = {}
 
 
 def _index(spark, sf_dir) -> retrieval.LexicalIndex:
-    """The inverted lists of the documents: built and written by the first query that asks, read by the others."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    """The inverted lists of the documents: built and written by the first query that asks, read by the others while the table stays the same."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/documents.parquet")
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    state = fs.getFileStatus(path).getModificationTime(), fs.getContentSummary(path).getLength()
+    key = (spark.sparkContext.applicationId, sf_dir, *state)
     if key not in _INDEXES:
         _INDEXES[key] = retrieval.written(retrieval.lexical_index(_chunks(spark, sf_dir)))
     return _INDEXES[key]
@@ -322,9 +325,15 @@ def _rounded(df: DataFrame, *columns: str, places: int = 6) -> DataFrame:
     return df.withColumns({c: F.round(c, places) for c in columns})
 
 
-@query(f"with {BM25} select term, df, round(idf, 6) idf from idf")
+@query(
+    rf"""with counted as (select term, count(*) df from (
+  select unnest(list_distinct(regexp_extract_all(lower("text"), '{TOK}'))) term from documents) group by term),
+raw as (select term, df, ln(n - df + 0.5) - ln(df + 0.5) r from counted, (select count(*) n from documents)),
+mean as (select 0.25 * avg(r) low from raw)
+select term, df, round(case when r < 0 then low else r end, 6) idf from raw, mean"""
+)
 def bm25_term_stats(spark, sf_dir):
-    return _rounded(_index(spark, sf_dir).terms, "idf")
+    return _rounded(_index(spark, sf_dir).terms.select("term", "df", "idf"), "idf")
 
 
 @query(f"with {BM25} select query_id, chunk_id, round(score, 6) score, rank from lex")
@@ -352,6 +361,41 @@ def bm25_zero_fill(spark, sf_dir):
     return _rounded(_lexical(spark, sf_dir, where=allowed, fill_zero=True), "score")
 
 
+@query(f"with {BM25} select query_id, sum(df) listed from (select distinct query_id, term from qt) join idf using (term) group by 1")
+def bm25_listed(spark, sf_dir):
+    """The postings that a search without bounds would read."""
+    search = retrieval.bm25_pruned(_index(spark, sf_dir), _questions(spark, sf_dir), CANDIDATES)
+    return search.words.groupBy("query_id").agg(F.sum("df").alias("listed"))
+
+
+@query()
+def bm25_opened(spark, sf_dir):
+    """The postings that the search with bounds reads."""
+    return retrieval.postings_opened(_index(spark, sf_dir), _questions(spark, sf_dir), CANDIDATES)
+
+
+#: What a document says after two later additions replaced some.
+REVISED = """case when doc_id % 20 = 0 then coalesce(lang, '') || ' ' || "text" when doc_id % 10 = 0 then "text" || ' ' || "text" else "text" end"""
+
+
+@query(
+    f"with revised as (select doc_id, lang, {REVISED} \"text\" from documents), {BM25.replace('from documents)', 'from revised)', 1)} "
+    "select query_id, chunk_id, round(score, 6) score, rank from lex"
+)
+def segmented_bm25(spark, sf_dir):
+    """An index that grew by three additions, of which two replace documents, and was merged in part."""
+    docs = _read(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "lang", "text", "doc_id")
+    chunks = lambda df: df.select("chunk_id", "text")
+    index = segments.Segments(store.Store(spark, shared_path(spark, "segments")), chunks(docs).schema, fanout=2)
+    twice = docs.where("doc_id % 10 = 0").withColumn("text", F.concat("text", F.lit(" "), "text"))
+    marked = docs.where("doc_id % 20 = 0").withColumn("text", F.concat(F.coalesce("lang", F.lit("")), F.lit(" "), "text"))
+    index.add(chunks(docs.where("doc_id % 3 < 2")))
+    index.add(chunks(docs.where("doc_id % 3 = 2 and doc_id % 10 <> 0").unionByName(twice)))
+    index.compact()
+    index.add(chunks(marked))
+    return _rounded(retrieval.bm25(index.index(), _questions(spark, sf_dir), CANDIDATES), "score")
+
+
 # ---------------------------------------------------------------- dense retrieval and fusion
 
 

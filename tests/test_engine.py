@@ -55,7 +55,7 @@ def test_ingest(spark, tmp_path, folder):
     got = {r["filename"]: r["duplicate"] for r in e.ingest(new).collect()}
     assert got == {"note.txt": True} | {n: False for n in got if n.endswith("_new.md")} and len(got) == 2
     assert e.chunks().count() == 5
-    assert e.store.read("stats").first()["n"] == 5
+    assert e.lexical_index().stats.first()["n"] == 5
     asked = spark.createDataFrame([(1, "penguins swim")], "query_id int, text string")
     assert e.retrieve(asked).orderBy("rank").first()["chunk_id"] == e.chunks().where("text like 'Penguins%'").first()["chunk_id"]
     before = e.store.current()

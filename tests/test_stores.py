@@ -61,11 +61,11 @@ def test_ingest_adds_parts_and_compacts(spark, tmp_path):
     upload = lambda name, text: spark.createDataFrame([(name, bytearray(text.encode()))], "filename string, content binary")
     for i, parts in enumerate((1, 2, 1, 2)):
         e.ingest(upload(f"{i}.txt", f"file number {i} about herons"))
-        assert e.store.parts("postings") == parts and e.chunks().count() == i + 1 == e.store.read("stats").first()["n"]
-    assert e.store.read("terms").where("term = 'herons'").first()["df"] == 4 and e.list_documents().count() == 4
+        assert e.store.parts("blocks") == parts and e.chunks().count() == i + 1 == e.lexical_index().stats.first()["n"]
+    assert e.lexical_index().terms.where("term = 'herons'").first()["df"] == 4 and e.list_documents().count() == 4
     again = e.chunks().limit(1).withColumn("text", F.lit("another text"))
     e._add(again, e.registry().limit(0))
-    assert e.chunks().count() == 4 and e.store.read("terms").where("term = 'herons'").first()["df"] == 3
+    assert e.chunks().count() == 4 and e.lexical_index().terms.where("term = 'herons'").first()["df"] == 3
     found = e.retrieve(spark.createDataFrame([(1, "another text")], "query_id int, text string")).where("rank = 1").first()
     assert found["chunk_id"] == again.first()["chunk_id"]
 
