@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from lodestone.session import drop_stash, shared_path, ship_package, stash
 
-__all__ = ["FORGET", "checked_broadcast", "drop_stash", "fresh", "map_column", "rank_buckets", "ranked", "shared_path", "ship_package", "slices", "stash", "table"]
+__all__ = ["FORGET", "checked_broadcast", "cut", "drop_stash", "fresh", "map_column", "rank_buckets", "ranked", "shared_path", "ship_package", "slices", "stash", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,16 +63,26 @@ def fresh(name: str, taken: Sequence[str]) -> str:
 FORGET: list[Callable[[], None]] = []
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
-    """Batches of at most so many rows, so that few texts are held as strings at a time.
+def cut(batches: Iterator[pa.RecordBatch], rows: int = 1000, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches of at most so many rows and, above one row, so many bytes, so that few texts are held as strings at a time."""
+    for batch in batches:
+        each = np.zeros(batch.num_rows, np.int64)
+        for column in batch.columns:
+            if pa.types.is_string(column.type) or pa.types.is_binary(column.type) or pa.types.is_large_string(column.type):
+                each += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        upto, at = np.cumsum(each), 0
+        while at < batch.num_rows:
+            before = int(upto[at - 1]) if at else 0
+            to = max(at + 1, min(at + rows, int(np.searchsorted(upto, before + size, side="right"))))
+            yield batch.slice(at, to - at)
+            at = to
 
-    Workers serve one operator after the other: what another one remembers is freed first.
-    """
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """Batches cut small. Workers serve one operator after the other: what another one remembers is freed first."""
     for forget in FORGET:
         forget()
-    for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+    yield from cut(batches, rows)
 
 
 def map_column(df: DataFrame, column: str, keep: Sequence[str], made: str, start: Callable[[], Callable]) -> DataFrame:

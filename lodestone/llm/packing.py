@@ -32,12 +32,11 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import FORGET, ship_package, stash
+from lodestone.llm.common import FORGET, cut, ship_package, stash
 
 #: Texts of these characters only are split here; any other goes to the tokenizer as a whole.
 _PLAIN = re.compile(r"[\t\n\r\x20-\x7e¡-¬®-ɏ‐-‧]*")
@@ -122,27 +121,26 @@ def pieces(docs: DataFrame, settings: Settings, keep_ids: bool = False) -> DataF
     ship_package(docs.sparkSession)
     schema = "id long, doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         encode = encoder(settings.tokenizer, settings.cached_words).ids
         end, step = int(settings.end_id).to_bytes(4, "little"), 4 * settings.capacity
         names = [c.split()[0] for c in schema.split(", ")]
+        kinds = [pa.int64(), pa.int64(), pa.int32(), *[pa.int64()] * 3, *[pa.binary()] * keep_ids]
         own = TaskContext.get().partitionId() << 33
-        for batch in batches:
+        for batch in cut(batches):
             out = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"]):
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 ids = encode(text) + end
                 for k, at in enumerate(range(0, len(ids), step)):
                     part = ids[at : at + step]
                     row = (own, doc_id, k, at // 4, len(part) // 4, zlib.crc32(part))
                     out.append((*row, part) if keep_ids else row)
                     own += 1
-            made = pd.DataFrame(out, columns=names)
-            made["doc_id"] = made["doc_id"].astype("Int64")
-            yield made
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
 
-    return docs.select("doc_id", "text").mapInPandas(rows, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(rows, schema)
 
 
 PIECE, GAP, PLACED = 0, 1, 2
