@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import identity
 from lodestone.functions import text as T
-from lodestone.operators import answer, chunking, evaluate, rerank, retrieval, verify
+from lodestone.operators import answer, cells, chunking, evaluate, rerank, retrieval, verify
 from lodestone.plans import segments, store
 from lodestone.session import shared_path, ship_package, stash
 from lodestone.sources import tables
@@ -254,7 +254,19 @@ def paragraphs(spark, sf_dir):
     return _read(spark, sf_dir, "documents").select("doc_id", F.posexplode(chunking.paragraphs(spaced)).alias("n", "text"))
 
 
-@query()
+#: Runs of a document's paragraphs p(doc_id, l): f(doc_id, i, chunk) for each paragraph y(doc_id, i, t).
+RUNS = f"""x as (select doc_id, unnest(range(len(l))) i, unnest(l) t from p),
+w as (select *, list_distinct(regexp_extract_all(lower(t), '{TOK}')) tw from x),
+y as (select a.doc_id, a.i, a.t, length(a.t) n, coalesce(len(list_intersect(a.tw, b.tw)) / nullif(len(list_distinct(list_concat(a.tw, b.tw))), 0)::double, 0) s
+  from w a left join w b on b.doc_id = a.doc_id and b.i = a.i - 1),
+f as (select doc_id, i, n size, 0 chunk from y where i = 0 union all
+  select doc_id, i, case when cut then n else size + 2 + n end, chunk + cut::int from (
+    select y.doc_id, y.i, y.n, size, chunk, (size >= 300 and s < 0.55) or size + 2 + y.n > 2000 cut from f join y on y.doc_id = f.doc_id and y.i = f.i + 1)),
+runs as (select doc_id, chunk chunk_index, min(i) start_paragraph, max(i) end_paragraph, string_agg(t, chr(10) || chr(10) order by i) "text"
+  from f join y using (doc_id, i) group by 1, 2)"""
+
+
+@query(f"with recursive {PARAGRAPHS}, {RUNS} select * from runs")
 def semantic_chunks(spark, sf_dir):
     docs = _documents(spark, sf_dir).withColumn("text", F.replace("text", F.lit("\n"), F.lit("\n\n")))
     rows = chunking.semantic(docs)
@@ -263,7 +275,13 @@ def semantic_chunks(spark, sf_dir):
     )
 
 
-@query()
+@query(
+    f"""with recursive {PARAGRAPHS.replace('replace("text", chr(10), chr(10) || chr(10))', '"text"')}, {RUNS}, {MARKDOWN},
+k as (select *, unnest(range(0, case when n <= 2000 then 1 else ceil((n - 2000) / 1800.0)::bigint + 1 end)) k from (select *, length("text") n from t where "text" <> '')),
+chunks as (select doc_id::varchar source, 'txt' file_type, chunk_index, 'semantic' chunking_strategy, "text" from runs union all
+  select conv_id::varchar, 'md', row_number() over (partition by conv_id order by turn, k) - 1, 'structure', substr("text", k * 1800 + 1, 2000) from k)
+select sha256(source || ':' || chunk_index || ':' || "text") chunk_id, source, file_type, chunk_index, chunking_strategy from chunks"""
+)
 def routed_chunks(spark, sf_dir):
     docs = _documents(spark, sf_dir).withColumn("file_type", F.lit("txt")).unionByName(_markdown(spark, sf_dir))
     return chunking.route(docs).select("chunk_id", "source", "file_type", "chunk_index", "chunking_strategy")
@@ -430,6 +448,33 @@ def cosine_topk(spark, sf_dir):
     return _rounded(retrieval.dense(scaled(held, "chunk_id"), scaled(asked, "query_id"), CANDIDATES), "score")
 
 
+@query(f"with {DENSE} {_top('select * from d', 20)}")
+def cell_topk(spark, sf_dir):
+    """The same by cells."""
+    held, asked = _vectors(spark, sf_dir)
+    return _rounded(cells.search(cells.build(held), asked, CANDIDATES), "score")
+
+
+@query()
+def cell_compared(spark, sf_dir):
+    """The vectors that the search by cells compares with each query."""
+    held, asked = _vectors(spark, sf_dir)
+    return cells.compared(cells.build(held), asked, CANDIDATES)
+
+
+@query(
+    """with v as (select vec_id id, embedding::double[] e from embeddings union all
+  select vec_id + 1000000, list_transform(embedding::double[], lambda x, i: x + 0.015 * (vec_id % 5) * (i % 3 - 1)) from embeddings)
+select a.id, count(*) filter (a.id <> b.id and near) n_near, least(a.id, min(b.id) filter (near)) least_near
+from (select a.id aid, b.id bid, round(list_cosine_similarity(a.e, b.e), 9) >= 0.95 near from v a, v b) n join v a on a.id = aid join v b on b.id = bid group by a.id"""
+)
+def vector_links(spark, sf_dir):
+    """The vectors and a shifted copy of each, all against all."""
+    rows = _read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: x.cast("double")).alias("embedding"))
+    moved = F.transform("embedding", lambda x, i: x + F.lit(0.015) * (F.col("id") % 5) * ((i + 1) % 3 - 1))
+    return cells.links(rows.unionByName(rows.select((F.col("id") + 1000000).alias("id"), moved.alias("embedding"))))
+
+
 @query(
     "select a.vec_id, round(list_dot_product(a.embedding::double[], b.embedding::double[]), 6) similarity "
     "from embeddings a join embeddings b on b.vec_id = a.vec_id + 1"
