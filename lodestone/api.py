@@ -11,6 +11,8 @@ import time
 import uuid
 from dataclasses import dataclass
 
+from pyspark.sql import functions as F
+
 from lodestone.clients import ModelUnavailable
 from lodestone.plans.engine import Engine
 from lodestone.sources.files import SourceError
@@ -94,7 +96,14 @@ class Api:
             logging.getLogger("lodestone.api").exception("ingest_failed", extra={"fields": {"exception_type": type(e).__name__}})
             return failure(request_id, 500, "INTERNAL_ERROR", "The file could not be added.")
 
-    def documents(self) -> tuple[int, dict]:
-        """All registered documents, by name."""
-        rows = self.engine.list_documents().orderBy("filename", "document_id").collect()
-        return 200, {"documents": [r.asDict(True) for r in rows], "count": len(rows)}
+    def documents(self, after: tuple[str, str] | None = None, limit: int = 1000) -> tuple[int, dict]:
+        """Registered documents by name, at most `limit` of them, and the number of all.
+
+        after: the filename and document_id of the last one of the page before; `next` has them if there are more.
+        """
+        listed = self.engine.list_documents()
+        place = F.struct("filename", "document_id")
+        page = listed if after is None else listed.where(place > F.struct(F.lit(after[0]).alias("filename"), F.lit(after[1]).alias("document_id")))
+        rows = [r.asDict(True) for r in page.orderBy("filename", "document_id").limit(limit + 1).collect()]
+        more = {"next": [rows[limit - 1]["filename"], rows[limit - 1]["document_id"]]} if len(rows) > limit else {}
+        return 200, {"documents": rows[:limit], "count": listed.count()} | more

@@ -68,7 +68,7 @@ def prompts(contexts: DataFrame, queries: DataFrame) -> DataFrame:
     """system_prompt and user_prompt of every query; a blank question is an error."""
     asked = reject_blank(queries.select("query_id", F.col("text").alias("question")))
     evidence = F.when(T.strip("context") != "", F.col("context")).otherwise(F.lit(NO_EVIDENCE))
-    user = F.concat(
+    user = F.concat(  # fixed values: the published form of the prompt
         F.lit("Question:\n"), T.strip("question"), F.lit("\n\nEvidence:\n"), evidence,
         F.lit("\n\nAnswer the question according to the system instructions."),
     )

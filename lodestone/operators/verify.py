@@ -224,7 +224,7 @@ def abstention(signals: DataFrame) -> DataFrame:
     """decision, should_abstain, reasons, ratios and faithfulness_score from counts of claims and unresolved_references."""
     n, s, p, u, c = (F.col(f"{x}_claims") for x in ("total", "supported", "partially_supported", "unsupported", "contradicted"))
     refs = F.col("unresolved_references")
-    reasons = F.array_compact(
+    reasons = F.array_compact(  # fixed values: these sentences are part of the published results
         F.array(
             F.when(n == 0, F.lit("No verifiable factual claims were produced.")),
             F.when(u > 0, F.concat(u.cast("string"), F.lit(" factual claim(s) were unsupported by the supplied evidence."))),
