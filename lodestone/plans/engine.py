@@ -20,7 +20,7 @@ from lodestone import schemas
 from lodestone.clients import ChatCompletions, Client
 from lodestone.functions.identity import document_id, point_id
 from lodestone.models import Embedder, HashedWords
-from lodestone.operators import answer, chunking, rerank, retrieval, verify
+from lodestone.operators import answer, chunking, latent, rerank, retrieval, verify
 from lodestone.plans.segments import Segments
 from lodestone.plans.store import Store, checked_vectors, complete, merge_existing_wins
 from lodestone.session import drop_stash, stash
@@ -105,11 +105,16 @@ class Engine:
     def __init__(
         self, spark: SparkSession, config: EngineConfig, embedder: Embedder | None = None,
         pair_score: rerank.PairScore = rerank.overlap, verdict: verify.Verdict = verify.overlap_verdict, generator=None,
-        client: Client | None = None, payload: dict[str, Column] | None = None,
+        client: Client | None = None, payload: dict[str, Column] | None = None, learned: latent.Settings | None = None,
     ) -> None:
-        """client: a model that generates, finds claims and verifies; payload: further (or other) payload fields of vectors."""
+        """client: a model that generates, finds claims and verifies; payload: further (or other) payload fields of vectors.
+
+        learned: without an embedder, one is fitted to the chunks by build_index, or by
+        the first ingest, and stored; later ingests use it as it is.
+        """
         self.spark, self.config, self.store = spark, config, Store(spark, config.store_path)
-        self.embedder = embedder or HashedWords()
+        self.learned = learned if embedder is None else None
+        self._given, self._fitted = embedder or HashedWords(), (None, None)
         self.client = client
         self.pair_score, self.verdict = pair_score, verdict
         self.generator = answer.generator(client) if generator is None and client is not None else generator
@@ -119,6 +124,27 @@ class Engine:
 
     # -------------------------------------------------------------- tables
 
+    @property
+    def embedder(self) -> Embedder:
+        """The embedder that was passed, or the one that the store holds."""
+        if self.learned is None:
+            return self._given
+        paths, model = self._fitted
+        if (now := self.store.current().get("embedder")) and now != paths:
+            model = latent.LatentWords.of(self.store.read("embedder"))
+            self._fitted = now, model
+        if model is None:
+            raise EngineError("no embedder is fitted yet; build the index or ingest files first")
+        return model
+
+    def _fit(self, chunks: DataFrame) -> dict[str, DataFrame]:
+        """The table of an embedder fitted to chunks, to be committed with their vectors."""
+        if self.learned is None:
+            return {}
+        model = latent.fit(chunks, self.learned)
+        self._fitted = self.store.current().get("embedder"), model
+        return {"embedder": model.table()}
+
     def chunks(self) -> DataFrame:
         return self.segments.chunks()
 
@@ -174,7 +200,10 @@ class Engine:
             raise EngineError("no supported files")
         chunks = stash(self._chunked(files), "chunks")  # files are read and cut once
         registry = self._registered(files, chunks)
-        self.segments.replace_all(chunks, {"registry": registry})
+        try:
+            self.segments.replace_all(chunks, {"registry": registry, **self._fit(chunks)})
+        finally:
+            self._fitted = None, None  # what a failed commit was to store is not used
         drop_stash(chunks)
         count = self.chunks().count()
         self.log.info("index_built", extra={"fields": {"chunks": count}})
@@ -232,7 +261,11 @@ class Engine:
         No stored posting is read. Chunks that are stored already replace the old
         ones. Segments of like size are merged when there are many.
         """
-        self.segments.add(chunks, {"registry": registry}, base)
+        try:
+            first = self._fit(chunks) if "embedder" not in self.store.current() else {}
+            self.segments.add(chunks, {"registry": registry, **first}, base)
+        finally:
+            self._fitted = None, None
         self.segments.compact()
         if self.store.parts("registry") >= self.config.many_parts:
             self.store.compact(["registry"])
