@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import identity
 from lodestone.functions import text as T
-from lodestone.operators import answer, cells, chunking, evaluate, rerank, retrieval, verify
+from lodestone.operators import answer, cells, chunking, evaluate, latent, rerank, retrieval, verify
 from lodestone.plans import segments, store
 from lodestone.session import shared_path, ship_package, stash
 from lodestone.sources import tables
@@ -475,6 +475,16 @@ def vector_links(spark, sf_dir):
     return cells.links(rows.unionByName(rows.select((F.col("id") + 1000000).alias("id"), moved.alias("embedding"))))
 
 
+@query()
+def latent_topk(spark, sf_dir):
+    """Documents near the benchmark passages in the space learned from all documents."""
+    docs, asked = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark")
+    model = latent.fit(docs)
+    held = docs.select(F.col("doc_id").alias("chunk_id"), F.col("doc_id").alias("position"), model.embed(F.col("text")).alias("embedding"))
+    asked = asked.select(F.col("item_id").alias("query_id"), model.embed(F.col("text")).alias("embedding"))
+    return _rounded(retrieval.dense(held, asked, CANDIDATES), "score")
+
+
 @query(
     "select a.vec_id, round(list_dot_product(a.embedding::double[], b.embedding::double[]), 6) similarity "
     "from embeddings a join embeddings b on b.vec_id = a.vec_id + 1"

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.operators import chunking, latent
+from lodestone.plans import registry
 from lodestone.plans.engine import Engine, EngineConfig, EngineError
 
 TOPICS = {
@@ -105,3 +106,30 @@ def test_engine_learns_and_stores(spark, tmp_path):
     fresh = Engine(spark, EngineConfig(store_path=f"file://{tmp_path}/other"), learned=latent.Settings(dimension=3, features=256))
     fresh.ingest(spark.createDataFrame([("n.txt", bytearray(b"reef coral"))], "filename string, content binary"))
     assert fresh.embedder.model.dimension == 3 and fresh.segments.vector_rows().count() == 1
+
+
+def test_query_against_whole_svd(spark, tmp_path):
+    docs = [(i, t) for i, _, t in corpus(60, 6)] + [(60, ""), (61, "unseen words only here")]
+    asked = [(1, "whale coral unknown"), (2, "judge oath butter"), (3, "nothing known")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(asked, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {}
+    for r in registry.QUERIES["latent_topk"](spark, f"file://{tmp_path}").collect():
+        got.setdefault(r["query_id"], {})[r["chunk_id"]] = r["score"]
+    size = latent.Settings().features
+    a, (_, s, vt) = plain([t for _, t in docs], size)
+    vt = vt[s > 1e-9]
+    idf = np.zeros(size)
+    for w in {w for _, t in docs for w in t.split()}:
+        df = sum(w in t.split() for _, t in docs)
+        idf[zlib.crc32(w.encode()) % size] = 1 + np.log((1 + len(docs)) / (1 + df))
+    held = a @ vt.T
+    held /= np.maximum(np.linalg.norm(held, axis=1, keepdims=True), 1e-12)
+    for i, t in asked:
+        x = np.zeros(size)
+        for w in t.split():
+            x[zlib.crc32(w.encode()) % size] = idf[zlib.crc32(w.encode()) % size]
+        x = vt @ x
+        scores = held @ (x / max(np.linalg.norm(x), 1e-12))
+        assert sorted(got[i].values()) == pytest.approx(sorted(scores)[-20:], abs=1e-4)
+        assert all(scores[d] == pytest.approx(v, abs=1e-4) for d, v in got[i].items())
