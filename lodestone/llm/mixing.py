@@ -18,10 +18,17 @@ floor(T(k / w)) and due by slot ceil(T((k + 1) / w)); earliest deadline first
 then runs one released block a slot, and at any time a source is less than one
 block off its rate.
 
-Only DataFrame functions run. The schedule has at most max_slots blocks, and one
-more for each source at most, whatever the number of documents: a block's size
-grows instead. So the schedule is small enough to be computed in one row, and
-documents meet it by their rank in their source.
+Only DataFrame functions run. A block has `block` documents at any size of the
+table. Slots are scheduled in stretches of `stretch`, each in a row of its own:
+how many blocks of a source lie before a stretch's border is its fluid count
+rounded up or down, those up that are due first, such that borders have the
+right sums; borders are found by halving, level by level, for all stretches at
+once, and a stretch holds only sources with a block in it, so at most `stretch`.
+In a stretch windows are cut at its borders. A source is less than a block off
+its rate at a border, and less than two elsewhere by that argument; with one
+stretch, which is plain earliest deadline first, and in all runs of the tests it
+is less than one everywhere. (A border whose sum cannot be met so takes further
+blocks of the sources due first; a slot without a released block takes the block due first.)
 
 Defined results: null sources form one source. Weights that are null or not
 positive, and sources that a weights table doesn't name, count as 0: all their
@@ -38,7 +45,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import rank_buckets, ranked
+from lodestone.llm.common import rank_buckets, ranked, stash
 
 NO_SOURCE = "\u0000null"
 MADE = ("source_rank", "block", "release", "deadline", "slot", "position", "in_mix", "target_weight", "share", "deviation")
@@ -49,11 +56,13 @@ class Settings:
     """temperature: without a table of weights, a source's weight is its number of documents to this power.
 
     budget: the part of all rows that is drawn; None schedules all rows.
+    block: documents of a block. stretch: slots that are scheduled in one row.
     """
 
     temperature: float = 0.5
     budget: float | None = 0.9
-    max_slots: int = 4096
+    block: int = 64
+    stretch: int = 512
 
 
 def quotas(counts: DataFrame, settings: Settings) -> DataFrame:
@@ -77,69 +86,132 @@ def quotas(counts: DataFrame, settings: Settings) -> DataFrame:
 
 def _sized(full: DataFrame, settings: Settings) -> DataFrame:
     """With the size of a block. rate: the weight a source runs at, null for its number of blocks."""
-    total = Window.partitionBy()
-    size = F.greatest(F.lit(1), F.ceil(F.sum("quota").over(total) / F.lit(settings.max_slots))).cast("long")
-    return full.withColumn("block_size", size).select("source", "n", "target_weight", "quota", "rate", "block_size")
-
-
-def schedule(plan: DataFrame) -> DataFrame:
+    size = F.lit(settings.block).cast("long").alias("block_size")
+    return full.select("source", "n", "target_weight", "quota", "rate", size)
+
+
+NEAR = 1e-7
+
+
+def curve(sized: DataFrame) -> DataFrame:
+    """The corners of T, as (v, t) with the corner before (v0, t0): where a source's supply ends, T's slope falls."""
+    ends = sized.groupBy((F.col("b") / F.col("w")).alias("v")).agg(F.sum("w").alias("w"), F.sum("b").cast("double").alias("b"))
+    by = Window.orderBy("v")
+    after = F.coalesce(F.sum("w").over(by.rowsBetween(1, Window.unboundedFollowing)), F.lit(0.0))
+    corners = ends.select("v", (F.sum("b").over(by.rowsBetween(Window.unboundedPreceding, 0)) + F.col("v") * after).alias("t"))
+    return corners.select("v", "t", *[F.lag(c, 1, 0.0).over(by).alias(f"{c}0") for c in ("v", "t")])
+
+
+def borders(corners: DataFrame, stretch: int) -> DataFrame:
+    """v at each multiple of a stretch below the total, as (stretch, v)."""
+    first, last = (F.ceil(F.col(c) / stretch).cast("long") for c in ("t0", "t"))
+    inside = corners.where(first < last).select("*", F.explode(F.sequence(first, last - 1)).alias("stretch"))
+    part = (F.col("stretch") * stretch - F.col("t0")) / (F.col("t") - F.col("t0"))
+    return inside.select("stretch", (F.col("v0") + part * (F.col("v") - F.col("v0"))).alias("v"))
+
+
+def halved(nodes: DataFrame, times: DataFrame, half: int, stretch: int, total: int) -> DataFrame:
+    """Each node (a, source, w, b, low, high), of 2 * half stretches from a on, as two. low, high: blocks before its start and end."""
+    at = nodes.withColumn("mid", F.col("a") + half).join(times.withColumnRenamed("stretch", "mid"), "mid", "left")
+    fluid = F.coalesce(F.least(F.col("b").cast("double"), F.col("w") * F.col("v")), F.col("b").cast("double"))
+    down = F.floor(fluid + NEAR).cast("long")
+    at = at.withColumn("least", F.least(F.greatest(down, "low"), "high")).withColumn("due", (down + 1) / F.col("w"))
+    at = at.withColumn("most", F.greatest(F.least(F.ceil(fluid - NEAR).cast("long"), "high"), "least"))
+    node = Window.partitionBy("a")
+    up, back = node.orderBy("due", "source"), node.orderBy(F.desc("due"), F.desc("source"))
+    before = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    end = lambda c: F.least(F.col(c) * stretch, F.lit(total))
+    gain, more, less = F.col("most") - F.col("least"), F.col("high") - F.col("most"), F.col("least") - F.col("low")
+    need = end("mid") - end("a") - F.sum(less).over(node)
+    taken = lambda c, goal, w: F.greatest(F.lit(0), F.least(c, goal - before(c, w)))
+    change = taken(gain, need, up) + taken(more, need - F.sum(gain).over(node), up) - taken(less, -need, back)
+    at = at.withColumn("middle", (F.col("least") + change).cast("long"))
+    two = F.explode(F.array(
+        F.struct(F.col("a"), F.col("low"), F.col("middle").alias("high")),
+        F.struct(F.col("mid").alias("a"), F.col("middle").alias("low"), F.col("high")),
+    ))
+    return at.select("source", "w", "b", "quota", "block_size", two.alias("x")).select("x.*", "source", "w", "b", "quota", "block_size").where("low < high")
+
+
+def schedule(plan: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """source, block, release, deadline, slot and first position of every block, from quotas."""
-    sized = plan.where("quota > 0").withColumn("blocks", F.ceil(F.col("quota") / F.col("block_size")))
-    blocks = F.col("blocks").cast("long")
-    rate = F.coalesce(F.col("rate"), blocks.cast("double"))
-    one = sized.agg(
-        F.array_sort(F.collect_list(F.struct("source", blocks.alias("b"), "quota", "block_size", rate.alias("w")))).alias("given"),
-        F.sum("blocks").cast("long").alias("all"),
-    ).where("all > 0")
+    stretch = settings.stretch
+    blocks = F.ceil(F.col("quota") / F.col("block_size")).cast("long")
+    sized = plan.where("quota > 0").select(
+        "source", "quota", "block_size", blocks.alias("b"), F.coalesce(F.col("rate"), blocks.cast("double")).alias("w")
+    )
+    total = sized.agg(F.sum("b")).first()[0] or 0
+    corners = curve(sized)
+    times = stash(borders(corners, stretch), "borders")
+    levels = max(0, -(-total // stretch) - 1).bit_length()
+    zero = F.lit(0).cast("long")
+    nodes = sized.select(zero.alias("a"), zero.alias("low"), F.col("b").alias("high"), "source", "w", "b", "quota", "block_size")
+    for level in reversed(range(levels)):
+        nodes = halved(nodes, times, 1 << level, stretch, total)
+        if level % 3 == 0:
+            nodes = stash(nodes, "nodes")
+    points = times.select((F.col("stretch") * stretch).cast("double").alias("t"), "v").unionByName(corners.select("t", "v"))
+    of = F.floor(F.col("t") / stretch).cast("long")
+    both = F.when(F.col("t") == of * stretch, F.array(of, of - 1)).otherwise(F.array(of))  # a border ends one and begins one
+    lines = points.select(F.explode(both).alias("a"), F.struct("v", "t").alias("p"))
+    lines = lines.groupBy("a").agg(F.array_sort(F.collect_set("p")).alias("line"))
+    items = nodes.groupBy("a").agg(F.array_sort(F.collect_list(F.struct("source", "w", "b", "quota", "block_size", "low", "high"))).alias("given"))
+    start, end = F.col("a") * stretch, F.least((F.col("a") + 1) * stretch, F.lit(total))
+    one = items.join(lines, "a").withColumn("start", start).withColumn("end", end)
 
     def done(v: Column) -> Column:
-        """T(v): blocks of all sources when one of weight w has done w * v."""
-        return F.aggregate("given", F.lit(0.0), lambda t, s: t + F.least(s["b"].cast("double"), s["w"] * v))
+        """T(v) in the stretch, its borders beyond them."""
+        p = F.try_element_at(F.filter("line", lambda x: x["v"] <= v), F.lit(-1))
+        q = F.get(F.filter("line", lambda x: x["v"] > v), F.lit(0))
+        t = p["t"] + (v - p["v"]) * (q["t"] - p["t"]) / (q["v"] - p["v"])
+        t = F.when(p.isNull(), F.col("start").cast("double")).when(q.isNull(), F.col("end").cast("double")).otherwise(t)
+        return F.greatest(F.col("start").cast("double"), F.least(F.col("end").cast("double"), t))
+
+    def windows(s: Column) -> Column:
+        """A source with the slots of releases and deadlines of its blocks in the stretch."""
+        ends = F.transform(F.sequence(s["low"], s["high"]), lambda k: done(k / s["w"]))
+        n = (s["high"] - s["low"]).cast("int")
+        release = F.transform(F.slice(ends, F.lit(1), n), lambda t: F.floor(t + NEAR).cast("long"))
+        deadline = F.transform(F.slice(ends, F.lit(2), n), lambda t: F.ceil(t - NEAR).cast("long"))
+        own = [s[c].alias(c) for c in ("source", "b", "quota", "block_size", "low")]
+        return F.struct(*own, n.alias("n"), release.alias("release"), deadline.alias("deadline"))
+
+    one = one.select("a", "start", "end", F.transform("given", windows).alias("sources"))
+    none = F.transform("sources", lambda s: F.lit(0))
 
-    def times(s: Column) -> Column:
-        """A source with the slots of its blocks' releases and deadlines. T at the blocks' ends: 0 and b of them."""
-        ends = F.transform(F.sequence(F.lit(0).cast("long"), s["b"]), lambda k: done(k / s["w"]))
-        release = F.transform(F.slice(ends, F.lit(1), s["b"].cast("int")), lambda t: F.floor(t + 1e-7).cast("long"))
-        deadline = F.transform(F.slice(ends, F.lit(2), s["b"].cast("int")), lambda t: F.ceil(t - 1e-7).cast("long"))
-        own = [s[c].alias(c) for c in ("source", "b", "quota", "block_size")]
-        return F.struct(*own, release.alias("release"), deadline.alias("deadline"))
+    def run(state: Column, slot: Column) -> Column:
+        def job(s: Column, i: Column) -> Column:
+            k = F.get(state["next"], i)
+            early = F.get(s["release"], k) > slot
+            return F.when(k < s["n"], F.struct(early.alias("early"), F.get(s["deadline"], k).alias("due"), i.alias("i"), k.alias("k")))
 
-    one = one.select(F.transform("given", times).alias("sources"), "all")
-    next_block = F.transform("sources", lambda s: F.lit(0).cast("long"))
+        def after(first: Column) -> Column:
+            return F.struct(
+                F.transform(state["next"], lambda k, i: k + F.when(i == first["i"], 1).otherwise(0)).alias("next"),
+                F.concat(state["order"], F.array(F.struct(first["i"].alias("i"), first["k"].alias("k")))).alias("order"),
+            )
 
-    def run(state: Column, slot: Column) -> Column:
-        job = lambda s, i: F.when(
-            (F.get(state["next"], i) < s["b"]) & (F.get(s["release"], F.get(state["next"], i).cast("int")) <= slot),
-            F.struct(F.get(s["deadline"], F.get(state["next"], i).cast("int")).alias("due"), i.alias("i")),
-        )
-        first = F.array_min(F.transform("sources", job))["i"]
-        return F.struct(
-            F.transform(state["next"], lambda k, i: k + F.when(i == first, 1).otherwise(0)).alias("next"),
-            F.concat(state["order"], F.array(first)).alias("order"),
-        )
+        first = F.array_min(F.transform("sources", job))
+        return F.get(F.transform(F.array(first), after), F.lit(0))  # found once, not for each source
 
     order = F.aggregate(
-        F.sequence(F.lit(0).cast("long"), F.col("all") - 1),
-        F.struct(next_block.alias("next"), F.array().cast("array<int>").alias("order")),
+        F.sequence("start", F.col("end") - 1),
+        F.struct(none.alias("next"), F.array().cast("array<struct<i:int,k:int>>").alias("order")),
         run,
         lambda s: s["order"],
     )
-    slots = one.select("sources", "all", F.posexplode(order).alias("slot", "i"))
-    of = F.get("sources", F.col("i"))
-    slots = slots.select("slot", of.alias("s"), "all", "i").withColumn(
-        "block", (F.row_number().over(Window.partitionBy("i").orderBy("slot")) - 1).cast("long")
-    )
-    docs = F.least(F.col("s.block_size"), F.col("s.quota") - F.col("block") * F.col("s.block_size"))
-    before = Window.orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
-    return slots.withColumn("_docs", docs).select(
-        F.col("s.source").alias("source"),
-        "block",
-        F.get("s.release", F.col("block").cast("int")).alias("release"),
-        F.get("s.deadline", F.col("block").cast("int")).alias("deadline"),
-        F.col("slot").cast("long"),
-        F.coalesce(F.sum("_docs").over(before), F.lit(0)).alias("first"),
-        (F.col("s.b") / F.col("all")).alias("share"),
-    )
+    slots = one.select("a", "start", "sources", F.posexplode(order).alias("at", "x")).withColumn("s", F.get("sources", F.col("x.i")))
+    block = F.col("s.low") + F.col("x.k")
+    slots = stash(slots.select(
+        "a", F.col("s.source").alias("source"), block.alias("block"), F.get("s.release", F.col("x.k")).alias("release"),
+        F.get("s.deadline", F.col("x.k")).alias("deadline"), (F.col("start") + F.col("at")).cast("long").alias("slot"),
+        F.least(F.col("s.block_size"), F.col("s.quota") - block * F.col("s.block_size")).alias("docs"),
+        (F.col("s.b") / F.lit(total)).alias("share"),
+    ), "slots")
+    before = lambda w: F.coalesce(F.sum("docs").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = slots.groupBy("a").agg(F.sum("docs").alias("docs")).select("a", before(Window.orderBy("a")).alias("base"))
+    slots = slots.withColumn("within", before(Window.partitionBy("a").orderBy("slot"))).join(sums, "a")
+    return slots.select("source", "block", "release", "deadline", "slot", (F.col("base") + F.col("within")).alias("first"), "share")
 
 
 def mix(docs: DataFrame, weights: DataFrame | None = None, settings: Settings = Settings(), source: str = "source") -> DataFrame:
@@ -166,8 +238,8 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, settings: Settings =
         )
         named = named.groupBy("source").agg(F.sum(F.when(F.col("weight") > 0, F.col("weight"))).alias("weight"))
         counts = counts.join(named, "source", "left").withColumn("weight", F.coalesce("weight", F.lit(0.0)))
-    plan = quotas(counts, settings)
-    slots = schedule(plan)
+    plan = stash(quotas(counts, settings), "quotas")
+    slots = schedule(plan, settings)
     placed = ranked(keyed, ["source"], [F.col("h"), F.col("id"), F.col("mark")], "source_rank", rank_buckets(docs.count()))
     placed = placed.join(plan.select("source", "target_weight", "quota", "block_size"), "source", "left")
     inside = F.coalesce(F.col("source_rank") < F.col("quota"), F.lit(False))
