@@ -99,11 +99,11 @@ def product(texts: DataFrame, idf: np.ndarray, q: np.ndarray) -> np.ndarray:
         yield pd.DataFrame({"block": list(sums), "m": [x.tobytes() for x in sums.values()]})
 
     made = texts.mapInPandas(multiply, "block int, m binary")
-    summed = made.repartition(-(-len(q) // BLOCK), "block").mapInPandas(add, "block int, m binary")
+    summed = made.repartition("block").mapInPandas(add, "block int, m binary")
     out = np.zeros(q.shape)
     for r in summed.collect():  # at most features x width numbers
         part = np.frombuffer(r["m"]).reshape(-1, width)
-        out[r["block"] * BLOCK : r["block"] * BLOCK + len(part)] = part
+        out[r["block"] * BLOCK : r["block"] * BLOCK + len(part)] += part
     shared.unpersist()
     return out
 
