@@ -24,11 +24,11 @@ how many blocks of a source lie before a stretch's border is its fluid count
 rounded up or down, those up that are due first, such that borders have the
 right sums; borders are found by halving, level by level, for all stretches at
 once, and a stretch holds only sources with a block in it, so at most `stretch`.
-In a stretch windows are cut at its borders. A source is less than a block off
-its rate at a border, and less than two elsewhere by that argument; with one
-stretch, which is plain earliest deadline first, and in all runs of the tests it
-is less than one everywhere. (A border whose sum cannot be met so takes further
-blocks of the sources due first; a slot without a released block takes the block due first.)
+In a stretch windows are cut at its borders. With one stretch this is plain
+earliest deadline first, and a source is always less than one block off its rate.
+With several it is less than one in all runs of the tests; that is not proven in
+general: a border whose sum cannot be met by rounding takes further blocks of
+the sources due first, and a slot without a released block takes the block due first.
 
 Defined results: null sources form one source. Weights that are null or not
 positive, and sources that a weights table doesn't name, count as 0: all their
