@@ -178,8 +178,11 @@ def citation_checks(claims: DataFrame, evidence: DataFrame, verdict: Verdict = o
     ).drop("_e")
 
 
-def citation_metrics(claims: DataFrame, checks: DataFrame) -> DataFrame:
-    """Counts by verdict, precision, coverage, uncited claims and unresolved references of each query."""
+def citation_metrics(claims: DataFrame, checks: DataFrame, claim: str = "text") -> DataFrame:
+    """Counts by verdict, precision, coverage, uncited claims and unresolved references of each query.
+
+    claim: what tells that a claim is the supported one; by text, one that repeats a supported claim's text is covered, too.
+    """
     known = checks.where("verdict is not null")
     counted = known.groupBy("query_id").agg(
         F.count(F.lit(1)).alias("total_verifications"),
@@ -188,8 +191,8 @@ def citation_metrics(claims: DataFrame, checks: DataFrame) -> DataFrame:
     lost = checks.where("verdict is null").groupBy("query_id").agg(
         F.array_sort(F.collect_list(F.struct("claim_idx", "pos", "reference"))).alias("_u")
     )
-    supported = known.where(F.col("verdict") == SUPPORTED).select("query_id", "text").distinct().withColumn("_ok", F.lit(True))
-    by_claim = claims.join(supported, ["query_id", "text"], "left").groupBy("query_id").agg(
+    supported = known.where(F.col("verdict") == SUPPORTED).select("query_id", claim).distinct().withColumn("_ok", F.lit(True))
+    by_claim = claims.join(supported, ["query_id", claim], "left").groupBy("query_id").agg(
         F.count(F.lit(1)).alias("total_claims"),
         F.count_if(F.coalesce("_ok", F.lit(False))).alias("covered_claims"),
         F.count_if(F.size("citations") == 0).alias("uncited_claims"),

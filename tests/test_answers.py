@@ -49,6 +49,15 @@ def test_claims_and_metrics(spark):
     assert verify.invalid_references(keep, made).first()["invalid_references"] == []
 
 
+def test_coverage_of_claims_that_repeat_a_text(spark):
+    made = answers(spark, "Cats purr [1]. Cats purr [7]. Dogs bark [2].")
+    found = verify.claims(made)
+    evidence = spark.createDataFrame([(1, 1, "Cats purr."), (1, 2, "Dogs bark")], "query_id int, reference int, text string")
+    checks = verify.citation_checks(found, evidence)
+    assert verify.citation_metrics(found, checks).first()["citation_coverage"] == 1.0
+    assert verify.citation_metrics(found, checks, claim="claim_idx").first()["citation_coverage"] == pytest.approx(2 / 3)
+
+
 def signals(spark, *counts, unresolved=()):
     names = ("total", "supported", "partially_supported", "unsupported", "contradicted")
     schema = ", ".join(f"{n}_claims long" for n in names) + ", unresolved_references array<int>"
