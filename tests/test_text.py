@@ -64,3 +64,11 @@ def test_paths_and_answers(spark):
     assert one(spark, [".\\Data\\A.MD ", "./x/./y"], T.path("t")) == ["data/a.md", "x/./y"]
     assert one(spark, ["The `Cache` [1] is\n ON [12]."], T.answer_text("t")) == ["the cache is on ."]
     assert one(spark, ["One. Two!  Three"], T.sentences("t")) == [["One.", "Two!", "Three"]]
+
+
+def test_html_query_reads_entities_as_its_sql_does(spark, tmp_path):
+    from lodestone.plans.registry import QUERIES
+
+    pages = [(1, "<title>a &amp;&amp;&amp</title><p>x &copy; y &#65; &lt3 & z &nosuch b</p>")]
+    spark.createDataFrame(pages, "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    assert QUERIES["html_text"](spark, str(tmp_path)).first()["text"] == "a &&&amp\nx \u00a9 y A &lt3 & z &nosuch b"
