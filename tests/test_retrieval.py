@@ -53,6 +53,28 @@ def test_bm25_matches_only_and_filter(spark):
     assert {r["chunk_id"] for r in retrieval.bm25(index, queries(spark), 10, where=allowed).collect()} == {"c2", "c4"}
 
 
+def test_postings_are_made_where_their_block_is(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "_tasks", lambda n: 3)
+    blocks, _ = retrieval.posting_blocks(chunks(spark))
+    plan = blocks._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Exchange hashpartitioning(block" in plan
+
+
+@pytest.mark.parametrize("few", [0, 300_000])
+def test_search_moves_lists_once_for_all_queries(spark, monkeypatch, few):
+    """Found chunks that are few are broadcast, many are joined by their keys: with the same results. Lists are dealt out by block."""
+    monkeypatch.setattr(retrieval, "FEW", few)
+    monkeypatch.setattr(retrieval, "_tasks", lambda n: 3)
+    index, plans, stash = retrieval.written(retrieval.lexical_index(chunks(spark))), {}, retrieval.stash
+    monkeypatch.setattr(retrieval, "stash", lambda df, label: (plans.update({label: df._jdf.queryExecution().executedPlan().toString()}), stash(df, label))[1])
+    got = retrieval.bm25(index, queries(spark), 2).collect()
+    for i, query in enumerate(QUERIES):
+        scores = model_scores(query)
+        order = sorted((j for j in range(len(TEXTS)) if set(TEXTS[j].split()) & set(query.split())), key=lambda j: (-round(scores[j], 9), j))[:2]
+        assert [r["chunk_id"] for r in sorted((r for r in got if r["query_id"] == i), key=lambda r: r["rank"])] == [f"c{j}" for j in order]
+    assert "Exchange hashpartitioning(segment" in plans["candidates"]
+
+
 def test_dense_is_exact(spark):
     rng = np.random.default_rng(1)
     v = rng.normal(size=(300, 8)).astype(np.float32)
