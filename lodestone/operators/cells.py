@@ -82,6 +82,25 @@ def _matrix(values: pd.Series) -> np.ndarray:
     return np.stack(values.to_list()).astype(float) if len(values) else np.zeros((0, 0))
 
 
+#: Numbers of a matrix with a row for each vector and a column for each cell; a task holds some ten of these.
+CELL_NUMBERS = 1 << 20
+
+
+def few(batches: Iterator[pd.DataFrame], cells: int) -> Iterator[pd.DataFrame]:
+    """Batches of so few rows that a number for each row and cell takes the same room however many cells there are."""
+    rows = max(1, CELL_NUMBERS // max(1, cells))
+    for batch in batches:
+        for at in range(0, len(batch), rows):
+            yield batch.iloc[at : at + rows]
+
+
+def few_pairs(chosen: np.ndarray, pairs: int = 1 << 14) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The rows and cells of what is chosen, so few at a time that the rows' vectors can be repeated."""
+    i, j = np.nonzero(chosen)
+    for at in range(0, len(i), pairs):
+        yield i[at : at + pairs], j[at : at + pairs]
+
+
 def centres(vectors: DataFrame, settings: Settings = Settings()) -> tuple[Centres, DataFrame]:
     """K-means over all unit vectors, and the vectors with their cell (the nearest centre's)."""
     from pyspark.ml.clustering import KMeans
@@ -97,11 +116,10 @@ def centres(vectors: DataFrame, settings: Settings = Settings()) -> tuple[Centre
     bare = Centres(points, np.zeros(len(points)))
 
     def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if len(batch):
-                apart, _ = bare.bounds(_matrix(batch["embedding"]))
-                cell = apart.argmin(1)
-                yield batch.assign(cell=cell.astype(np.int32), apart=apart[np.arange(len(batch)), cell])
+        for batch in few(batches, len(points)):
+            apart, _ = bare.bounds(_matrix(batch["embedding"]))
+            cell = apart.argmin(1)
+            yield batch.assign(cell=cell.astype(np.int32), apart=apart[np.arange(len(batch)), cell])
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in vectors.schema.fields)
     told = stash(vectors.mapInPandas(nearest, schema + ", cell int, apart double"), "cells")
@@ -137,9 +155,9 @@ def _near_cells(index: Index, queries: DataFrame, first: int | None) -> DataFram
     points, probe = index.centres, index.settings.probe
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if not len(batch) or not len(points.radii):
-                continue
+        if not len(points.radii):
+            return
+        for batch in few(batches, len(points.radii)):
             apart, most = points.bounds(_matrix(batch["embedding"]))
             apart = np.where(points.radii < 0, np.inf, apart)
             place = apart.argsort(1, kind="stable").argsort(1, kind="stable")
@@ -148,8 +166,9 @@ def _near_cells(index: Index, queries: DataFrame, first: int | None) -> DataFram
                 chosen = (place >= probe) & (most >= bar[:, None] - 2 * SLACK)
             else:
                 chosen = place < first
-            i, j = np.nonzero(chosen & (points.radii >= 0))
-            yield pd.DataFrame({"query_id": batch["query_id"].to_numpy()[i], "embedding": batch["embedding"].to_numpy()[i], "cell": j.astype(np.int32)})
+            ids, asked = batch["query_id"].to_numpy(), batch["embedding"].to_numpy()
+            for i, j in few_pairs(chosen & (points.radii >= 0)):
+                yield pd.DataFrame({"query_id": ids[i], "embedding": asked[i], "cell": j.astype(np.int32)})
 
     kind = queries.schema["query_id"].dataType.simpleString()
     return queries.mapInPandas(rows, f"query_id {kind}, embedding array<double>, cell int")
@@ -210,9 +229,7 @@ def links(vectors: DataFrame, threshold: float = 0.95, settings: Settings = Sett
     between = np.sqrt(np.maximum(((points.points[:, None, :] - points.points[None, :, :]) ** 2).sum(2), 0.0)) if len(points.radii) <= 512 else None
 
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if not len(batch):
-                continue
+        for batch in few(batches, len(points.radii)):
             apart, most = points.bounds(_matrix(batch["embedding"]))
             home = batch["cell"].to_numpy()
             own = apart[np.arange(len(home)), home][:, None]
@@ -221,9 +238,9 @@ def links(vectors: DataFrame, threshold: float = 0.95, settings: Settings = Sett
             else:
                 gap = np.sqrt(np.maximum((points.points[home] ** 2).sum(1)[:, None] - 2 * points.points[home] @ points.points.T + (points.points**2).sum(1), 0.0))
             beyond = apart**2 - own**2 <= 2 * far * gap + SLACK
-            i, j = np.nonzero((most >= threshold - SLACK) & beyond & (np.arange(len(points.radii))[None, :] < home[:, None]))
-            away = batch.iloc[i].assign(cell=j.astype(np.int32), away=True)
-            yield pd.concat([batch.assign(away=False), away])[["cell", "away", "id", "copies", "embedding"]]
+            yield batch.assign(away=False)[["cell", "away", "id", "copies", "embedding"]]
+            for i, j in few_pairs((most >= threshold - SLACK) & beyond & (np.arange(len(points.radii))[None, :] < home[:, None])):
+                yield batch.iloc[i].assign(cell=j.astype(np.int32), away=True)[["cell", "away", "id", "copies", "embedding"]]
 
     kind = vectors.schema["id"].dataType.simpleString()
     placed = stash(homes.mapInPandas(spread, f"cell int, away boolean, id {kind}, copies long, embedding array<double>"), "placed")

@@ -1,6 +1,7 @@
 """Cells against all vectors."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -56,3 +57,21 @@ def test_no_vectors(spark):
     none = spark.createDataFrame([], HELD)
     assert cells.search(cells.build(none), none.select(F.col("chunk_id").alias("query_id"), "embedding"), 3).count() == 0
     assert cells.links(none.select(F.col("chunk_id").alias("id"), "embedding")).count() == 0
+
+
+def test_memory_does_not_grow_with_cells():
+    """A task compares few rows at a time with many cells, and the same rows come out."""
+    x = np.random.default_rng(1).normal(size=(4096, 4))
+    points = cells.Centres(x, np.ones(len(x)))
+    rows = pd.DataFrame({"row": range(10_000), "embedding": list(np.tile(x, (3, 1))[:10_000])})
+    seen = []
+    for part in cells.few(iter([rows, rows.iloc[:0]]), len(x)):
+        apart, most = points.bounds(cells._matrix(part["embedding"]))
+        assert apart.size == most.size <= cells.CELL_NUMBERS
+        seen += part["row"].tolist()
+    assert seen == list(range(10_000))
+    assert [len(p) for p in cells.few(iter([rows]), 2)] == [10_000]
+    chosen = x[:40] @ x.T > 0
+    told = list(cells.few_pairs(chosen, 500))
+    assert max(len(i) for i, _ in told) == 500
+    assert np.array_equal(np.concatenate([np.stack(t) for t in told], 1), np.stack(np.nonzero(chosen)))
