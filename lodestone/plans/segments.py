@@ -102,7 +102,9 @@ class Segments:
         """One segment of these chunks in the place of all there are. also: further tables of the same commit."""
         base, name = self.store.version(), uuid.uuid4().hex
         old = {label for table in (*CHUNKED, *COUNTS) for label in self.store.labels(table)}
-        self.store.commit(also or {}, self._parts(chunks, name), name, old, base)
+        parts = self._parts(chunks, name)
+        self.store.commit(also or {}, parts, name, old, base)
+        drop_stash(parts["blocks"])
 
     def add(self, chunks: DataFrame, also: dict[str, DataFrame] | None = None, base: int | None = None) -> None:
         """A segment of these chunks, which replace stored ones of the same ids. also: parts of other tables in the same commit.
@@ -119,6 +121,7 @@ class Segments:
                 parts |= self._corrections(known, parts)
         self.store.commit({}, parts, name, (), base, also)
         drop_stash(chunks)
+        drop_stash(parts["blocks"])
 
     def _corrections(self, known: DataFrame, parts: dict[str, DataFrame]) -> dict[str, DataFrame]:
         """The parts, with the known chunks removed and their words taken off their segments' counts."""
@@ -167,3 +170,4 @@ class Segments:
         if set(old) & set(self.store.labels("removed")):
             parts["removed"] = self.store.read("removed", labels=old).where(others)
         self.store.commit({}, parts, name, old, base)
+        drop_stash(parts["blocks"])

@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from lodestone.session import shuffles_dropped
+
 POINTER = "pointer-"
 
 
@@ -99,7 +101,8 @@ class Store:
 
         def write(name: str, df: DataFrame, as_name: str) -> str:
             path = f"{self.folder}/{name}/{as_name}"
-            df.write.parquet(path)
+            with shuffles_dropped(self.spark):
+                df.write.parquet(path)
             return path
 
         for name, df in tables.items():
