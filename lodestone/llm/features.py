@@ -21,7 +21,8 @@ from functools import lru_cache
 
 import numpy as np
 
-BLOCK = 1 << 18
+#: Characters hashed at a time: some 90 bytes of arrays for each, in each Python worker.
+BLOCK = 1 << 16
 _BASE = 0x9E3779B97F4A7C15
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 UPPER, LETTER, DIGIT, MARK = 1, 2, 3, 5

@@ -148,9 +148,8 @@ def _present(rows: DataFrame, settings: Settings, kept: np.ndarray | None) -> Da
                     c[at] += n.astype(np.int32)
                     c[-1] += int((own == g).sum())
         for g, c in found.items():
-            spots = np.flatnonzero(c)
-            for i in range(0, len(spots), 1 << 16):
-                at = spots[i : i + (1 << 16)]
+            for i in range(0, len(c), 1 << 16):
+                at = i + np.flatnonzero(c[i : i + (1 << 16)])
                 bucket = np.where(at == buckets, -1, at).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(len(at), g, np.int32)), pa.array(bucket), pa.array(c[at].astype(np.int64))], ["grade", "bucket", "n"]
