@@ -23,10 +23,12 @@ from pyspark.sql.types import StringType, StructField, StructType
 from lodestone.functions import text as T
 from lodestone.operators import retrieval
 from lodestone.plans.store import Store
-from lodestone.session import drop_stash, stash
+from lodestone.session import stash
 
 #: The tables of a segment with a row for each chunk, and those of its counts.
 CHUNKED, COUNTS = ("chunks", "vectors", "blocks", "corpus"), ("frequencies", "sizes", "removed")
+#: Those of a new segment that are written ahead of the commit, as its other parts are made of them.
+AHEAD = ("chunks", "blocks", "corpus")
 SCHEMAS = {
     "frequencies": "segment string, term string, df long, max_tf long, min_dl long",
     "sizes": "segment string, n long, words long",
@@ -86,25 +88,26 @@ class Segments:
 
     # -------------------------------------------------------------- writing
 
-    def _parts(self, chunks: DataFrame, name: str) -> dict[str, DataFrame]:
-        """A segment's parts."""
-        rows = {"chunks": chunks} | ({"vectors": self.vectors(chunks)} if self.vectors else {})
-        return {n: df.withColumn("segment", F.lit(name)) for n, df in rows.items()} | self._indexed(*retrieval.posting_blocks(chunks, name))
+    def _parts(self, chunks: DataFrame, name: str) -> tuple[dict[str, DataFrame], DataFrame]:
+        """A segment's parts and its written corpus; what parts are made of is written once, where it stays."""
+        chunks = self.store.put("chunks", chunks.withColumn("segment", F.lit(name)), name).drop("segment")
+        rows = {"vectors": self.vectors(chunks).withColumn("segment", F.lit(name))} if self.vectors else {}
+        counts, corpus = self._indexed(*retrieval.posting_blocks(chunks, name), name)
+        return rows | counts, corpus
 
-    def _indexed(self, blocks: DataFrame, corpus: DataFrame) -> dict[str, DataFrame]:
-        """Blocks and corpus, with their counts."""
-        blocks = stash(blocks, "blocks")
+    def _indexed(self, blocks: DataFrame, corpus: DataFrame, name: str) -> tuple[dict[str, DataFrame], DataFrame]:
+        """The counts of blocks and corpus, which are written, and that corpus."""
+        blocks, corpus = self.store.put("blocks", blocks, name), self.store.put("corpus", corpus, name)
         counts = {"frequencies": retrieval.frequencies(blocks), "sizes": retrieval.sizes(corpus)}
         kinds = {n: StructType.fromDDL(SCHEMAS[n]) for n in counts}
-        return {"blocks": blocks, "corpus": corpus} | {n: df.select(*[F.col(f.name).cast(f.dataType) for f in kinds[n]]) for n, df in counts.items()}
+        return {n: df.select(*[F.col(f.name).cast(f.dataType) for f in kinds[n]]) for n, df in counts.items()}, corpus
 
     def replace_all(self, chunks: DataFrame, also: dict[str, DataFrame] | None = None) -> None:
         """One segment of these chunks in the place of all there are. also: further tables of the same commit."""
         base, name = self.store.version(), uuid.uuid4().hex
         old = {label for table in (*CHUNKED, *COUNTS) for label in self.store.labels(table)}
-        parts = self._parts(chunks, name)
-        self.store.commit(also or {}, parts, name, old, base)
-        drop_stash(parts["blocks"])
+        parts, _ = self._parts(chunks, name)
+        self.store.commit(also or {}, parts, name, old, base, ready=AHEAD)
 
     def add(self, chunks: DataFrame, also: dict[str, DataFrame] | None = None, base: int | None = None) -> None:
         """A segment of these chunks, which replace stored ones of the same ids. also: parts of other tables in the same commit.
@@ -112,16 +115,13 @@ class Segments:
         Of chunks that repeat an id one is taken. base: the version that they were made from.
         """
         base, name = self.store.version() if base is None else base, uuid.uuid4().hex
-        chunks = stash(chunks.dropDuplicates(["chunk_id"]), "segment")
-        parts = self._parts(chunks, name)
+        parts, corpus = self._parts(chunks.dropDuplicates(["chunk_id"]), name)
         if self.names():
-            ids = retrieval.small(chunks.select("chunk_id"))
+            ids = retrieval.small(corpus.select("chunk_id"))
             known = stash(self._counting(self.store.read("corpus").join(ids, "chunk_id", "left_semi").select("segment", "chunk_id")), "known")
             if not known.isEmpty():
                 parts |= self._corrections(known, parts)
-        self.store.commit({}, parts, name, (), base, also)
-        drop_stash(chunks)
-        drop_stash(parts["blocks"])
+        self.store.commit({}, parts, name, (), base, also, AHEAD)
 
     def _corrections(self, known: DataFrame, parts: dict[str, DataFrame]) -> dict[str, DataFrame]:
         """The parts, with the known chunks removed and their words taken off their segments' counts."""
@@ -159,9 +159,8 @@ class Segments:
     def merge(self, old: list[str]) -> None:
         """Write these segments as one, without their removed chunks; postings and vectors are moved, not made again."""
         base, name = self.store.version(), uuid.uuid4().hex
-        corpus = self._counting(self.store.read("corpus", labels=old))
-        postings = self._counting(self.store.read("blocks", labels=old).select("segment", "block", "term", F.inline("list")))
-        parts = self._indexed(*retrieval.blocks_again(postings, corpus, name))
+        blocks, corpus = self.store.read("blocks", labels=old), self.store.read("corpus", labels=old)
+        parts, _ = self._indexed(*retrieval.blocks_again(blocks, corpus, name, self.removed()), name)
         rows = {"chunks": self.store.read("chunks", self.schema, old)} | ({"vectors": self._vector_rows(old)} if self.vectors else {})
         parts |= {n: self._counting(df).withColumn("segment", F.lit(name)) for n, df in rows.items()}
         others = F.col("segment").isin([n for n in self.names() if n not in old])
@@ -169,5 +168,4 @@ class Segments:
             parts[n] = parts[n].unionByName(self._counts(n, old).where(others))
         if set(old) & set(self.store.labels("removed")):
             parts["removed"] = self.store.read("removed", labels=old).where(others)
-        self.store.commit({}, parts, name, old, base)
-        drop_stash(parts["blocks"])
+        self.store.commit({}, parts, name, old, base, ready=("blocks", "corpus"))

@@ -84,13 +84,21 @@ class Store:
             if fs.exists(new):
                 fs.delete(new, False)
 
+    def put(self, name: str, df: DataFrame, label: str) -> DataFrame:
+        """Write a part where it will lie, and read it; nobody else does before a commit has it among its `ready` ones."""
+        path = f"{self.folder}/{name}/{label}"
+        with shuffles_dropped(self.spark):
+            df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
     def commit(
         self, tables: dict[str, DataFrame], added: dict[str, DataFrame] | None = None, label: str | None = None,
-        without: Iterable[str] = (), base: int | None = None, also: dict[str, DataFrame] | None = None,
+        without: Iterable[str] = (), base: int | None = None, also: dict[str, DataFrame] | None = None, ready: Iterable[str] = (),
     ) -> None:
         """Write new versions of these tables and parts that are added to others; the rest stays as it is.
 
         label: of the added parts. also: added parts with labels of their own.
+        ready: tables whose part with the label was `put` there.
         without: labels whose parts go, in all tables.
         base: the version that what is written was computed from, by default the
         current one. If another commit came since, this one is an error and changes nothing.
@@ -100,13 +108,13 @@ class Store:
         paths = {name: [p for p in parts if p.rpartition("/")[2] not in gone] for name, parts in self._state(base).items()}
 
         def write(name: str, df: DataFrame, as_name: str) -> str:
-            path = f"{self.folder}/{name}/{as_name}"
-            with shuffles_dropped(self.spark):
-                df.write.parquet(path)
-            return path
+            self.put(name, df, as_name)
+            return f"{self.folder}/{name}/{as_name}"
 
         for name, df in tables.items():
             paths[name] = [write(name, df, uuid.uuid4().hex)]
+        for name in ready:
+            paths[name] = [*paths.get(name, []), f"{self.folder}/{name}/{label}"]
         for parts, named in ((added or {}, label), (also or {}, None)):
             for name, df in parts.items():
                 paths[name] = [*paths.get(name, []), write(name, df, named or uuid.uuid4().hex)]
