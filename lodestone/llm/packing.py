@@ -33,7 +33,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import FORGET, cut, ship_package, stash
@@ -113,13 +113,14 @@ def encoder(path: str, cached_words: int) -> Encoder:
 FORGET.append(encoder.cache_clear)
 
 
-def pieces(docs: DataFrame, settings: Settings, keep_ids: bool = False) -> DataFrame:
-    """Pieces of at most capacity tokens: id, doc_id, piece, start, length, ids_crc32 and, if wanted, the ids.
+def pieces(docs: DataFrame, settings: Settings, keep_ids: bool = False, order: Column | None = None) -> DataFrame:
+    """Pieces of at most capacity tokens: id, doc_id, piece, start, length, ids_crc32 and, if wanted, the ids and the documents' order.
 
     id numbers the pieces of a task; it is not to be relied on before the rows are written.
     """
     ship_package(docs.sparkSession)
-    schema = "id long, doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids
+    ordered = order is not None
+    schema = "id long, doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids + ", order long" * ordered
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -127,20 +128,21 @@ def pieces(docs: DataFrame, settings: Settings, keep_ids: bool = False) -> DataF
         encode = encoder(settings.tokenizer, settings.cached_words).ids
         end, step = int(settings.end_id).to_bytes(4, "little"), 4 * settings.capacity
         names = [c.split()[0] for c in schema.split(", ")]
-        kinds = [pa.int64(), pa.int64(), pa.int32(), *[pa.int64()] * 3, *[pa.binary()] * keep_ids]
+        kinds = [pa.int64(), pa.int64(), pa.int32(), *[pa.int64()] * 3, *[pa.binary()] * keep_ids, *[pa.int64()] * ordered]
         own = TaskContext.get().partitionId() << 33
         for batch in cut(batches):
             out = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for doc_id, text, *place in zip(*[c.to_pylist() for c in batch.columns]):
                 ids = encode(text) + end
                 for k, at in enumerate(range(0, len(ids), step)):
                     part = ids[at : at + step]
                     row = (own, doc_id, k, at // 4, len(part) // 4, zlib.crc32(part))
-                    out.append((*row, part) if keep_ids else row)
+                    out.append((*row, *[part] * keep_ids, *place))
                     own += 1
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(rows, schema)
+    named = [] if not ordered else [order.cast("long").alias("order")]
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *named).mapInArrow(rows, schema)
 
 
 PIECE, GAP, PLACED = 0, 1, 2
@@ -343,6 +345,15 @@ def assign(made: DataFrame, settings: Settings) -> DataFrame:
     )
 
 
-def pack(docs: DataFrame, settings: Settings) -> DataFrame:
-    """Tokenize, cut and pack every document: one row for each piece."""
-    return assign(stash(pieces(docs, settings), "pieces"), settings)
+def in_order(packed: DataFrame) -> DataFrame:
+    """Sequences numbered anew, with gaps, in the order of the first document that each holds a piece of."""
+    packed = stash(packed, "packed")
+    first = packed.groupBy("sequence_id").agg(F.min(F.struct("order", "piece", "sequence_id")).alias("first"))
+    number = stash(first.orderBy("first").select("sequence_id", F.monotonically_increasing_id().alias("number")), "sequence-order")
+    return packed.join(number, "sequence_id").withColumn("sequence_id", F.col("number")).drop("order", "number")
+
+
+def pack(docs: DataFrame, settings: Settings, order: Column | None = None) -> DataFrame:
+    """Tokenize, cut and pack every document: one row for each piece. order: of documents, which sequences then have too."""
+    packed = assign(stash(pieces(docs, settings, order=order), "pieces"), settings)
+    return packed if order is None else in_order(packed).select("doc_id", *[c for c in packed.columns if c not in ("doc_id", "order")])
