@@ -8,11 +8,11 @@ A search takes the nearest cells first; the k-th best score there is a bar, and
 only cells whose bound reaches it are searched besides. With a limit only the nearest
 cells are searched, and neighbours may be missed.
 
-A join copies a vector to another cell where a member may be similar enough: by
+A join compares a vector with the members of another cell where one may be similar enough: by
 these bounds, and because a member of that cell lies beyond the plane halfway between both
-centres. So each similar pair meets in one cell, and nothing else of the cells is
-compared. Equal vectors are one. No pair is listed: blocks of a cell are
-compared as matrices, and only counts go on.
+centres. Equal vectors are one. No vector is copied and no pair is listed: blocks of cells are
+read where they lie and compared as matrices, in single precision first, and only counts go on. So a
+join takes disk in proportion to the vectors, however they are spread, and time by their square at worst.
 
 How much is left out depends on the vectors: much where they form groups, little where
 they have none. The result is the same. Centres are held by every task, at most max_cells of them.
@@ -23,7 +23,7 @@ A zero vector has cosine 0 with all others and itself. Ties go by position. An e
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.operators.retrieval import PLACES, SLACK, small, top_k
-from lodestone.session import ship_package, stash
+from lodestone.session import drop_stash, shared_path, ship_package, shuffles_dropped, stash
 
 
 @dataclass(frozen=True)
@@ -217,54 +217,92 @@ def compared(index: Index, queries: DataFrame, k: int = 5, limit: int | None = N
     return met.groupBy("query_id").agg(F.count(F.lit(1)).alias("cells"), F.sum("n").alias("vectors"))
 
 
+#: Blocks that a task compares with all others at a time.
+TASK_BLOCKS = 16
+#: What products in single precision may be off.
+ROUGH = 1e-4
+
+
+def _linked(folder: str, points: Centres, threshold: float) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """From the names of some blocks in a folder: id, near and least of what their members, and those of other blocks, have in the pairs of both.
+
+    A task holds its blocks and reads all others one after the other. Of two blocks one meets the other, of either half the others.
+    """
+    far = np.sqrt(max(0.0, 2 - 2 * threshold)) + SLACK
+
+    def able(x: np.ndarray, own: np.ndarray, home: np.ndarray, cell: int) -> np.ndarray:
+        """Which rows may be similar to a member of the cell, which lies on the cell's side of the plane halfway between both centres."""
+        centre, radius = points.points[cell], points.radii[cell]
+        apart = np.sqrt(np.maximum((x * x).sum(1) - 2 * (x @ centre) + centre @ centre, 0.0))
+        gap = np.sqrt(((points.points - centre) ** 2).sum(1))[home]
+        return (np.maximum(apart - radius, 0.0) <= far) & (apart**2 - own**2 <= 2 * far * gap + SLACK)
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        mine = [(int(c), int(p)) for batch in batches for c, p in zip(batch["cell"], batch["part"])]
+        for at in range(0, len(mine), TASK_BLOCKS):
+            yield from group(set(mine[at : at + TASK_BLOCKS]))
+
+    def blocks() -> Iterator[tuple[tuple[int, int], np.ndarray, np.ndarray, np.ndarray]]:
+        import pyarrow.dataset as ds
+        from pyarrow.fs import FileSelector, FileSystem
+
+        fs, base = FileSystem.from_uri(folder)
+        files = sorted(f.path for f in fs.get_file_info(FileSelector(base)) if f.path.endswith(".parquet"))
+        held = ds.dataset(files, filesystem=fs, format="parquet")
+        for batch in held.to_batches(columns=["cell", "part", "id", "copies", "x"], batch_size=8, batch_readahead=1, fragment_readahead=1, use_threads=False):
+            for i in range(batch.num_rows):
+                ids = batch.column(2)[i].values.to_numpy(zero_copy_only=False)
+                matrix = np.frombuffer(batch.column(4)[i].as_buffer()).reshape(len(ids), -1)
+                yield (batch.column(0)[i].as_py(), batch.column(1)[i].as_py()), ids, batch.column(3)[i].values.to_numpy(), matrix
+
+    def group(chosen: set[tuple[int, int]]) -> Iterator[pd.DataFrame]:
+        names, ids, copies, parts = zip(*((n, i.copy(), c.copy(), x.copy()) for n, i, c, x in blocks() if n in chosen))
+        size = [len(i) for i in ids]
+        x, a, m = np.concatenate(parts), np.concatenate(ids), np.concatenate(copies)
+        home, which = np.repeat([n[0] for n in names], size), np.repeat(np.arange(len(names)), size)
+        own = np.sqrt(((x - points.points[home]) ** 2).sum(1))
+        rough = x.astype(np.float32)
+        for name, b, n, y in blocks():
+            meets = np.array([o == name or (o < name) == (sum(o) % 2 == sum(name) % 2) for o in names])
+            some = np.flatnonzero(meets[which] & able(x, own, home, name[0]))
+            if not len(some):
+                continue
+            maybe = rough[some] @ y.astype(np.float32).T >= threshold - ROUGH
+            if not maybe.any():
+                continue
+            for i, j in few_pairs(maybe):
+                i = some[i]
+                near = np.round(np.einsum("ij,ij->i", x[i], y[j]), PLACES) >= threshold
+                within = np.array([o == name for o in names])[which[i]]
+                near &= ~within | (a[i] != b[j])
+                i, j, within = i[near], j[near], within[near]
+                back = ~within  # inside of a block each pair comes both ways
+                told = pd.DataFrame({"id": np.concatenate([a[i], b[j[back]]]), "near": np.concatenate([n[j], m[i[back]]]), "least": np.concatenate([b[j], a[i[back]]])})
+                if len(told):
+                    yield told.groupby("id", as_index=False).agg({"near": "sum", "least": "min"})
+
+    return rows
+
+
 def links(vectors: DataFrame, threshold: float = 0.95, settings: Settings = Settings()) -> DataFrame:
     """Every vector (id, embedding) with how many others have at least this cosine with it, and the least id among these and itself."""
     if not 0 < threshold <= 1:
         raise ValueError("the threshold must be above 0, and 1 at most")
+    spark = vectors.sparkSession
     rows = stash(unit(vectors.select("id", "embedding")), "vectors")
     some = F.exists("embedding", lambda v: v != 0)
     alike = stash(rows.where(some).groupBy("embedding").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies")), "distinct-vectors")
     points, homes = centres(alike, settings)
-    far = np.sqrt(max(0.0, 2 - 2 * threshold)) + SLACK
-    between = np.sqrt(np.maximum(((points.points[:, None, :] - points.points[None, :, :]) ** 2).sum(2), 0.0)) if len(points.radii) <= 512 else None
-
-    def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in few(batches, len(points.radii)):
-            apart, most = points.bounds(_matrix(batch["embedding"]))
-            home = batch["cell"].to_numpy()
-            own = apart[np.arange(len(home)), home][:, None]
-            if between is not None:
-                gap = between[home]
-            else:
-                gap = np.sqrt(np.maximum((points.points[home] ** 2).sum(1)[:, None] - 2 * points.points[home] @ points.points.T + (points.points**2).sum(1), 0.0))
-            beyond = apart**2 - own**2 <= 2 * far * gap + SLACK
-            yield batch.assign(away=False)[["cell", "away", "id", "copies", "embedding"]]
-            for i, j in few_pairs((most >= threshold - SLACK) & beyond & (np.arange(len(points.radii))[None, :] < home[:, None])):
-                yield batch.iloc[i].assign(cell=j.astype(np.int32), away=True)[["cell", "away", "id", "copies", "embedding"]]
-
     kind = vectors.schema["id"].dataType.simpleString()
-    placed = stash(homes.mapInPandas(spread, f"cell int, away boolean, id {kind}, copies long, embedding array<double>"), "placed")
-    side = lambda away, name: packed(placed.where(F.col("away") == away), ["id", "copies"], name, settings.block)
-    held = stash(side(False, "x"), "cell-blocks")
-    left = held.select("cell", "part", F.col("id").alias("a"), F.col("copies").alias("m"), "x")
-    right = held.select("cell", "part", F.lit(False).alias("away"), F.col("id").alias("b"), F.col("copies").alias("n"), F.col("x").alias("y"))
-    guests = side(True, "y").select("cell", "part", F.lit(True).alias("away"), F.col("id").alias("b"), F.col("copies").alias("n"), "y")
-    right = right.unionByName(guests).withColumnRenamed("part", "other")
-    met = left.join(right, "cell").where(F.col("away") | (F.col("part") <= F.col("other"))).select("a", "m", "x", "b", "n", "y", (~F.col("away") & (F.col("part") == F.col("other"))).alias("same"))
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for a, m, x, b, n, y, same in batch.itertuples(index=False):
-                near = np.round(np.frombuffer(x).reshape(len(a), -1) @ np.frombuffer(y).reshape(len(b), -1).T, PLACES) >= threshold
-                if same:
-                    np.fill_diagonal(near, False)
-                sides = [(a, near, b, n)] if same else [(a, near, b, n), (b, near.T, a, m)]
-                for ids, with_, others, copies in sides:
-                    at = np.flatnonzero(with_.any(1))
-                    least = [others[with_[i]].min() for i in at]
-                    yield pd.DataFrame({"id": ids[at], "near": with_[at].astype(np.int64) @ copies, "least": least})
-
-    sums = met.mapInPandas(count, f"id {kind}, near long, least {kind}").groupBy("id").agg(F.sum("near").alias("near"), F.min("least").alias("least"))
+    folder = shared_path(spark, "cell-blocks")
+    with shuffles_dropped(spark):  # small row groups, as tasks hold one at a time
+        packed(homes, ["id", "copies"], "x", settings.block).write.option("parquet.block.size", 8 << 20).parquet(folder)
+    if len(points.radii):  # else the homes are the distinct vectors themselves
+        drop_stash(homes)
+    names = spark.read.parquet(folder).select("cell", "part")
+    tasks = max(2 * spark.sparkContext.defaultParallelism, -(-names.count() // TASK_BLOCKS))
+    found = names.repartition(tasks).mapInPandas(_linked(folder, points, threshold), f"id {kind}, near long, least {kind}")
+    sums = stash(found.groupBy("id").agg(F.sum("near").alias("near"), F.min("least").alias("least")), "links")
     told = alike.join(sums, "id", "left").select(
         "embedding", (F.col("copies") - 1 + F.coalesce("near", F.lit(0))).alias("n_near"), F.least("id", "least").alias("least_near")
     )

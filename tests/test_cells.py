@@ -53,6 +53,28 @@ def test_links_of_all_vectors(spark):
     assert sum(n > 0 for n, _ in want.values()) > 100 and any(n == 0 for n, _ in want.values())
 
 
+def test_links_of_evenly_spread_vectors_copy_none(spark, monkeypatch):
+    """Nearly every cell is near enough to nearly every vector here; each is written once all the same."""
+    x = np.random.default_rng(8).normal(size=(600, 16))
+    x[:40] = x[40:80] + 0.05
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, embedding array<double>").repartition(3)
+    written, folders, stash, path = [], [], cells.stash, cells.shared_path
+
+    def counted(rows, label):
+        made = stash(rows, label)
+        written.append(made.count())
+        return made
+
+    monkeypatch.setattr(cells, "stash", counted)
+    monkeypatch.setattr(cells, "shared_path", lambda s, label: folders.append(path(s, label)) or folders[-1], raising=False)
+    got = {r["id"]: (r["n_near"], r["least_near"]) for r in cells.links(df, 0.95, SETTINGS).collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = np.round(u @ u.T, 9) >= 0.95
+    assert got == {i: (int(near[i].sum()) - 1, int(np.flatnonzero(near[i]).min())) for i in range(600)}
+    assert max(written) <= 600
+    assert [spark.read.parquet(f).agg(F.sum("n")).first()[0] for f in folders] == [600]
+
+
 def test_no_vectors(spark):
     none = spark.createDataFrame([], HELD)
     assert cells.search(cells.build(none), none.select(F.col("chunk_id").alias("query_id"), "embedding"), 3).count() == 0
