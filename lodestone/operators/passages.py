@@ -16,11 +16,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import cut
-from lodestone.llm.features import Rolling
 from lodestone.operators.retrieval import small
 from lodestone.session import shared_path, ship_package, stash
 
@@ -28,7 +27,8 @@ from lodestone.session import shared_path, ship_package, stash
 GROUP = 100_000
 #: Bytes of text looked at at a time: some 60 bytes of arrays for each.
 BLOCK = 1 << 20
-_MIX, _BITS = np.uint64(0x9E3779B97F4A7C15), 20
+_BASE = 0x9E3779B97F4A7C15
+_MIX, _BITS = np.uint64(_BASE), 20
 
 
 class Finder:
@@ -93,6 +93,29 @@ class Finder:
         return text[new[sure]], passage[new[sure]]
 
 
+class Rolling:
+    """Hashes of any parts of some bytes: differences of running sums of byte * BASE**place, moved to place 0."""
+
+    def __init__(self, x: np.ndarray) -> None:
+        up, self.down = (np.cumprod(np.append(np.ones(1, np.uint64), np.full(len(x), b, np.uint64)), dtype=np.uint64) for b in (_BASE, pow(_BASE, -1, 1 << 64)))
+        self.sums = np.zeros(len(x) + 1, np.uint64)
+        np.cumsum((x.astype(np.uint64) + np.uint64(1)) * up[: len(x)], out=self.sums[1:])
+
+    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return (self.sums[end] - self.sums[start]) * self.down[start]
+
+
+def parts(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """Batches of at most so many bytes of text (column 1), or of one row."""
+    for batch in batches:
+        upto, at = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)), 0
+        while at < batch.num_rows:
+            before = int(upto[at - 1]) if at else 0
+            to = max(at + 1, int(np.searchsorted(upto, before + size, side="right")))
+            yield batch.slice(at, to - at)
+            at = to
+
+
 def windows(x: np.ndarray, width: int) -> np.ndarray:
     """The bytes from each place on, at most eight, as one number; zeros follow the end."""
     w = np.concatenate([x, np.zeros(8, np.uint8)]).astype(np.uint64)
@@ -136,7 +159,7 @@ def holders(texts: DataFrame, asked: DataFrame) -> DataFrame:
             empty = numbers[[not p for p in passages]]
             some = np.array([bool(p) for p in passages], bool)
             finder, numbers = Finder([p for p in passages if p]), numbers[some]
-            for batch in cut(batches, 10_000, BLOCK):
+            for batch in parts(batches, BLOCK):
                 there = np.flatnonzero(batch.column(1).is_valid().to_numpy(zero_copy_only=False))
                 texts = batch.column(1).take(pa.array(there)).cast(pa.large_binary()).to_pylist()
                 text, passage = finder.find(texts)
